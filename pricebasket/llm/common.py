@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricebasket.session import ship_package
+
 #: Rows in one Arrow batch sent to Python. Documents differ much in length; small batches bound a worker's memory.
 ARROW_ROWS = 500
 
@@ -17,7 +19,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small, so that a worker never holds thousands of long texts at once."""
+    """Keep Arrow batches small, so that a worker never holds thousands of long texts at once; and make this package known to workers."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
