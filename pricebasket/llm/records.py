@@ -18,10 +18,12 @@ in an order of their texts. Empty tables write no file and give an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -39,7 +41,7 @@ TOKENIZER, END = "word_bpe_49k.json", 2
 #: Rows of one file, about.
 FILE_ROWS = 5000
 #: Words and stems that a worker's memo holds, about; it starts anew beyond.
-MEMO, STEMS = 300_000, 600_000
+MEMO, STEMS = 600_000, 800_000
 #: Latin letters, which no normal form changes and whose lower case is one letter, and closing marks.
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?#$%&*]*)")
 #: The model's characters for the bytes of those letters: bytes that print stand for themselves, the others for characters from 256 on, in order.
@@ -104,42 +106,42 @@ class WordMemo(dict):
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # 16 bits hold every id
+        self.kind = "H" if self.narrow else "I"
         self.stems: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        """Afterwards the memo holds all these words."""
+    def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
-        if len(self.stems) > STEMS:
-            self.stems.clear()
-        missing, split = words.difference(self), []
-        for word in missing:
-            stem, marks = (found[1].lower(), found[2]) if (found := LATIN.fullmatch(word)) else (word, "")
-            split.append((word, stem, marks))
-        stems, kind, one = self.stems, "<u2" if self.narrow else "<u4", self.tokenizer.model.tokenize
-        plain = {x for word, x, _ in split if word is not x and x not in stems}
-        for stem in plain:
-            stems[stem] = np.array([t.id for t in one(stem if stem.isascii() else stem.translate(BYTES))], kind).tobytes()
-        new = list({x for _, stem, marks in split for x in (stem, marks)}.difference(stems))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                stems[word] = np.array(found.ids, kind).tobytes()
-        for word, stem, marks in split:
-            self[word] = stems[stem] + stems[marks]
-
-    @property
-    def narrow(self) -> bool:
-        """Whether 16 bits hold every id."""
-        return self.tokenizer.get_vocab_size() <= 1 << 16
+        if word.isascii() and word.isalpha():
+            ids = self._stem(word.lower())
+        elif found := LATIN.fullmatch(word):
+            ids = self._stem(found[1].lower())
+            if found[2]:
+                if (marks := self.stems.get(found[2])) is None:
+                    marks = self.stems[found[2]] = self._whole(found[2])
+                ids += marks
+        else:
+            ids = self._whole(word)
+        self[word] = ids
+        return ids
+
+    def _stem(self, stem: str) -> bytes:
+        if (ids := self.stems.get(stem)) is None:
+            if len(self.stems) > STEMS:
+                self.stems.clear()
+            found = self.tokenizer.model.tokenize(stem if stem.isascii() else stem.translate(BYTES))
+            ids = self.stems[stem] = array(self.kind, [t.id for t in found]).tobytes()
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
         """Each text's ids and the end id, as little-endian integers of 16 or 32 bits."""
-        last = struct.pack("<H" if self.narrow else "<I", end)
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]  # str.split() would also cut at characters that the tokenizer keeps
-        self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.__getitem__, words)) + last
+        last = array(self.kind, [end]).tobytes()
+        for text in texts:  # str.split() would also cut at characters that the tokenizer keeps
+            yield b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))) + last
 
 
 @lru_cache(maxsize=1)
@@ -154,6 +156,7 @@ def encode_documents(df: DataFrame, path: str | None = None, end: int = END) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
+        gc.set_threshold(100_000, 50, 50)  # a memo of many small objects holds no cycles
         for batch in batches:
             records = [pack(i, ids, 2 if memo.narrow else 4) for i, ids in zip(batch.column("doc_id").to_pylist(), memo.encode(batch.column("text").to_pylist(), end), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(records, pa.binary())], ["doc_id", "record"])
