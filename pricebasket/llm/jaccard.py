@@ -43,7 +43,9 @@ SHARE, FLOOR = 1 / 500, 4
 FREQUENT = 200_000
 #: Sets that share a shingle and are paired at once; sets of a block in one task.
 PAIRED, BLOCK = 40, 3000
-LONGEST = 4
+#: Values that a document's l can take; other sets that a rare shingle of a prefix leads to, about; what a row of a longer prefix costs.
+LEVELS = (1, 2, 3, 5, 8, 12, 16, 24, 32)
+RARE, ROW = 0.05, 0.05
 _U = np.uint64
 
 
@@ -161,9 +163,9 @@ def prefixes(docs: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame
             base = sizes - -(-percent * sizes // 100)  # the prefix for l has base + l shingles
             sums = np.concatenate([[0.0], np.cumsum(cost)])
             best, least = np.ones(n, np.int64), np.full(n, np.inf)
-            for l in range(1, LONGEST + 1):
+            for l in LEVELS:
                 end = np.minimum(first + base + l, first + sizes)
-                price = (sums[end] - sums[first]) / l + 0.1 * l  # a longer prefix costs rows
+                price = (sums[end] - sums[first] + RARE * (base + l)) / l + ROW * l
                 better = (price < least) & (base + l <= sizes)
                 best[better], least[better] = l, price[better]
             position = np.arange(len(own)) - first[own]
@@ -311,8 +313,13 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED,
     order = Order(np.array([r["doc_id"] for r in often], np.int64).view(np.uint64), np.array([r["c"] for r in often], np.int64))
     some = stored(spark, candidates(prefixes(docs, order, percent), percent, paired), "candidates")
     pairs = some.filter("block is null").groupBy("a", "b", "need").agg(F.count("*").alias("k")).filter("k >= need")
-    pairs = pairs.select("a", "b", F.xxhash64("a", "b").alias("to"))
-    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node"), "to", F.lit(0).alias("side"))
+    pairs = stored(spark, pairs.select("a", "b"), "pairs")
+    # the sets of a small group of candidates meet in one task, each once; those of a large one pair by pair
+    groups = components(pairs)
+    small = groups.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") <= block).select("component")
+    in_small = groups.join(small, "component").select("node", F.xxhash64(F.lit("group"), "component").alias("to"))
+    apart = pairs.join(in_small.select(F.col("node").alias("a")), "a", "left_anti")
+    of_pairs = in_small.unionByName(apart.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("to"))).withColumn("side", F.lit(0))
     members = some.filter("block is not null").select(F.col("a").alias("node"), "block").distinct()
     parts = members.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
