@@ -11,8 +11,9 @@ A document's set is its distinct WIDTH-word shingles. Documents link at a Jaccar
 3. Candidates. Prefix shingles are dealt out, sorted and streamed. A shingle of few sets gives its pairs within the
    size bounds; pairs are counted by a partial aggregate. A shingle of more than PAIRED sets gives no pairs: it becomes
    a block, whose sets are compared in tasks (in parts beyond BLOCK sets: each two parts meet in one task).
-4. Verification. Candidates' whole sets are dealt out to their pairs and blocks once; overlaps are counted exactly over
-   posting lists. A task returns a spanning forest of its links, not all links: the components are the same.
+4. Verification. Candidates that hang together by pairs and blocks are a group; each group's whole sets are dealt to one
+   task, once, and overlaps counted exactly over posting lists. A group of more than BLOCK shingles is dealt out by its pairs and blocks
+   instead, a block of more in parts of which each two meet in one task. A task returns a spanning forest of its links, not all links: the components are the same.
 5. Components by stars (components.py), then back from sets to documents.
 
 Null and empty texts, and those without words, have no shingles, link with nothing and are their own component; fewer
@@ -41,8 +42,8 @@ PERCENT = 80
 SHARE, FLOOR = 1 / 500, 4
 #: Frequent shingles that are kept, the most frequent ones: only their order hangs on it.
 FREQUENT = 200_000
-#: Sets that share a shingle and are paired at once; sets of a block in one task.
-PAIRED, BLOCK = 40, 3000
+#: Sets that share a shingle and are paired at once; shingles of the sets that are compared in one task, about.
+PAIRED, BLOCK = 40, 4_000_000
 #: Values that a document's l can take; other sets that a rare shingle of a prefix leads to, about; what a row of a longer prefix costs.
 LEVELS = (1, 2, 3, 5, 8, 12, 16, 24, 32)
 RARE, ROW = 0.05, 0.05
@@ -205,6 +206,13 @@ def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
         for batch in batches:
+            # a shingle of one row has no pair; a batch's ends may go on in the next one
+            own = batch.column("shingle").to_numpy()
+            kept = np.zeros(len(own) + 1, bool)
+            kept[1:-1] = own[1:] == own[:-1]
+            kept = kept[1:] | kept[:-1]
+            kept[[0, -1]] = True
+            batch = batch.filter(pa.array(kept))
             for shingle, node, n, level, most in zip(*(batch.column(c).to_pylist() for c in ("shingle", "node", "n", "level", "most")), strict=True):
                 if shingle != now:
                     done()
@@ -314,24 +322,25 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED,
     some = stored(spark, candidates(prefixes(docs, order, percent), percent, paired), "candidates")
     pairs = some.filter("block is null").groupBy("a", "b", "need").agg(F.count("*").alias("k")).filter("k >= need")
     pairs = stored(spark, pairs.select("a", "b"), "pairs")
-    # the sets of a small group of candidates meet in one task, each once; those of a large one pair by pair
-    groups = components(pairs)
-    small = groups.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") <= block).select("component")
+    members = stored(spark, some.filter("block is not null").select(F.col("a").alias("node"), "block").distinct(), "blocks")
+    first = stored(spark, known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    # candidates that hang together, by pairs or blocks, meet in one task, each once; where they are too many, pair by pair and block by block
+    stars = members.join(members.groupBy("block").agg(F.min("node").alias("b")), "block").select(F.col("node").alias("a"), "b")
+    groups = components(pairs.unionByName(stars)).join(first, "node")
+    small = groups.groupBy("component").agg(F.sum("n").alias("_n")).filter(F.col("_n") <= block).select("component")
     in_small = groups.join(small, "component").select("node", F.xxhash64(F.lit("group"), "component").alias("to"))
     apart = pairs.join(in_small.select(F.col("node").alias("a")), "a", "left_anti")
     of_pairs = in_small.unionByName(apart.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("to"))).withColumn("side", F.lit(0))
-    members = some.filter("block is not null").select(F.col("a").alias("node"), "block").distinct()
-    parts = members.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    large = members.join(in_small.select("node"), "node", "left_anti").join(first.select("node", "n"), "node")
+    parts = large.groupBy("block").agg(F.ceil(2 * F.sum("n") / block).cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
-    # a block of several parts is dealt to every two of them; the part itself meets in (own, own)
+    # a block of several parts is dealt to every two of them; a part itself meets in (own, own)
     meets = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.xxhash64("block", F.least(j, F.col("_own")), F.greatest(j, F.col("_own"))).alias("to"), F.when(j == F.col("_own"), 0).when(j > F.col("_own"), 1).otherwise(2).alias("side")))
-    of_blocks = members.join(parts, "block").withColumn("_own", own).select("node", F.explode(meets).alias("_m")).select("node", "_m.to", "_m.side")
-    first = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = of_pairs.unionByName(of_blocks).groupBy("node").agg(F.collect_list(F.struct("to", "side")).alias("_to")).join(first, "node")
+    of_blocks = large.join(parts, "block").withColumn("_own", own).select("node", F.explode(meets).alias("_m")).select("node", "_m.to", "_m.side")
+    wanted = of_pairs.unionByName(of_blocks).groupBy("node").agg(F.collect_list(F.struct("to", "side")).alias("_to")).join(first.drop("n"), "node")
     edges = verified(_dealt(docs.join(wanted, "doc_id")), percent)
     class_of = components(edges)
-    nodes = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_first"))
-    labelled = nodes.join(class_of, "node", "left").withColumn("_label", F.coalesce("component", "node"))
+    labelled = first.withColumnRenamed("doc_id", "_first").join(class_of, "node", "left").withColumn("_label", F.coalesce("component", "node"))
     least = labelled.groupBy("_label").agg(F.min("_first").alias("component_id"))
     ids = stored(spark, labelled.join(least, "_label").select("node", "component_id"), "classes")
     return known.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
