@@ -7,7 +7,7 @@ A document's set is its distinct WIDTH-word shingles. Documents link at a Jaccar
    task. Their number is bounded, as each is at least a fixed share of the rows (SHARE); they are broadcast, as an order.
 2. Prefixes. Every set is ordered alike: rare shingles by their hash, then frequent ones by rising frequency. Two sets
    that overlap in at least c of n shingles share l of the first n - c + l, for every l. A document's l is
-   lengthened from 1 while its prefix's estimated candidates, over l, fall; a pair then must share the smaller of its two l's.
+   lengthened from 1 while its prefix's estimated candidates, over l, fall; a pair then must share l or more (see candidates).
 3. Candidates. Prefix shingles are dealt out, sorted and streamed. A shingle of few sets gives its pairs within the
    size bounds; pairs are counted by a partial aggregate. A shingle of more than PAIRED sets gives no pairs: it becomes
    a block, whose sets are compared in tasks (in parts beyond BLOCK sets: each two parts meet in one task).
@@ -39,7 +39,7 @@ WIDTH = 5
 #: Similarity of linked documents, in hundredths.
 PERCENT = 80
 #: A frequent shingle is in at least this share of a task's rows, and in FLOOR of them.
-SHARE, FLOOR = 1 / 500, 4
+SHARE, FLOOR = 1 / 2000, 3
 #: Frequent shingles that are kept, the most frequent ones: only their order hangs on it.
 FREQUENT = 200_000
 #: Sets that share a shingle and are paired at once; shingles of the sets that are compared in one task, about.
@@ -144,9 +144,9 @@ class Order:
 
 
 def prefixes(docs: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame:
-    """shingle, node, n, level (the smallest l whose prefix has it), most (the document's l) and frequent, of the prefix of each set."""
+    """shingle, node, n and rest (shingles after the prefix) of each shingle in the prefix of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    names = ["shingle", "node", "n", "level", "most", "frequent"]
+    names = ["shingle", "node", "n", "rest"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seen = shared.value, set()
@@ -171,36 +171,37 @@ def prefixes(docs: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame
                 best[better], least[better] = l, price[better]
             position = np.arange(len(own)) - first[own]
             inside = position < (base + best)[own]
-            level = np.maximum(1, position - base[own] + 1)[inside]
             own = own[inside]
-            columns = [signed(hashes[inside]), digests[own], sizes[own], level.astype(np.int32), best[own].astype(np.int32), (keys[inside] >> _U(63)).astype(bool)]
+            columns = [signed(hashes[inside]), digests[own], sizes[own].astype(np.int32), (sizes - np.minimum(sizes, base + best))[own].astype(np.int32)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
 
-    return docs.mapInArrow(run, "shingle long, node long, n long, level int, most int, frequent boolean")
+    return docs.mapInArrow(run, "shingle long, node long, n int, rest int")
 
 
 def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED) -> DataFrame:
-    """From rows sorted by shingle: pairs (a, b, l they need, level of the shingle) of few sets; of more, blocks: (node, null, null, null, shingle)."""
-    names = ["a", "b", "need", "level", "block"]
+    """From rows sorted by shingle: pairs (a, b, shingles they need in common) of few sets; of more, blocks: (node, null, null, shingle).
+
+    With x's prefix ending first in the order, what x and y share is in both prefixes or after x's. So two sets of sizes n and
+    m that overlap enough share least_overlap(n, m) less the longer rest in their prefixes: l at least, more for like sizes.
+    """
+    names, names_in = ["a", "b", "need", "block"], ["shingle", "node", "n", "rest"]
 
     def pairs(group: list[tuple]) -> Iterator[tuple]:
         group.sort()
-        for i, (n, a, level, most) in enumerate(group):
-            for m, b, other, its in group[i + 1 :]:
+        for i, (n, a, rest) in enumerate(group):
+            for m, b, other in group[i + 1 :]:
                 if percent * m > 100 * n:
                     break
-                need = min(most, its)
-                if max(level, other) <= need:
-                    yield min(a, b), max(a, b), need, max(level, other), None
+                yield min(a, b), max(a, b), max(1, least_overlap(n, m, percent) - max(rest, other)), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, large, out = None, {}, False, []
 
         def done() -> None:
             if large:
-                out.extend((node, None, None, None, now) for node in group)
+                out.extend((node, None, None, now) for node in group)
             elif len(group) > 1:
-                out.extend(pairs([(n, node, level, most) for node, (n, level, most) in group.items()]))
+                out.extend(pairs([(n, node, rest) for node, (n, rest) in group.items()]))
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
@@ -213,14 +214,14 @@ def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED)
             kept = kept[1:] | kept[:-1]
             kept[[0, -1]] = True
             batch = batch.filter(pa.array(kept))
-            for shingle, node, n, level, most in zip(*(batch.column(c).to_pylist() for c in ("shingle", "node", "n", "level", "most")), strict=True):
+            for shingle, node, n, rest in zip(*(batch.column(c).to_pylist() for c in names_in), strict=True):
                 if shingle != now:
                     done()
                     now, group, large = shingle, {}, False
-                group[node] = (n, level, most)
+                group[node] = (n, rest)
                 if len(group) > paired:
                     large = True
-                    out.extend((x, None, None, None, now) for x in group)
+                    out.extend((x, None, None, now) for x in group)
                     group = {}
                 if len(out) > 20_000:
                     yield made()
@@ -229,8 +230,7 @@ def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED)
         if out:
             yield made()
 
-    rows = prefix.select("shingle", "node", "n", "level", "most")
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, need long, level long, block long")
+    return prefix.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, need long, block long")
 
 
 def _forest(nodes: list[int], members: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
