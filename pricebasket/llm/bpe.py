@@ -14,6 +14,7 @@ Repeated rows give repeated rows. An empty table gives an empty result. Other co
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,7 @@ LONG_TEXT = 1 << 20
 #: Pre-tokens at a time there.
 PIECES = 1 << 16
 #: Entries in one of the two generations of a worker's memo of pre-tokens: when the young one is full, it becomes the old one, and what is used of that moves over.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -259,6 +260,7 @@ def bpe_round_trip(df: DataFrame, path: str | None = None) -> DataFrame:
         return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(100_000, 50, 50)  # a memo of many small objects holds no cycles
         own = shared.value
         digits = list(map(str, range(len(own.token))))
         for batch in batches:
