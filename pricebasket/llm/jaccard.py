@@ -3,8 +3,8 @@
 A document's set is its distinct WIDTH-word shingles. Documents link at a Jaccard similarity of 0.8 or more.
 
 1. Sets. One pass hashes words and shingles (numpy, many texts at a time), counts each set and takes its digest; equal
-   sets are one node from here on. The pass also finds frequent shingles: whatever is frequent overall is so in some
-   task. Their number is bounded, as each is at least a fixed share of the rows (SHARE); they are broadcast, as an order.
+   sets are one node from here on. The pass also counts shingles that several sets of a task have; the FREQUENT most frequent
+   ones are broadcast, as an order: what is found doesn't hang on it, only how fast.
 2. Prefixes. Every set is ordered alike: rare shingles by their hash, then frequent ones by rising frequency. Two sets
    that overlap in at least c of n shingles share l of the first n - c + l, for every l. A document's l is
    lengthened from 1 while its prefix's estimated candidates, over l, fall; a pair then must share l or more (see candidates).
@@ -38,8 +38,8 @@ from pricebasket.llm.hashing import Rolling, mix, signed, together
 WIDTH = 5
 #: Similarity of linked documents, in hundredths.
 PERCENT = 80
-#: A frequent shingle is in at least this share of a task's rows, and in FLOOR of them.
-SHARE, FLOOR = 1 / 2000, 3
+#: Sets of one task that a shingle is in if it may be frequent.
+FLOOR = 2
 #: Frequent shingles that are kept, the most frequent ones: only their order hangs on it.
 FREQUENT = 200_000
 #: Sets that share a shingle and are paired at once; shingles of the sets that are compared in one task, about.
@@ -107,20 +107,18 @@ def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles) and node (the set's digest) of each document; and rows without n: shingle and node, its count, for what is frequent in a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows, often = set(), 0, Counter()
+        seen, often = set(), Counter()
         names = ["doc_id", "n", "node"]
         for ids, n, own, hashes in _batches(batches):
             sizes, digests = _digests(n, own, hashes)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(digests)], names)
             new = np.array([d not in seen and not seen.add(d) for d in digests.tolist()], bool)
-            rows += int(new.sum())
             values, counts = np.unique(hashes[new[own]], return_counts=True)
             twice = counts > 1
             often.update(dict(zip(values[twice].tolist(), counts[twice].tolist(), strict=True)))
             if len(often) > 4 * FREQUENT:
                 often = Counter(dict(often.most_common(2 * FREQUENT)))
-        least = max(FLOOR, int(rows * SHARE))
-        found = [(h, c) for h, c in often.items() if c >= least]
+        found = [(h, c) for h, c in often.items() if c >= FLOOR]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([None] * len(found), pa.int64()), pa.array([c for _, c in found], pa.int64())], names)
 
     return docs.mapInArrow(run, "doc_id long, n long, node long")
@@ -317,8 +315,8 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED,
     docs = df.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     found = stored(spark, sets(docs), "sets")
     known = found.filter("n is not null")
-    often = found.filter("n is null").groupBy("doc_id").agg(F.sum("node").alias("c")).orderBy(F.desc("c"), "doc_id").limit(FREQUENT).collect()
-    order = Order(np.array([r["doc_id"] for r in often], np.int64).view(np.uint64), np.array([r["c"] for r in often], np.int64))
+    often = found.filter("n is null").groupBy("doc_id").agg(F.sum("node").alias("c")).orderBy(F.desc("c"), "doc_id").limit(FREQUENT).toArrow()
+    order = Order(often.column("doc_id").to_numpy().view(np.uint64), often.column("c").to_numpy())
     some = stored(spark, candidates(prefixes(docs, order, percent), percent, paired), "candidates")
     pairs = some.filter("block is null").groupBy("a", "b", "need").agg(F.count("*").alias("k")).filter("k >= need")
     pairs = stored(spark, pairs.select("a", "b"), "pairs")
