@@ -206,7 +206,7 @@ def _refined(cut: DataFrame, length: int, step: int) -> DataFrame:
 
 def cut_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, wide: int = WIDE) -> DataFrame:
     """df with text as what stays of it (bytes cut out of a character go with it), kept (its exact bytes), n_bytes, n_removed and n_spans."""
-    others = [c for c in df.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
+    others = [c for c in df.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans", "_row", "_id", "_cuts", "_row_of")]
     rows = _identified(df)
     spans = repeated_spans(rows, length, gram, step, wide)
     pieces = spans.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.collect_list(F.struct("begin", "end")).alias("_cuts"))
