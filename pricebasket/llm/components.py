@@ -19,8 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes that an edge (a, b) names.
 
     Each round links every node's larger neighbours, and then its smaller ones, to the smallest node it knows (large
-    and small stars in turn), until nothing changes (by the edges' number and digests). Stars are pre-aggregated minima; no neighbourhood is gathered.
-    Loops and repeated edges do nothing; no edges, no nodes.
+    and small stars in turn), until nothing changes (by the edges' number and digests). Stars are pre-aggregated
+    minima; no neighbourhood is gathered. Loops and repeated edges do nothing; no edges, no nodes.
     """
     now = stored(edges.sparkSession, edges.select("a", "b").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _mark(now)
