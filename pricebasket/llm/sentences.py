@@ -8,8 +8,7 @@ smallest id, then the first place in the text).
 Each hash's first occurrence and count come from a partial aggregate, so a passage in a third of all rows costs a few
 rows a task; its occurrences are then found by an equi-join with one row a hash, whose skewed partitions Spark splits.
 
-Runs compare by two 64-bit hashes of their sentences without outer white space. Runs of fewer than SHORTEST characters
-without sentences' outer white space don't count. Null and empty texts have no sentences and stay as they are. Rows
+Runs compare by two 64-bit hashes of their sentences without outer white space, and count however short they are. Null and empty texts have no sentences and stay as they are. Rows
 with one id are one document. Empty tables give empty results; other columns pass through untouched.
 """
 
@@ -20,7 +19,9 @@ from pyspark.sql import functions as F
 
 from pricebasket.llm.common import documents, whole_text
 
-SPAN, SHORTEST = 3, 40
+SPAN = 3
+#: The floor of OP3_SQL, which leaves shorter runs out; the operator has none.
+SHORTEST = 40
 #: A sentence: what comes before closing marks or line ends, these, and white space; or the rest.
 SENTENCE = r"[^.!?\n]*+[.!?\n]++[ \t\r\n\f]*+|[^.!?\n]++"
 SENTENCE_SQL = r"[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+"
@@ -30,17 +31,17 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
 
 
-def sentence_spans(df: DataFrame, span: int = SPAN, shortest: int = SHORTEST) -> DataFrame:
+def sentence_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, at (place of the first sentence), h1 and h2 of every run of sentences."""
     cut = df.select("doc_id", F.transform(sentences(whole_text()), lambda s: F.trim(s, F.lit(" \t\r\n\f"))).alias("_s"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_s") - (span - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("_s"), i, span), "\n"))
-    each = cut.filter(F.size("_s") > 0).select("doc_id", F.posexplode(runs).alias("at", "_run")).filter(F.length("_run") >= shortest)
+    each = cut.filter(F.size("_s") > 0).select("doc_id", F.posexplode(runs).alias("at", "_run"))
     return each.select("doc_id", "at", F.xxhash64("_run").alias("h1"), F.xxhash64(F.lit(span), "_run").alias("h2"))
 
 
-def drop_repeated_sentences(df: DataFrame, span: int = SPAN, shortest: int = SHORTEST) -> DataFrame:
+def drop_repeated_sentences(df: DataFrame, span: int = SPAN) -> DataFrame:
     """df with text reduced to what stays, and n_sentences and n_removed."""
-    spans = sentence_spans(df, span, shortest)
+    spans = sentence_spans(df, span)
     firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "at")).alias("_first")).filter("_n > 1").drop("_n")
     later = spans.join(firsts, ["h1", "h2"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("_first")))
     covered = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_at"))

@@ -92,6 +92,11 @@ def test_sentence_spans(spark, empty):
     assert sentences.drop_repeated_sentences(empty).count() == 0
 
 
+def test_short_sentence_runs(spark):
+    frame = spark.createDataFrame([(1, "Íllue. " * 9, None, None, 1), (2, "So it is.", None, None, 1), (3, "So it is.", None, None, 1), (4, "So was it.", None, None, 1)], SCHEMA)
+    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame))] == [(8, "Íllue. "), (0, "So it is."), (1, ""), (0, "So was it.")]
+
+
 def test_media_round_trip(docs, empty, texts):
     got = rows(media.read_media(media.store_media(docs)))
     for r, t in zip(got, texts, strict=True):
