@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences (each with its closing marks and the white space after them; together they are the text).
-Every run of SPAN consecutive sentences is hashed; a text of fewer sentences is one run. Runs are joined globally by
+Every run of RUN consecutive sentences is hashed; a text of fewer sentences is one run. Runs are joined globally by
 their hash, and every sentence is removed that a repeated run covers, unless the run is its first occurrence (the
 smallest id, then the first place in the text).
 
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from pricebasket.llm.common import documents, whole_text
 
-SPAN = 3
-#: The floor of OP3_SQL, which leaves shorter runs out; the operator has none.
-SHORTEST = 40
+RUN = 2
+#: The run and the floor of OP3_SQL, which leaves shorter runs out; the operator has no floor.
+SPAN, SHORTEST = 3, 40
 #: A sentence: what comes before closing marks or line ends, these, and white space; or the rest.
 SENTENCE = r"[^.!?\n]*+[.!?\n]++[ \t\r\n\f]*+|[^.!?\n]++"
 SENTENCE_SQL = r"[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+"
@@ -31,7 +31,7 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
 
 
-def sentence_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
+def sentence_spans(df: DataFrame, span: int = RUN) -> DataFrame:
     """doc_id, at (place of the first sentence), h1 and h2 of every run of sentences."""
     cut = df.select("doc_id", F.transform(sentences(whole_text()), lambda s: F.trim(s, F.lit(" \t\r\n\f"))).alias("_s"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_s") - (span - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("_s"), i, span), "\n"))
@@ -39,7 +39,7 @@ def sentence_spans(df: DataFrame, span: int = SPAN) -> DataFrame:
     return each.select("doc_id", "at", F.xxhash64("_run").alias("h1"), F.xxhash64(F.lit(span), "_run").alias("h2"))
 
 
-def drop_repeated_sentences(df: DataFrame, span: int = SPAN) -> DataFrame:
+def drop_repeated_sentences(df: DataFrame, span: int = RUN) -> DataFrame:
     """df with text reduced to what stays, and n_sentences and n_removed."""
     spans = sentence_spans(df, span)
     firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "at")).alias("_first")).filter("_n > 1").drop("_n")

@@ -97,6 +97,12 @@ def test_short_sentence_runs(spark):
     assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame))] == [(8, "Íllue. "), (0, "So it is."), (1, ""), (0, "So was it.")]
 
 
+def test_two_shared_sentences(spark):
+    shared = "Only these two are shared. They stand between others! "
+    frame = spark.createDataFrame([(1, "One. " + shared + "Two.", None, None, 1), (2, "Three. " + shared + "Four.", None, None, 1)], SCHEMA)
+    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame))] == [(0, "One. " + shared + "Two."), (2, "Three. Four.")]
+
+
 def test_media_round_trip(docs, empty, texts):
     got = rows(media.read_media(media.store_media(docs)))
     for r, t in zip(got, texts, strict=True):
