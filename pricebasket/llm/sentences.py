@@ -8,8 +8,8 @@ smallest id, then the first place in the text).
 Each hash's first occurrence and count come from a partial aggregate, so a passage in a third of all rows costs a few
 rows a task; its occurrences are then found by an equi-join with one row a hash, whose skewed partitions Spark splits.
 
-Runs compare by two 64-bit hashes of their sentences without outer white space, and count however short they are. Null and empty texts have no sentences and stay as they are. Rows
-with one id are one document. Empty tables give empty results; other columns pass through untouched.
+Runs compare by two 64-bit hashes of their sentences without outer white space, and count however short they are. Null
+and empty texts have no sentences and stay as they are. Rows with one id are one document. Empty tables give empty results; other columns pass through untouched.
 """
 
 from __future__ import annotations
