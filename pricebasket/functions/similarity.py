@@ -16,6 +16,14 @@ def ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio() if left and right else 0.0
 
 
+def ratio_from(left: str, right: str, threshold: float) -> float | None:
+    """The ratio, or None where it is below the threshold; upper bounds spare most full comparisons."""
+    matcher = SequenceMatcher(None, left, right)
+    if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
+        return None
+    return got if (got := matcher.ratio()) >= threshold else None
+
+
 def similarity(left: Column, right: Column) -> Column:
     """F5 over two columns, in Arrow batches."""
     from pyspark.sql import SparkSession

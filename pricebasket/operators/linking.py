@@ -1,23 +1,88 @@
 """Linking parsed items to lasting item series (L1, L2).
 
 Only the keys of one bucket (outlet and portion size) are compared. Rows whose key is already known change nothing and
-resolve by a null-safe join; what is left is folded bucket by bucket in the order of month and page, as a new key joins its bucket at
-once. A whole history links in one pass.
+resolve by a null-safe join. What is left is what a fold in the order of month and page gives, as a new key joins its
+bucket at once; a whole history links in one pass.
+
+No bucket is gathered. Distinct keys that can reach the threshold are found by equi-joins on their rarest q-grams within
+the bucket, and each such pair is scored once. Which keys found series is then decided in rounds of joins over those pairs:
+a key without an undecided earlier partner founds, and its later partners don't. Each row takes the best of the keys that
+stood at its time, by a join with the few keys that ever were a key's best.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricebasket.functions.similarity import best_match
+from pricebasket.functions.similarity import ratio_from
+from pricebasket.llm.common import stored
 from pricebasket.operators.store import item_id
 from pricebasket.session import ship_package
 from pricebasket.settings import DEFAULTS, Settings
 
 BUCKET = ["outlet_id", "size_value", "size_unit"]
-LINKED = "outlet_id string, size_value double, size_unit string, period string, position long, new_key string, match_key string, score double, is_new boolean"
+LONGEST_GRAM = 3
+#: Added where a bound is rounded, so that floating point loses no pair.
+SLACK = 1e-6
+
+
+def _gain(q: int, threshold: float) -> float:
+    return (q - 0.5) * threshold - (q - 1)
+
+
+def near_pairs(keys: DataFrame, threshold: float) -> DataFrame:
+    """a, b and score of all pairs of different keys in one bucket whose ratio reaches the threshold, where a is unlinked.
+
+    keys: bucket, key, unlinked; distinct. A pair with M letters in common in order has a ratio of 2 M / (length of a + length
+    of b). A letter of a outside these breaks at most q of its q-grams and a gap in b at most q - 1, so with q - 1 marks at
+    either end at least (2 q - 1) M - (q - 1) (both lengths - 1) q-grams are common; two sets with so many in common share
+    one among their rarest, in any order of the q-grams. q is the largest for which that number stays positive.
+    """
+    q = max(n for n in range(1, LONGEST_GRAM + 1) if n == 1 or _gain(n, threshold) >= 0)
+    shortest = threshold / (2 - threshold)
+    mark = F.lit("\1" * (q - 1))
+    length = F.length("key")
+    padded = F.concat(mark, "key", mark)
+    plain = F.transform(F.sequence(F.lit(1), length + (q - 1)), lambda i: F.substr(padded, i, F.lit(q)))
+    # a q-gram that recurs in a key counts each time, numbered
+    gram_of = lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(F.col("_grams"), F.lit(1), i + 1), lambda x: x == g)).alias("n"))
+    each = keys.withColumn("_grams", plain).select("bucket", "key", "unlinked", length.alias("length"), F.explode(F.transform("_grams", gram_of)).alias("gram"))
+    counts = each.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n"))
+    ordered = each.join(counts, F.col("gram") == F.col("_gram")).groupBy("bucket", "key", "unlinked", "length").agg(F.array_sort(F.collect_list(F.struct("_n", "gram"))).alias("_grams"))
+    least = F.greatest(F.ceil(_gain(q, threshold) * (F.col("length") + F.ceil(F.col("length") * shortest - SLACK)) + (q - 1) - SLACK), F.lit(1))
+    rare = ordered.withColumn("gram", F.explode(F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - least + 1, F.lit(1)).cast("int")))).select("bucket", "key", "unlinked", "length", "gram.gram")
+    left = rare.filter("unlinked").select("bucket", F.col("key").alias("a"), F.col("length").alias("la"), "gram")
+    right = rare.select(F.col("bucket").alias("_bucket"), F.col("key").alias("b"), F.col("length").alias("lb"), F.col("gram").alias("_gram"))
+    fits = 2 * F.least("la", "lb") >= threshold * (F.col("la") + F.col("lb")) - SLACK
+    found = left.join(right, (F.col("bucket") == F.col("_bucket")) & (F.col("gram") == F.col("_gram")) & (F.col("a") != F.col("b")) & fits).select("bucket", "a", "b").distinct()
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio_from(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return found.withColumn("score", score("a", "b")).filter("score > 0").select(F.struct("bucket", F.col("a").alias("key")).alias("a"), F.struct("bucket", F.col("b").alias("key")).alias("b"), "score")
+
+
+def _at(period: Column | str, position: Column | str, key: Column | str, stored_first: bool = False) -> Column:
+    """A key's or row's place in the fold: stored keys before all rows, rows by month, page and key, nulls last."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.struct(F.lit(not stored_first).alias("row"), col(period).isNull().alias("no_period"), col(period).alias("period"), col(position).isNull().alias("no_position"), col(position).alias("position"), col(key).alias("key"))
+
+
+def _later_partners(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of new keys, b the earlier one: every a with a founder b. An undecided key without undecided earlier partners founds."""
+    spark, lost = pairs.sparkSession, None
+    left = stored(spark, pairs, "linking")
+    while not left.isEmpty():
+        heads = left.select(F.col("a").alias("_head")).distinct()
+        gone = stored(spark, left.join(heads, F.col("b") == F.col("_head"), "left_anti").select(F.col("a").alias("_gone")).distinct(), "linking")
+        lost = gone if lost is None else lost.unionByName(gone)
+        left = stored(spark, left.join(gone, F.col("a") == F.col("_gone"), "left_anti").join(gone, F.col("b") == F.col("_gone"), "left_anti"), "linking")
+    return pairs.select(F.col("a").alias("_gone")).limit(0) if lost is None else lost
 
 
 def link_items(parsed: DataFrame, known: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -25,30 +90,41 @@ def link_items(parsed: DataFrame, known: DataFrame, settings: Settings = DEFAULT
 
     known: items with bucket columns, match_key and first_seen. Rows with an empty key are dropped.
     """
-    ship_package(parsed.sparkSession)
+    spark, threshold = parsed.sparkSession, settings.match_threshold
+    ship_package(spark)
     rows = parsed.select(*BUCKET, "period", F.col("position").cast("long").alias("position"), F.col("match_key").alias("new_key")).filter("new_key != ''")
-    items = known.select(*BUCKET, "match_key", F.coalesce("first_seen", F.lit("")).alias("first_seen")).dropDuplicates([*BUCKET, "match_key"])
+    items = known.filter("match_key != ''").groupBy(*BUCKET, "match_key").agg(F.min(F.coalesce("first_seen", F.lit(""))).alias("first_seen"))
     own = items.withColumnsRenamed({c: f"_{c}" for c in BUCKET})
     same = [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BUCKET), F.col("new_key") == F.col("match_key")]
     exact = rows.join(own, same, "left_semi").withColumn("match_key", F.col("new_key")).withColumn("score", F.lit(1.0)).withColumn("is_new", F.lit(False))
-    rest = rows.join(own, same, "left_anti")
-    threshold = settings.match_threshold
-
-    def fold(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        keys = old.sort_values(["first_seen", "match_key"])["match_key"].tolist()
-        known_now, found = set(keys), []
-        for row in new.sort_values(["period", "position", "new_key"]).itertuples(index=False):
-            key, score = (row.new_key, 1.0) if row.new_key in known_now else best_match(row.new_key, keys, threshold)
-            if key is None:
-                key = row.new_key
-                keys.append(key)
-                known_now.add(key)
-                found.append((key, 1.0, True))
-            else:
-                found.append((key, score, False))
-        out = new.sort_values(["period", "position", "new_key"])[[*BUCKET, "period", "position", "new_key"]].reset_index(drop=True)
-        return out.join(pd.DataFrame(found, columns=["match_key", "score", "is_new"]))
-
-    folded = rest.groupBy(*BUCKET).cogroup(own.groupBy(*(f"_{c}" for c in BUCKET))).applyInPandas(lambda a, b: fold(a, b), LINKED)
-    both = exact.select(*folded.columns).unionByName(folded)
+    bucket = F.struct(*BUCKET)
+    rest = rows.join(own, same, "left_anti").withColumn("node", F.struct(bucket.alias("bucket"), F.col("new_key").alias("key"))).withColumn("at", _at("period", "position", "new_key"))
+    rest = stored(spark, rest, "linking")
+
+    new = rest.groupBy("node").agg(F.min("at").alias("at")).withColumn("unlinked", F.lit(True))
+    old = items.select(F.struct(bucket.alias("bucket"), F.col("match_key").alias("key")).alias("node"), _at("first_seen", F.lit(None).cast("long"), "match_key", stored_first=True).alias("at"), F.lit(False).alias("unlinked"))
+    nodes = stored(spark, new.unionByName(old), "linking")
+    pairs = near_pairs(nodes.select("node.bucket", "node.key", "unlinked"), threshold)
+    ends = lambda end: nodes.select(F.col("node").alias(f"_{end}"), F.col("at").alias(f"{end}_at"))
+    pairs = stored(spark, pairs.join(ends("a"), F.col("a") == F.col("_a")).join(ends("b"), F.col("b") == F.col("_b")).select("a", "a_at", "b", "b_at", "score"), "linking")
+
+    covered = pairs.filter("not b_at.row").select(F.col("a").alias("_gone")).distinct()
+    earlier = pairs.filter("b_at.row and b_at < a_at").select("a", "b")
+    open_pairs = earlier.join(covered, F.col("a") == F.col("_gone"), "left_anti").join(covered, F.col("b") == F.col("_gone"), "left_anti")
+    renamed = stored(spark, covered.unionByName(_later_partners(open_pairs)), "linking")
+
+    # of the keys that a renamed key can belong to, those better than all that stood before them, with the time until the next
+    before = Window.partitionBy("a").orderBy("b_at")
+    standing = pairs.join(renamed, F.col("a") == F.col("_gone"), "left_semi").join(renamed, F.col("b") == F.col("_gone"), "left_anti")
+    better = standing.withColumn("_best", F.max("score").over(before.rowsBetween(Window.unboundedPreceding, -1))).filter("_best is null or score > _best")
+    best = better.select("a", F.col("b.key").alias("match_key"), "score", "b_at", F.lead("b_at").over(before).alias("_until"))
+    linked = rest.join(best, (F.col("node") == F.col("a")) & (F.col("b_at") < F.col("at")) & (F.col("_until").isNull() | (F.col("at") < F.col("_until")))).withColumn("is_new", F.lit(False))
+    founding = rest.join(renamed, F.col("node") == F.col("_gone"), "left_anti").join(new.select(F.col("node").alias("_node"), F.col("at").alias("_first")), F.col("node") == F.col("_node"))
+    founding = founding.withColumn("match_key", F.col("new_key")).withColumn("score", F.lit(1.0))
+    # rows alike in month, place and key: one is the first
+    first = founding.filter("at = _first").withColumn("is_new", F.row_number().over(Window.partitionBy("node").orderBy("at")) == 1)
+    again = founding.filter("at != _first").withColumn("is_new", F.lit(False))
+
+    columns = [*BUCKET, "period", "position", "new_key", "match_key", "score", "is_new"]
+    both = exact.select(columns).unionByName(linked.select(columns)).unionByName(first.select(columns)).unionByName(again.select(columns))
     return both.withColumn("renamed", F.col("match_key") != F.col("new_key")).withColumn("item_id", item_id())

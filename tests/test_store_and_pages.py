@@ -1,10 +1,13 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pricebasket.functions.similarity import best_match
 from pricebasket.jobs.collect import collect
 from pricebasket.operators import linking, permissions, store
+from pricebasket.settings import Settings
 from pricebasket.sources import outlets, payload, schemas, tables
 from pricebasket.streaming.ingest import start_ingest
 
@@ -40,6 +43,42 @@ def test_linking_is_a_fold(spark):
         assert got[0]["item_id"] == got[1]["item_id"] != got[2]["item_id"]
 
 
+def folded(rows, known, threshold):
+    """Linking by the plain fold: every row against all keys of its bucket."""
+    out = []
+    for bucket in {r[:3] for r in rows}:
+        keys = [k for _, k in sorted((first, key) for *b, key, first in known if tuple(b) == bucket)]
+        for r in sorted((r for r in rows if r[:3] == bucket), key=lambda r: r[3:]):
+            key, score = best_match(r[5], keys, threshold)
+            out.append((*r, key or r[5], score if key else 1.0, key is None))
+            keys += [] if key else [r[5]]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("threshold", "n"), [(0.88, 6), (0.5, 0)])
+def test_linking_is_the_plain_fold(spark, threshold, n):
+    """One bucket of keys a few letters apart, long and short ones, repeated over months, with and without stored keys."""
+    r = random.Random(int(threshold * 100))
+    stems = ["cheeseburger deluxe", "clam chowder", "fish and chips", "aa", "aaaaaaaa", "tea", "soup of day"]
+
+    def key():
+        letters = list(r.choice(stems))
+        for _ in range(r.randrange(4)):
+            letters[r.randrange(len(letters))] = r.choice(["", "x", "s", "a", "ab"])
+        return "".join(letters) or "tea"
+
+    buckets = [("a", None, None), ("a", 12.0, "oz"), ("b", None, None)]
+    parsed = [(*buckets[r.choice([0, 0, 0, 1, 2])], f"2026-0{r.randint(1, 4)}", i, key()) for i in range(250)]
+    columns = "outlet_id string, size_value double, size_unit string, period string, position long, match_key string"
+    stored = {(b, key()) for b in buckets for _ in range(n)}
+    known = [(*b, k, r.choice(["2025-01", "2025-02"])) for b, k in sorted(stored, key=str)]
+    items = spark.createDataFrame(known, "outlet_id string, size_value double, size_unit string, match_key string, first_seen string")
+    linked = linking.link_items(spark.createDataFrame(parsed, columns), items, Settings(match_threshold=threshold))
+    got = linked.select("outlet_id", "size_value", "size_unit", "period", "position", "new_key", "match_key", "score", "is_new").collect()
+    assert sorted(map(tuple, got), key=str) == folded(parsed, known, threshold)
+    assert "CoGroups" not in linked._jdf.queryExecution().toString()
+
+
 def test_datasets_stay_apart(spark, tmp_path):
     rows = [(1, "2026-01", c, "n", s, d) for c, s, d in ((1000, "1", "real"), (9999, "1", "simulated"))]
     frame = spark.createDataFrame(rows, schemas.OBSERVATIONS)
