@@ -5,7 +5,8 @@ each small bucket of keys, as many slots as keys), so a lookup is one hash, two
 pre-token that is no token is merged: its bytes form a linked list, a heap holds the joinable neighbours by rank,
 and the lowest rank (leftmost on ties) is joined until no neighbours can be.
 
-The vocabulary is broadcast: its size is that of a vocabulary file, whatever the data. Texts are never shuffled.
+The vocabulary is broadcast: its size is that of a vocabulary file, whatever the data. Texts are never shuffled. A task
+remembers pre-tokens' ids, packed, in two generations of MEMO entries at most, and frees them when it ends.
 
 Null texts are encoded as empty ones (no ids); empty texts give no ids, and the digests are those of no bytes.
 Repeated rows give repeated rows. An empty table gives an empty result. Other columns of the input play no part.
@@ -14,11 +15,11 @@ Repeated rows give repeated rows. An empty table gives an empty result. Other co
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice, pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import bound_batches, documents, whole_text
+from pricebasket.llm.common import Batches, documents, map_batches, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MASK = (1 << 64) - 1
@@ -36,8 +37,12 @@ MASK = (1 << 64) - 1
 LONG_TEXT = 1 << 20
 #: Pre-tokens at a time there.
 PIECES = 1 << 16
-#: Entries in one of the two generations of a worker's memo of pre-tokens: when the young one is full, it becomes the old one, and what is used of that moves over.
-MEMO = 400_000
+#: Bytes of packed ids that are handed on together, at least one text's.
+PACKED = 1 << 20
+#: Entries in one of the two generations of a task's memo of pre-tokens: when the young one is full, it becomes the old one, and what is used of that moves over.
+MEMO = 250_000
+#: Pairs of neighbours whose rank a task remembers.
+PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,13 +100,15 @@ class MinimalPerfectHash:
 
 
 class _Merged(dict):
-    """Pre-token -> ids, made on demand; bounded."""
+    """Pre-token -> ids, packed in the codec's width; made on demand and bounded."""
 
     def __init__(self, codec: BytePairCodec) -> None:
         self.codec, self.old = codec, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece) or self.codec.encode_piece(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array(self.codec.kind, self.codec.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.old = dict(self)
@@ -124,6 +131,7 @@ class BytePairCodec:
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for key, rank in ranks.items():
             self.token[rank] = key
+        self.kind = "H" if len(self.token) <= 1 << 16 else "I"
         self.of_byte = [self.find(bytes([b])) for b in range(256)]
         if min(self.of_byte) < 0:
             raise ValueError("a byte has no token")
@@ -131,6 +139,10 @@ class BytePairCodec:
 
     def _prepare(self) -> None:
         self.split = regex.compile(self.pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        """Frees what has been remembered."""
         self.merged, self.pairs = _Merged(self), {}
 
     def __getstate__(self) -> dict:
@@ -147,7 +159,7 @@ class BytePairCodec:
 
     def _pair(self, both: int) -> int:
         """The rank of two neighbours' join, -1 if they can't be joined; both: the left id above the right id's 32 bits."""
-        if len(self.pairs) >= MEMO:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         got = self.pairs[both] = self.find(self.token[both >> 32] + self.token[both & 0xFFFFFFFF])
         return got
@@ -191,18 +203,21 @@ class BytePairCodec:
                     heapq.heappush(heap, r * n + p)
         return tuple(x for x in ids if x >= 0)
 
-    def encode_chunks(self, text: str) -> Iterator[list[int]]:
-        """The text's ids, in lists of bounded length where the text is long."""
+    def encode_chunks(self, text: str) -> Iterator[bytes]:
+        """The text's ids, packed, in pieces of bounded length where the text is long."""
         look = self.merged.__getitem__
         if len(text) <= LONG_TEXT:
-            yield list(chain.from_iterable(map(look, self.split.findall(text))))
+            yield b"".join(map(look, self.split.findall(text)))
             return
         pieces = (m[0] for m in self.split.finditer(text))
         while part := list(islice(pieces, PIECES)):
-            yield list(chain.from_iterable(map(look, part)))
+            yield b"".join(map(look, part))
+
+    def unpack(self, packed: bytes) -> array:
+        return array(self.kind, packed)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.encode_chunks(text)))
+        return self.unpack(b"".join(self.encode_chunks(text))).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -214,31 +229,42 @@ def codec(path: str | None = None, pattern: str = public_tokenizers.PATTERN) ->
 
 def bpe_encode(df: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and token_ids (array<int>) of each document."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(codec(path))
+    shared = df.sparkSession.sparkContext.broadcast(codec(path))
+
+    def lists(own: BytePairCodec, ids: pa.Array, packed: list[bytes]) -> pa.RecordBatch:
+        ends = np.zeros(len(packed) + 1, np.int32)
+        np.cumsum([len(p) // array(own.kind).itemsize for p in packed], out=ends[1:])
+        flat = np.frombuffer(b"".join(packed), own.kind).astype(np.int32)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_tokens", "token_ids"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
+        try:
+            for batch in batches:
+                ids, packed, size, first = batch.column("doc_id"), [], 0, 0
+                for k, text in enumerate(batch.column("text")):
+                    packed.append(b"".join(own.encode_chunks(text.as_py())))
+                    size += len(packed[-1])
+                    if size > PACKED or k + 1 == len(ids):
+                        yield lists(own, ids.slice(first, k + 1 - first), packed)
+                        packed, size, first = [], 0, k + 1
+        finally:
+            own.forget()
 
-    return df.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>")
+    return map_batches(df.select("doc_id", whole_text().alias("text")), run, "doc_id long, n_tokens long, token_ids array<int>")
 
 
 def bpe_decode(df: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and decoded (binary) from doc_id and token_ids; null ids decode to no bytes."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(codec(path))
+    shared = df.sparkSession.sparkContext.broadcast(codec(path))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.decode(x or ()) for x in batch.column("token_ids").to_pylist()], pa.binary())], ["doc_id", "decoded"])
+            decoded = [own.decode(x.as_py() or ()) for x in batch.column("token_ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.binary())], ["doc_id", "decoded"])
 
-    return df.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, decoded binary")
+    return map_batches(df.select("doc_id", "token_ids"), run, "doc_id long, decoded binary")
 
 
 def bpe_round_trip(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -246,29 +272,30 @@ def bpe_round_trip(df: DataFrame, path: str | None = None) -> DataFrame:
 
     One pass; neither ids nor texts leave the task. Long texts go through in bounded pieces.
     """
-    spark = df.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(codec(path))
+    shared = df.sparkSession.sparkContext.broadcast(codec(path))
 
     def digests(own: BytePairCodec, digits: list[str], text: str) -> tuple[int, str, str]:
         n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in own.encode_chunks(text):
-            if ids:
+        for packed in own.encode_chunks(text):
+            if packed:
+                ids = own.unpack(packed)
                 of_ids.update(((" " if n else "") + " ".join(map(digits.__getitem__, ids))).encode())
                 of_bytes.update(own.decode(ids))
                 n += len(ids)
         return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.set_threshold(100_000, 50, 50)  # a memo of many small objects holds no cycles
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = shared.value
         digits = list(map(str, range(len(own.token))))
-        for batch in batches:
-            rows = [digests(own, digits, t.as_py()) for t in batch.column("text")]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        try:
+            for batch in batches:
+                rows = [digests(own, digits, t.as_py()) for t in batch.column("text")]
+                n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.forget()
+
+    return map_batches(df.select("doc_id", whole_text().alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

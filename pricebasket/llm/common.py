@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricebasket.session import ship_package
 
@@ -18,20 +25,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+Batches = Iterable[pa.RecordBatch]
+
+
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small, so that a worker never holds thousands of long texts at once; and make this package known to workers."""
+    """Make this package known to workers, and keep Arrow batches small, so that a worker never holds thousands of long texts
+    at once. The session keeps that setting, since it counts when a frame is run, not when it is made."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; a worker is reused by later tasks and would keep it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Batches], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow in small batches. What a task has built up is freed with the task."""
+    bound_batches(df.sparkSession)
+
+    def task(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it; where it names none, a new one (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+    """The folder that the driver and all executors share, as the session names it. Where it names none: a new one if all run
+    in one process (local runs, tests), else the warehouse if that is in a store, else an error."""
+    context, found = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not found and re.match(r"local(\[|$)", context.master):
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        found = _LOCAL[context.applicationId]
+    elif not found:
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        if urlparse(found).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 

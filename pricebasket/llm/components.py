@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pricebasket.llm.common import stored
 
-ROUNDS = 40
-
 
 def _mark(edges: DataFrame) -> Row:
     """Equal for equal sets of edges: their number and two 64-bit digests, one aggregate without a join."""
@@ -20,11 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours, and then its smaller ones, to the smallest node it knows (large
     and small stars in turn), until nothing changes (by the edges' number and digests). Stars are pre-aggregated
-    minima; no neighbourhood is gathered. Loops and repeated edges do nothing; no edges, no nodes.
+    minima; no neighbourhood is gathered; rounds grow with the logarithm of the longest path. Loops and repeated edges do nothing; no edges, no nodes.
     """
     now = stored(edges.sparkSession, edges.select("a", "b").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _mark(now)
-    for _ in range(ROUNDS):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -36,6 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         before = _mark(now)
         if mark == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
