@@ -196,9 +196,9 @@ def test_mixing_meets_targets(spark, empty):
 
 def test_records(spark, docs, empty, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     folder = new_path(spark, "test-records")
-    index = records.write_records(records.encode_documents(docs), folder, file_rows=4)
+    index = records.write_records(docs, folder, file_bytes=4000)
+    assert index.select("file").distinct().count() > 2
     read = records.read_records(records.with_starts(index), folder, lambda i, ids: {"ids": ids.tolist()}, "ids array<long>")
     expected = [tokenizer.encode(t or "", add_special_tokens=False).ids + [records.END] for t in texts]
     got = rows(read)
@@ -208,4 +208,36 @@ def test_records(spark, docs, empty, texts):
     assert list(records.frames(good + good)) == [b"abc"] * 2
     with pytest.raises(ValueError):
         records.unframe(good[:-1] + bytes([good[-1] ^ 1]))
-    assert records.write_records(records.encode_documents(empty), new_path(spark, "none")).count() == 0
+    assert records.write_records(empty, new_path(spark, "none")).count() == 0
+
+
+def test_records_of_special_strings():
+    """Words alone, one after another, give what the library gives for the whole text."""
+    tokenizer, memo, r = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER)), records.WordMemo(public_tokenizers.path(records.TOKENIZER)), random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "  ", "\n", "\t", "\r", "\x1c", "\u00a0", "Word", "é", "e\u0301", "\u0301", "don't", "'S", "12", "日本", "İ", ",", "%$", "ß."]
+    for text in ["a <|endoftext|> b", "a<|startoftext|>b", *("".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000))]:
+        assert np.frombuffer(next(memo.encode([text], records.END)), "<u2").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, records.END], repr(text)
+
+
+def test_records_of_null_and_equal_ids(spark):
+    """Null ids first; rows of one id in an order of their texts' hashes, over several files; the query's digests."""
+    given = [(None, f"no id {k} " * 40) for k in range(30)] + [(5, f"same id {k} " * 40) for k in range(30)] + [(5, "twice"), (5, "twice"), (6, None), (-3, "less")]
+    frame = spark.createDataFrame(given, "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("record", F.lit("clash"))
+    folder = new_path(spark, "test-records")
+    index = records.write_records(frame, folder, file_bytes=2500)
+    assert index.select("file").distinct().count() > 5
+    got = records.read_records(records.with_starts(index), folder, lambda i, ids: {"ids": ids.tolist()}, "ids array<long>").orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
+    expected = sorted((i is not None, i or 0, tokenizer.encode(t or "", add_special_tokens=False).ids + [records.END]) for i, t in given)
+    assert [r["doc_id"] for r in got] == [i if known else None for known, i, _ in expected]
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in got) == expected
+    assert [r["start"] for r in got] == [sum(len(x["ids"]) for x in got[:k]) for k in range(len(got))]
+
+
+def test_records_query(spark, tmp_path, docs, texts):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, start = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER)), 0
+    for r, t in zip(rows(records.op10_token_records(spark, str(tmp_path))), texts, strict=True):
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [records.END], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
