@@ -1,15 +1,18 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (each with its closing marks and the white space after them; together they are the text).
-Every run of RUN consecutive sentences is hashed; a text of fewer sentences is one run. Runs are joined globally by
-their hash, and every sentence is removed that a repeated run covers, unless the run is its first occurrence (the
-smallest id, then the first place in the text).
+A text is cut into sentences (each with its closing marks and the white space after them; together they are the text);
+a sentence of more than LONG words is cut at its clause marks, and the parts count as sentences. From every sentence a
+run of consecutive sentences is hashed: two at least, and as many as hold WORDS words (WORDS sentences at most, should they hold fewer words). A
+text of fewer words than that is one run; the last sentences of others, which begin no run, are in earlier ones. Runs
+are joined globally by their hash, and every sentence is removed that a repeated run covers, unless the run is its first
+occurrence (the smallest id, then the first place in the text).
 
 Each hash's first occurrence and count come from a partial aggregate, so a passage in a third of all rows costs a few
 rows a task; its occurrences are then found by an equi-join with one row a hash, whose skewed partitions Spark splits.
 
-Runs compare by two 64-bit hashes of their sentences without outer white space, and count however short they are. Null
-and empty texts have no sentences and stay as they are. Rows with one id are one document. Empty tables give empty results; other columns pass through untouched.
+Runs compare by two 64-bit hashes of their sentences without outer white space. Null and empty texts have no sentences
+and stay as they are. Rows of one id (or none) are told apart by a hash of their text; rows equal in both are one
+document. Empty tables give empty results; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,38 +22,59 @@ from pyspark.sql import functions as F
 
 from pricebasket.llm.common import documents, whole_text
 
-RUN = 2
-#: The run and the floor of OP3_SQL, which leaves shorter runs out; the operator has no floor.
-SPAN, SHORTEST = 3, 40
-#: A sentence: what comes before closing marks or line ends, these, and white space; or the rest.
+#: Words that a run holds at least, sentences likewise; words of a sentence beyond which it is cut at clause marks.
+WORDS, RUN, LONG = 20, 2, 15
+#: A sentence: what comes before closing marks or line ends, these, and white space; or the rest. A clause likewise.
 SENTENCE = r"[^.!?\n]*+[.!?\n]++[ \t\r\n\f]*+|[^.!?\n]++"
-SENTENCE_SQL = r"[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+"
+CLAUSE = r"[^,;:]*+[,;:]++[ \t\r\n\f]*+|[^,;:]++"
+BLANK = " \t\r\n\f"
 
 
-def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
+def word_count(text: Column) -> Column:
+    bare = F.trim(text, F.lit(BLANK))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{BLANK}]+")))
 
 
-def sentence_spans(df: DataFrame, span: int = RUN) -> DataFrame:
-    """doc_id, at (place of the first sentence), h1 and h2 of every run of sentences."""
-    cut = df.select("doc_id", F.transform(sentences(whole_text()), lambda s: F.trim(s, F.lit(" \t\r\n\f"))).alias("_s"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_s") - (span - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("_s"), i, span), "\n"))
-    each = cut.filter(F.size("_s") > 0).select("doc_id", F.posexplode(runs).alias("at", "_run"))
-    return each.select("doc_id", "at", F.xxhash64("_run").alias("h1"), F.xxhash64(F.lit(span), "_run").alias("h2"))
+def sentences(text: Column, long: int = LONG) -> Column:
+    """The text's sentences, those of more than `long` words as their clauses."""
+    whole = F.regexp_extract_all(text, F.lit(SENTENCE), 0)
+    return F.flatten(F.transform(whole, lambda s: F.when(word_count(s) > long, F.regexp_extract_all(s, F.lit(CLAUSE), 0)).otherwise(F.array(s))))
 
 
-def drop_repeated_sentences(df: DataFrame, span: int = RUN) -> DataFrame:
+def sentence_spans(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, _row, at (place of the first sentence), k (sentences), h1 and h2 of every run of sentences."""
+    cut = df.select("doc_id", F.xxhash64(whole_text()).alias("_row"), F.transform(sentences(whole_text()), lambda s: F.trim(s, F.lit(BLANK))).alias("_s"))
+    most = max(words, RUN)
+    cut = cut.filter(F.size("_s") > 0).withColumn("_w", F.transform("_s", word_count))
+
+    def length(i: Column) -> Column:
+        """Sentences and words of the run from sentence i."""
+        none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
+        more = lambda a, w: F.when((a["n"] >= words) & (a["k"] >= RUN), a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + w).alias("n")))
+        return F.aggregate(F.slice("_w", i, most), none, more)
+
+    runs = F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.struct((i - 1).alias("at"), length(i).alias("long")))
+    full = F.filter(runs, lambda r: (r["at"] == 0) | (r["long"]["k"] >= RUN) & ((r["long"]["n"] >= words) | (r["long"]["k"] == most)))
+    hashed = F.transform(full, lambda r: F.struct(r["at"].alias("at"), r["long"]["k"].alias("k"), F.array_join(F.slice("_s", r["at"] + 1, r["long"]["k"]), "\n").alias("run")))
+    each = cut.select("doc_id", "_row", F.explode(hashed).alias("r"))
+    return each.select("doc_id", "_row", "r.at", "r.k", F.xxhash64("r.run").alias("h1"), F.xxhash64(F.lit(words), "r.run").alias("h2"))
+
+
+def drop_repeated_sentences(df: DataFrame, words: int = WORDS) -> DataFrame:
     """df with text reduced to what stays, and n_sentences and n_removed."""
-    spans = sentence_spans(df, span)
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "at")).alias("_first")).filter("_n > 1").drop("_n")
-    later = spans.join(firsts, ["h1", "h2"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("_first")))
-    covered = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_at"))
-    kept = df.drop("n_sentences", "n_removed").join(covered, df["doc_id"].eqNullSafe(F.col("_id")), "left")
-    cut = kept.withColumn("_s", sentences(whole_text())).withColumn("_gone", F.array_distinct(F.flatten(F.transform(F.coalesce("_at", F.array().cast("array<int>")), lambda a: F.sequence(a, F.least(a + span - 1, F.size("_s") - 1))))))
+    spans = sentence_spans(df, words)
+    own = F.struct("doc_id", "_row", "at")
+    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min(own).alias("_first")).filter("_n > 1").drop("_n")
+    later = spans.join(firsts, ["h1", "h2"]).filter(~own.eqNullSafe(F.col("_first")))
+    covered = later.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_row_of")).agg(F.collect_set(F.struct("at", "k")).alias("_runs"))
+    rows = df.drop("n_sentences", "n_removed").withColumn("_row", F.xxhash64(whole_text()))
+    kept = rows.join(covered, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_row_of")), "left")
+    places = F.transform("_runs", lambda r: F.sequence(r["at"], r["at"] + r["k"] - 1))
+    cut = kept.withColumn("_s", sentences(whole_text())).withColumn("_gone", F.array_distinct(F.flatten(F.coalesce(places, F.array().cast("array<array<int>>")))))
     gone = F.map_from_entries(F.transform("_gone", lambda i: F.struct(i, F.lit(True))))
     rest = F.array_join(F.filter("_s", lambda s, i: ~F.map_contains_key(F.col("_gone_map"), i)), "")
     out = cut.withColumn("_gone_map", gone).withColumn("n_sentences", F.size("_s").cast("long")).withColumn("n_removed", F.size("_gone").cast("long"))
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text"))).drop("_id", "_at", "_s", "_gone", "_gone_map")
+    return out.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text"))).drop("_id", "_row", "_row_of", "_runs", "_s", "_gone", "_gone_map")
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,19 +83,27 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = rf"""
-with cut as (
-  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{SENTENCE_SQL}') as s from documents),
-runs as (
-  select doc_id, pos, array_to_string(list_transform(s[pos + 1 : pos + {SPAN}], lambda x: trim(x, e' \t\r\n\f')), e'\n') as run
-  from (select doc_id, s, unnest(range(greatest(len(s) - {SPAN - 1}, 1))) as pos from cut where len(s) > 0)),
+with whole as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+') as s from documents),
+cut as (
+  select doc_id, flatten(list_transform(s, lambda x: case when len(regexp_extract_all(x, '[^ \t\r\n\f]+')) > {LONG}
+                                              then regexp_extract_all(x, '[^,;:]*[,;:]+[ \t\r\n\f]*|[^,;:]+') else [x] end)) as s from whole),
 counted as (
-  select doc_id, pos, row_number() over (partition by run order by doc_id, pos) as nth from runs where length(run) >= {SHORTEST}),
-later as (select distinct doc_id, unnest(range(pos, pos + {SPAN})) as pos from counted where nth > 1),
-each as (
-  select doc_id, s, unnest(range(len(s))) as pos from cut where len(s) > 0),
+  select doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[^ \t\r\n\f]+'))) as w from cut where len(s) > 0),
+starts as (
+  select doc_id, s, w, unnest(range(len(s))) as pos from counted),
+sized as (
+  select doc_id, s, pos, coalesce(
+    list_filter(range({RUN}, least({WORDS}, len(s) - pos) + 1), lambda k: k = {WORDS} or list_sum(w[pos + 1 : pos + k]) >= {WORDS})[1],
+    case when pos = 0 then len(s) end) as k from starts),
+runs as (
+  select doc_id, pos, k, array_to_string(list_transform(s[pos + 1 : pos + k], lambda x: trim(x, e' \t\r\n\f')), e'\n') as run from sized where k is not null),
+nths as (
+  select doc_id, pos, k, row_number() over (partition by run order by doc_id, pos) as nth from runs),
+later as (select distinct doc_id, unnest(range(pos, pos + k)) as pos from nths where nth > 1),
 kept as (
   select e.doc_id, count(l.pos) as n_removed, coalesce(string_agg(e.s[e.pos + 1], '' order by e.pos) filter (where l.pos is null), '') as kept
-  from each e left join later l on l.doc_id = e.doc_id and l.pos = e.pos group by e.doc_id)
+  from starts e left join later l on l.doc_id = e.doc_id and l.pos = e.pos group by e.doc_id)
 select c.doc_id, cast(len(c.s) as bigint) as n_sentences, cast(coalesce(k.n_removed, 0) as bigint) as n_removed,
        sha256(coalesce(k.kept, '')) as kept_sha256
 from cut c left join kept k using (doc_id)

@@ -88,19 +88,39 @@ def test_language_id_learns(spark, empty):
 def test_sentence_spans(spark, empty):
     shared = "First of the shared sentences. Second of the shared ones! Third shared sentence?"
     frame = spark.createDataFrame([(1, "Own one. " + shared, None, None, 1), (2, shared + " Own two.", None, None, 1), (3, None, None, None, 1), (4, "Quite different.", None, None, 1)], SCHEMA)
-    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame))] == [(0, "Own one. " + shared), (3, "Own two."), (0, None), (0, "Quite different.")]
+    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame, words=1))] == [(0, "Own one. " + shared), (3, "Own two."), (0, None), (0, "Quite different.")]
     assert sentences.drop_repeated_sentences(empty).count() == 0
 
 
-def test_short_sentence_runs(spark):
-    frame = spark.createDataFrame([(1, "Íllue. " * 9, None, None, 1), (2, "So it is.", None, None, 1), (3, "So it is.", None, None, 1), (4, "So was it.", None, None, 1)], SCHEMA)
-    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame))] == [(8, "Íllue. "), (0, "So it is."), (1, ""), (0, "So was it.")]
-
-
 def test_two_shared_sentences(spark):
     shared = "Only these two are shared. They stand between others! "
     frame = spark.createDataFrame([(1, "One. " + shared + "Two.", None, None, 1), (2, "Three. " + shared + "Four.", None, None, 1)], SCHEMA)
-    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame))] == [(0, "One. " + shared + "Two."), (2, "Three. Four.")]
+    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(frame, words=1))] == [(0, "One. " + shared + "Two."), (2, "Three. Four.")]
+    short = spark.createDataFrame([(1, "Íllue. " * 9, None, None, 1), (2, "So it is.", None, None, 1), (3, "So it is.", None, None, 1), (4, "So was it.", None, None, 1)], SCHEMA)
+    assert [(r["n_removed"], r["text"]) for r in rows(sentences.drop_repeated_sentences(short, words=1))] == [(8, "Íllue. "), (0, "So it is."), (1, ""), (0, "So was it.")]
+
+
+def test_short_sentence_runs(spark):
+    """Runs hold 20 words or 20 sentences; a text with fewer is one run; one long sentence is cut at its clause marks."""
+    list_ = "one two three four five six seven, eight nine ten eleven twelve thirteen fourteen; fifteen sixteen seventeen eighteen nineteen twenty: more"
+    frame = spark.createDataFrame([(1, "Íllue. " * 41, None, None, 1), (2, "So it is.", None, None, 1), (3, "So it is.", None, None, 1), (4, "So was it.", None, None, 1), (5, "Alone. So was it.", None, None, 1),
+                                   (6, list_ + " here", None, None, 1), (7, "Before. " + list_ + " there", None, None, 1), (8, "\n. \n. " * 30, None, None, 1)], SCHEMA)
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in sentences.drop_repeated_sentences(frame).collect()}
+    assert got[1] == (40, "Íllue. ") and got[8][0] == 59 and got[8][1].strip()
+    assert [got[i] for i in (2, 3, 4, 5)] == [(0, "So it is."), (1, ""), (0, "So was it."), (0, "Alone. So was it.")]
+    assert got[6][0] == 0 and got[7] == (3, "Before. more there")
+
+
+def test_sentence_spans_of_equal_and_null_ids(spark):
+    """Rows of one id or none are told apart; rows equal in both are one document; a column's name may clash; long texts."""
+    a, b = prose(1, 80), prose(2, 80)
+    long = ". ".join(prose(3, 40).replace(".", "") + str(k) for k in range(3000))
+    given = [(1, a), (2, a), (2, b), (2, b), (None, "none " + b), (None, None), (7, long), (8, long)]
+    frame = spark.createDataFrame(given, "doc_id long, text string").withColumn("at", F.lit("clash")).withColumn("k", F.lit("clash")).withColumn("n_removed", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["n_removed"] > 0, r["text"]) for r in sentences.drop_repeated_sentences(frame).collect()), key=str)
+    assert [x for x in got if x[0] == 1] == [(1, False, a)] and [x for x in got if x[0] == 7] == [(7, False, long)] and (8, True, "") in got
+    assert sorted(x[1] for x in got if x[0] == 2) == [True, True, True] and all(len(x[2]) < len(b) for x in got if x[0] == 2)
+    assert (None, False, None) in got and (None, False, "none " + b) in got
 
 
 def test_media_round_trip(docs, empty, texts):
