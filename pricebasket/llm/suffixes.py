@@ -2,21 +2,23 @@
 
 Only strings of LENGTH bytes matter, so suffixes are sorted to that depth, and only those that can have an equal:
 
-1. Anchors. Each window of LENGTH bytes picks the GRAM-byte string in it with the smallest hash. Equal windows pick
-   equal strings at equal places, so windows are equal only if their anchors are. A run of windows with one anchor is one row:
-   its anchor's hash, and a hash of all bytes that the run covers (its extent).
-2. Counts by anchor, with a partial aggregate: an anchor that occurs once is done with. If all occurrences of an anchor
-   have one extent, all their windows are repeated and nothing more need be compared.
-3. Of anchors with several extents, those extents that occur twice or more are repeated as a whole. One run of each
-   extent goes on to refinement: its bytes are dealt out by anchor.
-4. Bucket-pointer refinement, in tasks, over many anchors at a time: windows lie in buckets by their first STEP-gram,
-   buckets of two or more are sorted by the bucket identifiers at the next offset, and what they split into is refined in the same way up to
-   the full depth; buckets of one drop out at every step. What is left in a bucket with another is repeated.
+1. First buckets. Each window of LENGTH bytes picks the GRAM-byte string in it with the smallest hash, its anchor. Equal
+   windows pick equal strings at equal places, so windows are equal only if their anchors are: anchors are the first
+   q-gram buckets, sampled so that they can be dealt out. A run of windows with one anchor is one row: its anchor's hash,
+   and a hash of all bytes that the run covers (its extent).
+2. Counts by anchor, with a partial aggregate: a bucket of one run is done with. So is a bucket whose runs all have one
+   extent: they are copies of each other, and there is nothing to tell apart.
+3. In the other buckets each extent stands once, with the number of its copies; its bytes are dealt out by anchor.
+4. Bucket-pointer refinement, in tasks, over many anchors at a time: every position of these bytes gets the identifier of
+   its STEP-gram's bucket. Buckets are then sorted by the identifiers at the next offset; the buckets that they split
+   into get new identifiers, which are written back to their positions and are what the next round sorts by, there and at
+   the next offset, so that the depth doubles each round until it is LENGTH. Positions alone in their bucket (and without
+   copies) drop out, with all that reach over them. Windows left in a bucket that counts two or more are repeated.
 5. An anchor with more than WIDE extents isn't gathered in a task: its windows are counted one by one by their hash.
-6. Repeated runs are gathered for each document, and its bytes cut.
+6. Copies of an extent take its repeated pieces over by a join; these are gathered for each document, and its bytes cut.
 
 A text in a third of all rows costs its anchors' partial counts. Nothing is gathered but a document's own runs and, up
-to WIDE, an anchor's extents. Bytes compare by 64-bit hashes of STEP bytes each.
+to WIDE, an anchor's extents. STEP-grams, anchors and extents compare by 64-bit hashes of their bytes.
 
 Null texts are empty; texts under LENGTH bytes keep everything. Rows with one id (or none) are told apart by a hash of
 their text; rows equal in both are copies of each other like any. Empty tables give empty results. Other columns pass through.
@@ -25,14 +27,14 @@ their text; rows equal in both are copies of each other like any. Empty tables g
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import bound_batches, documents, stored, whole_text
+from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
 from pricebasket.llm.hashing import Rolling, mix, signed, together
 
 LENGTH, GRAM, STEP = 200, 64, 40
@@ -44,10 +46,10 @@ _U = np.uint64
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: text, start within it, windows, anchor's place in the run, anchor's hash, extent's hash."""
+    """Runs of windows with one anchor: text, start within it, windows, anchor's hash, extent's hash."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     rolling = Rolling(data)
     grams = rolling.grams(gram)
     width, places = length - gram + 1, np.arange(len(grams), dtype=_U)
@@ -73,29 +75,37 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     text = np.searchsorted(offsets, first, "right") - 1
     at, windows = anchor[first] - first, last - first + 1
     extent = mix(rolling.of(first, last + length) + at.astype(_U) * _U(0x9E3779B97F4A7C15) + windows.astype(_U) * _U(0xD6E8FEB86659FD93))
-    return text, first - offsets[text], windows, at, signed(grams[anchor[first]]), signed(extent)
-
-
-def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, step: int = STEP) -> np.ndarray:
-    """Whether the `length` bytes from each start are equal to those from another start: buckets of equal `step`-grams, refined offset by offset."""
-    pointers = Rolling(data).grams(step)
-    order = np.argsort(pointers[starts], kind="stable")
-    live, key = order, pointers[starts][order]
-    bucket = np.zeros(len(live), np.int64)
-    for depth in range(0, length, step):
-        if depth:
-            at = np.minimum(starts[live] + depth, starts[live] + length - step)
-            key = pointers[at]
-            order = np.lexsort((key, bucket))
-            live, key, bucket = live[order], key[order], bucket[order]
+    return text, first - offsets[text], windows, signed(grams[anchor[first]]), signed(extent)
+
+
+def repeated_windows(data: np.ndarray, sizes: np.ndarray, copies: np.ndarray, length: int = LENGTH, step: int = STEP) -> np.ndarray:
+    """For pieces of `sizes` bytes that make up data, each there in `copies`: whether the `length` bytes from a position occur again."""
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes of its piece from each position on
+    counts = np.repeat(copies, sizes)
+    pointers, alive, used = np.zeros(len(data), np.int64), np.zeros(len(data), bool), 0
+    live = np.flatnonzero(left >= step)
+    keys = [Rolling(data).grams(step)[live]]
+    depth, ahead = 0, step
+    while True:
+        order = np.lexsort(keys[::-1])
         new = np.ones(len(live), bool)
-        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        if len(live):
+            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
         bucket = np.cumsum(new) - 1
-        paired = np.bincount(bucket, minlength=1)[bucket] > 1 if len(live) else np.zeros(0, bool)
-        live, bucket = live[paired], bucket[paired]
-    out = np.zeros(len(starts), bool)
-    out[live] = True
-    return out
+        live = live[order]
+        pointers[live] = bucket + used  # no identifier is ever used again
+        used += len(live)
+        several = np.bincount(bucket, counts[live], minlength=1)[bucket] > 1 if len(live) else np.zeros(0, bool)
+        live = np.sort(live[several])
+        alive[:] = False
+        alive[live] = True
+        depth += ahead
+        if depth >= length:
+            return alive
+        ahead = min(depth, length - depth)
+        live = live[left[live] >= depth + ahead]
+        live = live[alive[live + ahead]]
+        keys = [pointers[live], pointers[live + ahead]]
 
 
 def _identified(df: DataFrame) -> DataFrame:
@@ -104,21 +114,20 @@ def _identified(df: DataFrame) -> DataFrame:
 
 
 def anchor_runs(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """anchor, extent, doc_id, _row, start, windows, place of each run of windows."""
-    bound_batches(df.sparkSession)
-    names = ["anchor", "extent", "doc_id", "_row", "start", "windows", "place"]
+    """anchor, extent, doc_id, _row, start, windows of each run of windows."""
+    names = ["anchor", "extent", "doc_id", "_row", "start", "windows"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column("doc_id"), batch.column("_row").to_numpy(zero_copy_only=False)
             texts = [t.as_py().encode() for t in batch.column("text")]
             for first, _, data, offsets in together(texts):
-                text, start, windows, place, anchor, extent = anchors(data, offsets, length, gram)
+                text, start, windows, anchor, extent = anchors(data, offsets, length, gram)
                 own = pa.array(text + first)
-                columns = [pa.array(anchor), pa.array(extent), ids.take(own), pa.array(rows[text + first]), *(pa.array(x.astype(np.int32)) for x in (start, windows, place))]
+                columns = [pa.array(anchor), pa.array(extent), ids.take(own), pa.array(rows[text + first]), *(pa.array(x.astype(np.int32)) for x in (start, windows))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select("doc_id", "_row", "text").filter(F.octet_length("text") >= length).mapInArrow(run, "anchor long, extent long, doc_id long, _row long, start int, windows int, place int")
+    return map_batches(df.select("doc_id", "_row", "text").filter(F.octet_length("text") >= length), run, "anchor long, extent long, doc_id long, _row long, start int, windows int")
 
 
 def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, wide: int = WIDE) -> DataFrame:
@@ -127,31 +136,32 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
     runs = stored(spark, anchor_runs(df, length, gram), "anchor-runs")
     of_anchor = runs.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("extent").alias("_least"), F.max("extent").alias("_most")).filter("_n > 1")
     shared = stored(spark, runs.join(of_anchor.select("anchor", (F.col("_least") == F.col("_most")).alias("_same")), "anchor"), "shared-runs")
-    whole = [F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (length - 1)).alias("end")]
-    same = shared.filter("_same").select("doc_id", "_row", *whole)
+    same = shared.filter("_same").select("doc_id", "_row", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
     mixed = shared.filter("not _same").drop("_same")
-    extents = stored(spark, mixed.groupBy("anchor", "extent").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "_row", "start", "windows", "place")).alias("_one")), "extents")
-    again = mixed.join(extents.filter("_n > 1").select("anchor", "extent"), ["anchor", "extent"]).select("doc_id", "_row", *whole)
+    extents = stored(spark, mixed.groupBy("anchor", "extent").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "_row", "start", "windows")).alias("_one")), "extents")
     many = extents.groupBy("anchor").agg(F.count("*").alias("_k")).filter(F.col("_k") > wide).select("anchor", F.lit(True).alias("_wide"))
-    open_runs = extents.join(many, "anchor", "left").select("anchor", "_one.*", (F.col("_n") == 1).alias("_open"), F.coalesce("_wide", F.lit(False)).alias("_wide"))
-    wanted = open_runs.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("anchor", "start", "windows", "_open", "_wide")).alias("_runs"))
+    one = extents.join(many, "anchor", "left").select("anchor", "extent", "copies", "_one.*", F.coalesce("_wide", F.lit(False)).alias("_wide"))
+    wanted = one.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("anchor", "extent", "copies", "start", "windows", "_wide")).alias("_runs"))
     wanted = wanted.withColumnsRenamed({"doc_id": "_id", "_row": "_row_of"})
     texts = df.join(wanted, df["doc_id"].eqNullSafe(wanted["_id"]) & (df["_row"] == wanted["_row_of"]))
     cut = stored(spark, _bytes_of_runs(texts, length), "run-bytes")
-    refined = _refined(cut.filter("hashes is null"), length, step)
-    single = cut.filter("hashes is not null").select("doc_id", "_row", "_open", "start", F.posexplode("hashes").alias("_k", "_hash"))
-    twice = single.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1")
-    counted = single.filter("_open").join(twice, "_hash").select("doc_id", "_row", (F.col("start") + F.col("_k")).alias("begin"), (F.col("start") + F.col("_k") + length).alias("end"))
-    return same.unionByName(again).unionByName(refined).unionByName(counted)
+    single = cut.filter("hashes is not null").select("anchor", "extent", "copies", "doc_id", "_row", "start", F.posexplode("hashes").alias("_k", "_hash"))
+    twice = single.groupBy("_hash").agg(F.sum("copies").alias("_n")).filter("_n > 1").select("_hash")
+    counted = single.join(twice, "_hash").select("anchor", "extent", "copies", "doc_id", "_row", "start", F.col("_k").alias("begin"), (F.col("_k") + length).alias("end"))
+    found = stored(spark, _refined(cut.filter("hashes is null"), length, step).unionByName(counted), "repeated-pieces")
+    pieces = [(F.col("start") + F.col(c)).alias(c) for c in ("begin", "end")]
+    alone = found.filter("copies = 1").select("doc_id", "_row", *pieces)
+    copied = mixed.join(found.filter("copies > 1").select("anchor", "extent", "begin", "end"), ["anchor", "extent"]).select("doc_id", "_row", *pieces)
+    return same.unionByName(alone).unionByName(copied)
 
 
 def _bytes_of_runs(texts: DataFrame, length: int) -> DataFrame:
     """A row for each run: its bytes, or for anchors with too many extents the hashes of its windows."""
-    names = ["anchor", "doc_id", "_row", "start", "windows", "_open", "data", "hashes"]
-    schema = "anchor long, doc_id long, _row long, start int, windows int, _open boolean, data binary, hashes array<long>"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+    names = ["anchor", "extent", "copies", "doc_id", "_row", "start", "data", "hashes"]
+    schema = "anchor long, extent long, copies long, doc_id long, _row long, start int, data binary, hashes array<long>"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, row, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "text", "_runs")), strict=True):
@@ -160,48 +170,51 @@ def _bytes_of_runs(texts: DataFrame, length: int) -> DataFrame:
                     piece, hashes = data[r["start"] : r["start"] + r["windows"] + length - 1], None
                     if r["_wide"]:
                         hashes, piece = signed(Rolling(np.frombuffer(piece, np.uint8)).grams(length)).tolist(), None
-                    for column, value in zip(out, (r["anchor"], doc_id, row, r["start"], r["windows"], r["_open"], piece, hashes), strict=True):
+                    for column, value in zip(out, (r["anchor"], r["extent"], r["copies"], doc_id, row, r["start"], piece, hashes), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
-    return texts.select("doc_id", "_row", "text", "_runs").mapInArrow(run, schema)
+    return map_batches(texts.select("doc_id", "_row", "text", "_runs"), run, schema)
 
 
 def _refined(cut: DataFrame, length: int, step: int) -> DataFrame:
-    """Repeated windows among the runs of each anchor."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        sizes, windows = np.array([len(r[5]) for r in rows]), np.array([r[3] for r in rows])
-        origin = np.cumsum(sizes) - sizes
-        own = np.repeat(np.arange(len(rows)), windows)
-        within = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-        twice = repeated_windows(data, origin[own] + within, length, step)
-        twice &= np.array([r[4] for r in rows], bool)[own]
+    """Repeated pieces (begin and end within the run) of the runs of each anchor."""
+    names = ["anchor", "extent", "copies", "doc_id", "_row", "start"]
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        pieces = [x.as_py() for x in rows.column("data")]
+        data, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces)), np.int64)
+        twice = repeated_windows(data, sizes, rows.column("copies").to_numpy(), length, step)
+        own = np.repeat(np.arange(len(sizes)), sizes)
         # consecutive windows of a run make one piece
         first, last = twice.copy(), twice.copy()
         same = own[1:] == own[:-1]
         first[1:] &= ~(twice[:-1] & same)
         last[:-1] &= ~(twice[1:] & same)
         first, last = np.flatnonzero(first), np.flatnonzero(last)
-        start = np.array([r[2] for r in rows], np.int64)[own[first]]
-        columns = [pa.array([rows[k][c] for k in own[first].tolist()], pa.int64()) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array((start + within[first]).astype(np.int32)), pa.array((start + within[last] + length).astype(np.int32))], ["doc_id", "_row", "begin", "end"])
+        origin = (np.cumsum(sizes) - sizes)[own[first]]
+        taken = rows.select(names).take(pa.array(own[first])).combine_chunks().to_batches()
+        columns = taken[0].columns if taken else [pa.array([], k) for k in rows.select(names).schema.types]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((first - origin).astype(np.int32)), pa.array((last - origin + length).astype(np.int32))], [*names, "begin", "end"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size, now = 0, None
         for batch in batches:
-            for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "_row", "start", "windows", "_open", "data")), strict=True):
-                if anchor != now and size >= REFINED:
+            anchor = batch.column("anchor").to_numpy()
+            edges = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])).tolist() if len(anchor) else []
+            for low, high in zip(edges, [*edges[1:], len(anchor)], strict=True):
+                if anchor[low] != now and size >= REFINED:
                     yield solve(held)
                     held, size = [], 0
-                held.append(tuple(row))
-                now, size = anchor, size + len(row[5])
+                part = batch.slice(low, high - low)
+                held.append(part)
+                now, size = anchor[low], size + sum(len(x.as_py()) for x in part.column("data"))
         if held:
             yield solve(held)
 
-    return cut.drop("hashes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, _row long, begin int, end int")
+    return map_batches(cut.drop("hashes").repartition("anchor").sortWithinPartitions("anchor"), run, "anchor long, extent long, copies long, doc_id long, _row long, start int, begin int, end int")
 
 
 def cut_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, wide: int = WIDE) -> DataFrame:
@@ -216,14 +229,14 @@ def cut_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int
     for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_cut(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True)]
             columns = [batch.column(c) for c in others]
             columns += [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    return kept.select(*others, "text", "_cuts").mapInArrow(run, schema)
+    return map_batches(kept.select(*others, "text", "_cuts"), run, schema)
 
 
 def _cut(text: str | None, cuts: list[dict] | None) -> tuple[str | None, bytes, int, int, int]:

@@ -167,6 +167,37 @@ def test_suffixes_against_brute_force(docs, empty, texts, wide):
     assert suffixes.cut_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize(("length", "gram", "step"), [(200, 64, 40), (50, 16, 10), (33, 9, 8), (12, 5, 5), (8, 8, 8)])
+def test_refinement_against_brute_force(length, gram, step):
+    """Pieces with copies, strings that end within a piece, all depths."""
+    r = random.Random(length)
+    base = bytes(r.choice(b"ab") for _ in range(3 * length))
+    pieces = [bytes(r.choice(b"ab") for _ in range(r.randint(0, length))) + base[k : k + r.randint(length, 2 * length)] for k in (r.randint(0, length) for _ in range(20))] + [b"ab" * length, b"x" * (2 * length)]
+    copies = [1 + (k % 7 == 0) for k in range(len(pieces))]
+    seen = {}
+    for p, n in zip(pieces, copies, strict=True):
+        for i in range(len(p) - length + 1):
+            seen[p[i : i + length]] = seen.get(p[i : i + length], 0) + n
+    expected = [i + length <= len(p) and seen[p[i : i + length]] > 1 for p in pieces for i in range(len(p))]
+    got = suffixes.repeated_windows(np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces))), np.array(copies), length, step)
+    assert got.tolist() == expected
+
+
+def test_suffixes_of_long_texts_and_equal_ids(spark):
+    """Texts longer than what is hashed together; null and equal ids; other depths; repeated rows."""
+    r = random.Random(1)
+    big = "".join(r.choices("abcdefgh", k=2_300_000))
+    frame = spark.createDataFrame([(1, "." * 150 + big), (2, big + "!" * 100)], "doc_id long, text string").repartition(2)
+    assert [(x["n_removed"], x["n_spans"]) for x in rows(suffixes.cut_repeats(frame))] == [(len(big), 1)] * 2
+    texts = [prose(k, 30) + " " + prose(90 + k % 3, 12) for k in range(8)] + [prose(0, 30), None, prose(5, 40), prose(5, 40)]
+    ids = [4, 4, 4, None, None, 5, 6, 7, 4, None, 8, 8]
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("copies", F.lit("clash")).withColumn("extent", F.lit("clash"))
+    for length, gram, step in ((60, 20, 15), (30, 10, 8)):
+        got = [(x["doc_id"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in suffixes.cut_repeats(frame, length, gram, step).collect()]
+        expected = [(i, *x) for i, x in zip(ids, suffixes.brute_force([(t or "").encode() for t in texts], length), strict=True)]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def shingled(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
