@@ -12,26 +12,30 @@ A document's set is its distinct WIDTH-word shingles. Documents link at a Jaccar
    size bounds; pairs are counted by a partial aggregate. A shingle of more than PAIRED sets gives no pairs: it becomes
    a block, whose sets are compared in tasks (in parts beyond BLOCK sets: each two parts meet in one task).
 4. Verification. Candidates that hang together by pairs and blocks are a group; each group's whole sets are dealt to one
-   task, once, and overlaps counted exactly over posting lists. A group of more than BLOCK shingles is dealt out by its pairs and blocks
-   instead, a block of more in parts of which each two meet in one task. A task returns a spanning forest of its links, not all links: the components are the same.
+   task, once, and overlaps counted exactly. Sets that a task has in one component already aren't compared, so a large
+   group of like sets costs one pass over it. A group of more than BLOCK shingles is dealt out by its pairs and blocks
+   instead, a block of more in parts of which each two meet in one task. A task returns a spanning forest of its links, not
+   all links: the components are the same.
 5. Components by stars (components.py), then back from sets to documents.
 
 Null and empty texts, and those without words, have no shingles, link with nothing and are their own component; fewer
-than WIDTH words are one shingle. Repeated rows have equal sets. Empty tables give empty results; other columns pass
-through `one_of_each`. Very long texts are one set like others.
+than WIDTH words are one shingle. Repeated rows have equal sets. Rows of one id (or none) are told apart by a hash of
+their text; a component without any id has a null component_id. `one_of_each` keeps rows without an id, keeps or drops
+rows of one id together if their sets hang together, and passes other columns through. Empty tables give empty results.
+Very long texts are one set like others.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import bound_batches, documents, stored, whole_text
+from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
 from pricebasket.llm.components import components
 from pricebasket.llm.hashing import Rolling, mix, signed, together
 
@@ -86,12 +90,13 @@ def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, int, np.ndarray, np.ndarray]]:
-    """doc_ids, how many texts, and the shingles' texts and hashes, of runs of rows."""
+def _batches(batches: Batches) -> Iterator[tuple[list[pa.Array], int, np.ndarray, np.ndarray]]:
+    """doc_ids and hashes of the rows' texts, how many texts, and the shingles' texts and hashes, of runs of rows."""
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), [t.as_py().encode() for t in batch.column("text")]
+        texts = [t.as_py().encode() for t in batch.column("text")]
         for first, last, data, offsets in together(texts):
-            yield ids[first:last], last - first, *shingles(data, offsets)
+            ids = [batch.column(c).slice(first, last - first) for c in ("doc_id", "_row")]
+            yield ids, last - first, *shingles(data, offsets)
 
 
 def _digests(n: int, own: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +109,14 @@ def _digests(n: int, own: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles) and node (the set's digest) of each document; and rows without n: shingle and node, its count, for what is frequent in a task."""
+    """doc_id, _row, n (shingles) and node (the set's digest) of each document; and rows without n: as doc_id a shingle and as node its count, for what is frequent in a task."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         seen, often = set(), Counter()
-        names = ["doc_id", "n", "node"]
+        names = ["doc_id", "_row", "n", "node"]
         for ids, n, own, hashes in _batches(batches):
             sizes, digests = _digests(n, own, hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(digests)], names)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes), pa.array(digests)], names)
             new = np.array([d not in seen and not seen.add(d) for d in digests.tolist()], bool)
             values, counts = np.unique(hashes[new[own]], return_counts=True)
             twice = counts > 1
@@ -119,9 +124,10 @@ def sets(docs: DataFrame) -> DataFrame:
             if len(often) > 4 * FREQUENT:
                 often = Counter(dict(often.most_common(2 * FREQUENT)))
         found = [(h, c) for h, c in often.items() if c >= FLOOR]
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([None] * len(found), pa.int64()), pa.array([c for _, c in found], pa.int64())], names)
+        none = pa.nulls(len(found), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), none, none, pa.array([c for _, c in found], pa.int64())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return map_batches(docs, run, "doc_id long, _row long, n long, node long")
 
 
 class Order:
@@ -146,7 +152,7 @@ def prefixes(docs: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(order)
     names = ["shingle", "node", "n", "rest"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         place, seen = shared.value, set()
         for _, n, own, hashes in _batches(batches):
             sizes, digests = _digests(n, own, hashes)
@@ -173,7 +179,7 @@ def prefixes(docs: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame
             columns = [signed(hashes[inside]), digests[own], sizes[own].astype(np.int32), (sizes - np.minimum(sizes, base + best))[own].astype(np.int32)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
 
-    return docs.mapInArrow(run, "shingle long, node long, n int, rest int")
+    return map_batches(docs, run, "shingle long, node long, n int, rest int")
 
 
 def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED) -> DataFrame:
@@ -192,7 +198,7 @@ def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED)
                     break
                 yield min(a, b), max(a, b), max(1, least_overlap(n, m, percent) - max(rest, other)), None
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         now, group, large, out = None, {}, False, []
 
         def done() -> None:
@@ -228,48 +234,93 @@ def candidates(prefix: DataFrame, percent: int = PERCENT, paired: int = PAIRED)
         if out:
             yield made()
 
-    return prefix.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, need long, block long")
+    return map_batches(prefix.repartition("shingle").sortWithinPartitions("shingle"), run, "a long, b long, need long, block long")
+
+
+class _Group:
+    """Sets that are compared in one task; components so far are labels. Each set's shingles stand rare ones first (rare in this
+    group), so that two sets that link share one of their first ones: posting lists are made of these alone."""
+
+    def __init__(self, members: list[np.ndarray], sides: list[int], percent: int) -> None:
+        self.percent, self.side, self.sizes = percent, np.array(sides), np.array(list(map(len, members)))
+        n, self.starts = len(members), np.cumsum(self.sizes) - self.sizes
+        values, at = np.unique(np.concatenate(members), return_inverse=True)
+        own, counts = np.repeat(np.arange(n), self.sizes), np.bincount(at)
+        self.at = at[np.lexsort((at, counts[at], own))]
+        self.first = self.sizes - -(-percent * self.sizes // 100) + 1
+        inside = (np.arange(len(own)) - self.starts[own] < self.first[own]) & (counts[self.at] > 1)
+        shingle, holder = self.at[inside], own[inside]
+        order = np.argsort(shingle, kind="stable")
+        self.posting, self.bounds = holder[order], np.searchsorted(shingle[order], np.arange(len(values) + 1))
+        self.label, self.marked, self.within = np.arange(n), np.zeros(n, bool), np.zeros(len(values), bool)
+        self.alike = np.zeros(len(values), bool)
+
+    def settle(self) -> None:
+        """Notes which posting lists are of one component: they lead to nothing new."""
+        filled = np.flatnonzero(np.diff(self.bounds))
+        if len(filled):
+            labels, at = self.label[self.posting], self.bounds[filled]
+            self.alike[filled] = np.minimum.reduceat(labels, at) == np.maximum.reduceat(labels, at)
+
+    def links(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Sets of other components that set i links to, among those marked so."""
+        mine = self.at[self.starts[i] : self.starts[i] + self.sizes[i]]
+        head = mine[: self.first[i]]
+        lists = [self.posting[self.bounds[v] : self.bounds[v + 1]] for v in head[~self.alike[head]].tolist()]
+        if not lists:
+            return np.zeros(0, np.int64)
+        found = np.concatenate(lists)
+        self.marked[found] = True
+        near = np.flatnonzero(self.marked & among & (self.label != self.label[i]))
+        self.marked[found] = False
+        least, most = np.minimum(self.sizes[near], self.sizes[i]), np.maximum(self.sizes[near], self.sizes[i])
+        near = near[(100 * least >= self.percent * most) & ((self.side[near] != self.side[i]) | (self.side[i] == 0))]
+        if not len(near):
+            return near
+        sizes = self.sizes[near]
+        base = np.cumsum(sizes) - sizes
+        self.within[mine] = True
+        overlap = np.add.reduceat(self.within[self.at[np.repeat(self.starts[near] - base, sizes) + np.arange(sizes.sum())]].astype(np.int64), base)
+        self.within[mine] = False
+        return near[100 * overlap >= self.percent * (sizes + self.sizes[i] - overlap)]
+
+    def join(self, i: int, linked: np.ndarray) -> list[int]:
+        """Puts i and what it links to in one component; one set of each component that was apart."""
+        labels, one = np.unique(self.label[linked], return_index=True)
+        self.label[np.isin(self.label, np.append(labels, self.label[i]))] = min(int(labels.min()), int(self.label[i]))
+        return linked[one].tolist()
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """Links that join all components: first of sets that none is known of, which settles large groups of like sets; then of
+        those outside the largest component, with other components only."""
+        n = len(self.sizes)
+        free = np.ones(n, bool)
+        for i in range(n):
+            if free[i]:
+                free[i] = False
+                if len(linked := self.links(i, free)):
+                    free[linked] = False
+                    yield from ((i, j) for j in self.join(i, linked))
+        every = np.ones(n, bool)
+        labels, counts = np.unique(self.label, return_counts=True)
+        left = np.flatnonzero(self.label != labels[counts.argmax()])
+        anchor = int(np.flatnonzero(self.label == labels[counts.argmax()])[0])
+        for k, i in enumerate(left.tolist()):
+            if k % 500 == 0:
+                self.settle()
+            if self.label[i] != self.label[anchor] and len(linked := self.links(i, every)):
+                yield from ((i, j) for j in self.join(i, linked))
 
 
 def _forest(nodes: list[int], members: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, counted over posting lists; of two parts (sides 1 and 2) only links across."""
-    sizes = np.array(list(map(len, members)))
-    values, at = np.unique(np.concatenate(members), return_inverse=True)
-    own = np.repeat(np.arange(len(members)), sizes)
-    shared = np.bincount(at, minlength=len(values)) > 1
-    order = np.argsort(at, kind="stable")
-    bounds = np.searchsorted(at[order], np.arange(len(values) + 1))
-    posting, starts = own[order], np.cumsum(sizes) - sizes
-    root = list(range(len(nodes)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    edges, side = [], np.array(sides)
-    for i in range(len(nodes)):
-        mine = at[starts[i] : starts[i] + sizes[i]]
-        mine = mine[shared[mine]]
-        if 100 * len(mine) < percent * sizes[i]:
-            continue  # what it shares with any can't be enough
-        overlap = np.bincount(np.concatenate([posting[bounds[v] : bounds[v + 1]] for v in mine]), minlength=len(nodes))
-        linked = 100 * overlap >= percent * (sizes + sizes[i] - overlap)
-        linked[: i + 1] = False
-        if side[i]:
-            linked &= side != side[i]
-        for j in np.flatnonzero(linked).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((nodes[i], nodes[j]))
-    return edges
+    """A spanning forest of the links among sets; of two parts (sides 1 and 2) only links across."""
+    return [(nodes[i], nodes[j]) for i, j in _Group(members, sides, percent).forest()]
 
 
 def verified(dealt: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges a, b from rows (to, side, node, members): sets dealt out to be compared with those of the same `to`."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         now, group = None, {}
 
         def done() -> pa.RecordBatch:
@@ -285,13 +336,13 @@ def verified(dealt: DataFrame, percent: int = PERCENT) -> DataFrame:
                 group[node] = (side, np.frombuffer(members, np.uint64))
         yield done()
 
-    return dealt.repartition("to").sortWithinPartitions("to").mapInArrow(run, "a long, b long")
+    return map_batches(dealt.repartition("to").sortWithinPartitions("to"), run, "a long, b long")
 
 
 def _dealt(texts: DataFrame) -> DataFrame:
     """A row for each place (to, side) where a document's set is wanted."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py().encode() for t in batch.column("text")]
             nodes, wanted = batch.column("node").to_pylist(), batch.column("_to").to_pylist()
@@ -305,14 +356,13 @@ def _dealt(texts: DataFrame) -> DataFrame:
                         columns = [pa.array([w["to"] for w in some], pa.int64()), pa.array([w["side"] for w in some], pa.int32()), pa.array([nodes[i]] * len(some), pa.int64()), pa.array([members] * len(some), pa.binary())]
                         yield pa.RecordBatch.from_arrays(columns, ["to", "side", "node", "members"])
 
-    return texts.select("node", "text", "_to").mapInArrow(run, "to long, side int, node long, members binary")
+    return map_batches(texts.select("node", "text", "_to"), run, "to long, side int, node long, members binary")
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of (doc_id, text)."""
     spark = df.sparkSession
-    bound_batches(spark)
-    docs = df.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    docs = df.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("_row"), whole_text().alias("text"))
     found = stored(spark, sets(docs), "sets")
     known = found.filter("n is not null")
     often = found.filter("n is null").groupBy("doc_id").agg(F.sum("node").alias("c")).orderBy(F.desc("c"), "doc_id").limit(FREQUENT).toArrow()
@@ -321,10 +371,10 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED,
     pairs = some.filter("block is null").groupBy("a", "b", "need").agg(F.count("*").alias("k")).filter("k >= need")
     pairs = stored(spark, pairs.select("a", "b"), "pairs")
     members = stored(spark, some.filter("block is not null").select(F.col("a").alias("node"), "block").distinct(), "blocks")
-    first = stored(spark, known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    first = stored(spark, known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min(F.struct("doc_id", "_row")).alias("_one")), "nodes")
     # candidates that hang together, by pairs or blocks, meet in one task, each once; where they are too many, pair by pair and block by block
     stars = members.join(members.groupBy("block").agg(F.min("node").alias("b")), "block").select(F.col("node").alias("a"), "b")
-    groups = components(pairs.unionByName(stars)).join(first, "node")
+    groups = components(pairs.unionByName(stars)).join(first.select("node", "n"), "node")
     small = groups.groupBy("component").agg(F.sum("n").alias("_n")).filter(F.col("_n") <= block).select("component")
     in_small = groups.join(small, "component").select("node", F.xxhash64(F.lit("group"), "component").alias("to"))
     apart = pairs.join(in_small.select(F.col("node").alias("a")), "a", "left_anti")
@@ -335,10 +385,11 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED,
     # a block of several parts is dealt to every two of them; a part itself meets in (own, own)
     meets = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.xxhash64("block", F.least(j, F.col("_own")), F.greatest(j, F.col("_own"))).alias("to"), F.when(j == F.col("_own"), 0).when(j > F.col("_own"), 1).otherwise(2).alias("side")))
     of_blocks = large.join(parts, "block").withColumn("_own", own).select("node", F.explode(meets).alias("_m")).select("node", "_m.to", "_m.side")
-    wanted = of_pairs.unionByName(of_blocks).groupBy("node").agg(F.collect_list(F.struct("to", "side")).alias("_to")).join(first.drop("n"), "node")
-    edges = verified(_dealt(docs.join(wanted, "doc_id")), percent)
+    wanted = of_pairs.unionByName(of_blocks).groupBy("node").agg(F.collect_list(F.struct("to", "side")).alias("_to"))
+    wanted = wanted.join(first.select("node", F.col("_one.doc_id").alias("_id"), F.col("_one._row").alias("_row_of")), "node")
+    edges = verified(_dealt(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["_row"] == F.col("_row_of")))), percent)
     class_of = components(edges)
-    labelled = first.withColumnRenamed("doc_id", "_first").join(class_of, "node", "left").withColumn("_label", F.coalesce("component", "node"))
+    labelled = first.select("node", F.col("doc_id").alias("_first")).join(class_of, "node", "left").withColumn("_label", F.coalesce("component", "node"))
     least = labelled.groupBy("_label").agg(F.min("_first").alias("component_id"))
     ids = stored(spark, labelled.join(least, "_label").select("node", "component_id"), "classes")
     return known.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -347,7 +398,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED,
 def one_of_each(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of df that stay: of each component the one with the smallest doc_id."""
     kept = near_duplicates(df, percent).filter("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, df["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return df.join(kept, df["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

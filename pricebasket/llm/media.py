@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import bound_batches, documents, whole_text
+from pricebasket.llm.common import documents, map_batches, whole_text
 
 UNIT = 64
 #: Coded bytes that are decoded together, at least one image.
@@ -298,7 +298,6 @@ def features(media: list[bytes | None]) -> list[dict | None]:
 
 def store_media(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary): each text as a JPEG file."""
-    bound_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,12 +305,11 @@ def store_media(df: DataFrame) -> DataFrame:
             media = [write_jpeg(t.ljust(max(1, -(-len(t) // UNIT)) * UNIT, b"\0")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return df.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(df.select("doc_id", whole_text().alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, with what the stored files hold: width, height, thumbnail, thumbnail_hash, payload."""
-    bound_batches(df.sparkSession)
     fields = {"width": pa.int32(), "height": pa.int32(), "thumbnail": pa.binary(), "thumbnail_hash": pa.string(), "payload": pa.binary()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +317,7 @@ def read_media(df: DataFrame) -> DataFrame:
             found = features(batch.column("media").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x and x[k] for x in found], kind) for k, kind in fields.items())], [*batch.schema.names, *fields])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, width int, height int, thumbnail binary, thumbnail_hash string, payload binary")
+    return map_batches(df.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, width int, height int, thumbnail binary, thumbnail_hash string, payload binary")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -222,6 +223,61 @@ def test_jaccard_against_brute_force(spark, empty, texts, paired, block):
         assert jaccard.near_duplicates(empty).count() == 0
 
 
+def links_of(members, percent=80, sides=None):
+    sets = [set(m.tolist()) for m in members]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and (not sides or sides[i] != sides[j] or not sides[i])}
+
+
+def labels_of(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_forest_against_brute_force(sided):
+    """Chains, stars, like sets that don't link, several components."""
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        bases = [r.choice(400, r.integers(3, 40), replace=False) for _ in range(3)]
+        members = []
+        for _ in range(30):
+            own = bases[r.integers(3)].copy()
+            change = r.random(len(own)) < r.choice([0.0, 0.05, 0.15])
+            own[change] = r.integers(400, 900, change.sum())
+            members.append(np.unique(own).astype(np.uint64))
+        sides = [int(x) for x in r.integers(1, 3, len(members))] if sided else [0] * len(members)
+        got = jaccard._forest(list(range(len(members))), members, sides, 80)
+        links = links_of(members, sides=sides if sided else None)
+        assert {(max(e), min(e)) for e in got} <= links
+        assert labels_of(len(members), got) == labels_of(len(members), links) and len(got) == len(members) - len(set(labels_of(len(members), links)))
+
+
+def test_forest_of_many_like_sets():
+    r, base = np.random.default_rng(1), np.arange(200, dtype=np.uint64)
+    members = []
+    for k in range(20_000):
+        own = base.copy()
+        own[r.choice(200, 6, replace=False)] = 1000 + 6 * k + np.arange(6)
+        members.append(np.sort(own))
+    began = time.process_time()
+    got = jaccard._forest(list(range(len(members))), members, [0] * len(members), 80)
+    assert len(got) == len(members) - 1 and time.process_time() - began < 20
+
+
+def test_jaccard_of_null_and_equal_ids(spark):
+    """Links of sets that only rows without an id, or several rows of one id, have; a long text; clashing columns."""
+    a, b, c, long = prose(1, 60), prose(2, 60), prose(3, 60), prose(4, 30_000)
+    given = [(None, a + " end"), (1, a), (None, a + " end more"), (2, b), (2, c), (3, c + " end"), (4, b + " end"), (None, None), (None, "alone and without any id at all"), (8, long), (9, long + " end"), (5, ""), (5, "")]
+    frame = spark.createDataFrame(given, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("_kept", F.lit(7)).repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in jaccard.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(None, True, 1), (1, True, 1), (None, True, 1), (2, True, 2), (2, True, 2), (3, True, 2), (4, True, 2), (None, False, None), (None, True, None), (8, True, 8), (9, True, 8), (5, False, 5), (5, False, 5)], key=str)
+    kept = jaccard.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 0, 0, 1, 2, 2, 5, 5, 8]
+
+
 def test_search_against_brute_force(spark, docs, texts):
     got = search.top_k(docs, docs.filter("doc_id in (4, 8, 12)"), k=5).collect()
     words = [re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) for t in texts]
