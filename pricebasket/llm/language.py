@@ -1,48 +1,45 @@
 """Language ID: a bidirectional gated recurrent network over bytes labels every position; a document pools its positions.
 
-The network runs over each word's bytes (a run of bytes between ASCII white space; words of more than MAX_WORD bytes
-in pieces), forwards and backwards, from a zero state, and gives each byte a probability for each language. A
-document's probabilities are the softmax of the positions' pooled log probabilities. As a word's positions depend on
-the word alone, a worker computes each different word once and every further occurrence counts by a look-up: the result
-is that of running the network over the whole text.
+The network runs over the whole text's bytes in windows of WINDOW bytes, forwards and backwards; a window's first state is
+what CONTEXT bytes before it (behind it, backwards) leave, at a text's ends zero. Every byte gets a probability for each
+language; a document's probabilities are the means over its bytes. Many windows run side by side in numpy, in blocks of
+bounded size, whatever a text's length.
 
-Training: numpy, backpropagation through time. The driver gets a bounded sample, gathered by Spark from labelled rows:
-of each language the SAMPLE_DOCS rows with the smallest hash, of their words (counted over the whole texts) the
-SAMPLE_WORDS most frequent. The sample's size depends on the number of languages, not of rows.
+Training: numpy, backpropagation through time, on spans of documents. The driver gets a bounded sample, gathered by
+Spark: of each language the SAMPLE_DOCS labelled rows with the smallest hash, and SPANS spans of SPAN bytes of each, from
+places anywhere in its text. The sample's size depends on the number of languages, not of rows.
 
 A text that is null or has no letter is labelled `und` with score 0. With no learnable language everything is `und`.
-Empty tables give empty results; repeated rows repeated results; ties go to the first language in alphabetic order.
-Texts of any length run in pieces of bounded size. Other columns play no part.
+Null langs and null texts are not learned from; rows without an id or with equal ids are rows like others. Empty tables
+give empty results; repeated rows repeated results; ties go to the first language in alphabetic order. Other columns of
+df pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import bound_batches, documents, whole_text
+from pricebasket.llm.common import Batches, documents, map_batches
+from pricebasket.llm.hashing import together
 
 UNKNOWN = "und"
-#: Labelled rows of a language that the sample holds at most.
-SAMPLE_DOCS = 400
-#: Different words of a language, the most frequent ones, that the sample holds at most.
-SAMPLE_WORDS = 3000
-#: Bytes of a word that run through the network at once.
-MAX_WORD = 48
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 10, 128, 0.01, 7
-#: Words that a worker keeps; it starts anew beyond.
-MEMO = 600_000
-#: Bytes of a text that are split into words at a time.
-PART = 1 << 22
-WEIGHTS = ("w", "b", "u")
+#: Labelled rows of a language that the sample holds at most; spans of each; bytes of a span.
+SAMPLE_DOCS, SPANS, SPAN = 400, 4, 64
+#: Bytes of a window, and those around it that lead up to it; windows that run side by side.
+WINDOW, CONTEXT, LANES = 192, 16, 2048
+HIDDEN, BATCH, RATE, SEED = 8, 128, 0.02, 7
+#: Steps of training at least, and passes over the sample at least.
+STEPS, EPOCHS = 240, 2
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _sign(x: np.ndarray) -> np.ndarray:
+    """The soft sign, x / (1 + |x|): what bounds states and, halved and raised by a half, gates. Several times cheaper than exponentials."""
+    return x / (1 + np.abs(x))
 
 
 class ByteNetwork:
@@ -55,29 +52,17 @@ class ByteNetwork:
         self.p: dict[str, np.ndarray] = {"o": near(2 * hidden, len(languages)), "ob": np.zeros(len(languages), np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": (r.standard_normal((256, 3 * hidden)) * 0.3).astype(np.float32), f"b{d}": np.zeros(3 * hidden, np.float32), f"u{d}": near(hidden, 3 * hidden) * 3}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.table, self.used = np.zeros((1024, len(self.languages) + 1), np.float32), 0
-
-    def __getstate__(self) -> dict:
-        return {"languages": self.languages, "hidden": self.hidden, "p": self.p}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._forget()
 
     def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (length, words, hidden) of one direction; x: (words, length) bytes."""
+        """States (length, spans, hidden) of one direction; x: (spans, length) bytes."""
         n, length, h = len(x), x.shape[1], self.hidden
         state, out, kept = np.zeros((n, h), np.float32), np.empty((length, n, h), np.float32), []
         given = self.p[f"w{d}"] + self.p[f"b{d}"]
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
             a, b = given[x[:, t]], state @ self.p[f"u{d}"]
-            zr = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
+            zr = 0.5 + 0.5 * _sign(a[:, : 2 * h] + b[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
+            new = _sign(a[:, 2 * h :] + r * b[:, 2 * h :])
             if keep:
                 kept.append((t, state, z, r, b[:, 2 * h :], new))
             state = new + z * (state - new)
@@ -90,7 +75,7 @@ class ByteNetwork:
         return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (length, words, languages) of words of one length."""
+        """Log probabilities (length, spans, languages) of spans of one length."""
         return self._log_probabilities(np.concatenate([self._run(x, d, False)[0] for d in "fb"], axis=2))
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -104,24 +89,27 @@ class ByteNetwork:
         g = {"o": states.reshape(-1, 2 * h).T @ flat, "ob": flat.sum(axis=0)}
         back = error @ self.p["o"].T
         for i, d in enumerate("fb"):
-            u, gw, gu, later = self.p[f"u{d}"], np.zeros_like(self.p[f"w{d}"]), np.zeros_like(self.p[f"u{d}"]), 0.0
+            u, gu, later, given = self.p[f"u{d}"], np.zeros_like(self.p[f"u{d}"]), 0.0, np.empty((x.shape[1], len(x), 3 * h))
             for t, before, z, r, inner, new in reversed(runs[d][1]):
                 dh = back[t, :, i * h : (i + 1) * h] + later
-                dz, dn = dh * (before - new) * z * (1 - z), dh * (1 - z) * (1 - new * new)
-                dr = dn * inner * r * (1 - r)
+                dz, dn = dh * (before - new) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2, dh * (1 - z) * (1 - np.abs(new)) ** 2
+                dr = dn * inner * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
                 through = np.concatenate([dz, dr, dn * r], axis=1)
                 gu += before.T @ through
-                np.add.at(gw, x[:, t], np.concatenate([dz, dr, dn], axis=1))
+                given[t] = np.concatenate([dz, dr, dn], axis=1)
                 later = dh * z + through @ u.T
+            seen, given = x.T.ravel(), given.reshape(-1, 3 * h)
+            gw = np.stack([np.bincount(seen, given[:, k], 256) for k in range(3 * h)], axis=1)
             g |= {f"w{d}": gw, f"u{d}": gu, f"b{d}": gw.sum(axis=0)}
         loss = -(logs[:, np.arange(len(y)), y] * share[:, :, 0]).sum()
         return float(loss), g
 
-    def fit(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS) -> ByteNetwork:
-        """Adam over batches of words of one length."""
+    def fit(self, spans: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> ByteNetwork:
+        """Adam over batches of spans of one length."""
         r, first, second, step = np.random.default_rng(SEED), {}, {}, 0
-        lengths = np.array(list(map(len, words)))
-        groups = [(np.frombuffer(b"".join(words[i] for i in own), np.uint8).reshape(-1, n), own) for n in np.unique(lengths) if len(own := np.flatnonzero(lengths == n))]
+        lengths = np.array(list(map(len, spans)))
+        groups = [(np.frombuffer(b"".join(spans[i] for i in own), np.uint8).reshape(-1, n), own) for n in np.unique(lengths) if len(own := np.flatnonzero(lengths == n))]
+        epochs = max(EPOCHS, -(-steps // max(1, sum(-(-len(own) // BATCH) for _, own in groups))))
         for epoch in range(epochs):
             batches = [(x[k], own[k]) for x, own in groups for k in np.array_split(r.permutation(len(own)), -(-len(own) // BATCH))]
             rate = RATE * (1 - epoch / epochs) + RATE / 20
@@ -135,61 +123,79 @@ class ByteNetwork:
                     self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Rows for new words: the sum of their positions' log probabilities, and how many positions."""
-        if self.used + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]), np.float32)])
-        new.sort(key=len)
-        lengths = np.array(list(map(len, new)))
-        for n in np.unique(lengths):
-            own = new[np.searchsorted(lengths, n) : np.searchsorted(lengths, n, "right")]
-            for at in range(0, len(own), 8192):
-                some = own[at : at + 8192]
-                x = np.frombuffer(b"".join(some), np.uint8).reshape(-1, n)
-                rows = slice(self.used, self.used + len(some))
-                self.table[rows, :-1], self.table[rows, -1] = self.positions(x).sum(axis=0), n
-                self.rows |= zip(some, range(rows.start, rows.stop), strict=True)
-                self.used = rows.stop
-
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Probabilities (texts, languages): the softmax of the pooled log probabilities of all positions."""
-        out, held, size = np.zeros((len(texts), self.table.shape[1])), [], 0
-        for i, text in enumerate(texts):
-            for words in _words(text):
-                held.append((i, words))
-                size += len(words)
-                if size > 1_000_000:
-                    self._pool(held, out)
-                    held, size = [], 0
-        self._pool(held, out)
-        x = out[:, :-1] / np.sqrt(np.maximum(out[:, -1:], 1))  # positions are not independent: their evidence grows with the root of their number
-        x = np.exp(x - x.max(axis=1, keepdims=True))
-        return x / x.sum(axis=1, keepdims=True)
-
-    def _pool(self, held: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
-        """Adds to out what the words of these texts give; words not seen before run through the network together."""
-        different = set().union(*(words for _, words in held))
-        new = different.difference(self.rows)
-        if self.used + len(new) > max(MEMO, len(different)):
-            self._forget()
-            new = different
-        if new:
-            self._learn(list(new))
-        for i, words in held:
-            out[i] += self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-
-def _words(text: bytes) -> Iterator[list[bytes]]:
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + PART)
-        while end < len(text) and end - at < 2 * PART and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        words = text[at:end].split()
-        if max(map(len, words), default=0) > MAX_WORD:
-            words = [w[k : k + MAX_WORD] for w in words for k in range(0, len(w), MAX_WORD)]
-        if words:
-            yield words
-        at = end
+        """Probabilities (texts, languages): the means over each text's positions; zeros for a text without bytes."""
+        out = np.zeros((len(texts), len(self.languages)))
+        for first, last, data, offsets in together(texts):
+            for block in _lanes(offsets):
+                text, sums = block[0], self._window_sums(data, *block[1:])
+                for k in range(len(self.languages)):
+                    out[first:last, k] += np.bincount(text, sums[k], last - first)
+        return out / np.maximum(1, np.array([list(map(len, texts))]).T)
+
+    def _steps(self, d: str, x: np.ndarray, inside: np.ndarray, times: range) -> Iterator[tuple[int, np.ndarray]]:
+        """(time, states (hidden, lanes)) of one direction, features first; x: (times, lanes) bytes; states outside the texts are zero."""
+        h, n, every = self.hidden, x.shape[1], inside.all(axis=1)
+        given, u = np.ascontiguousarray((self.p[f"w{d}"] + self.p[f"b{d}"]).T), np.ascontiguousarray(self.p[f"u{d}"].T)
+        state, a, b, size = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32)
+        gates, new, inner = a[: 2 * h], a[2 * h :], b[2 * h :]
+        for t in times:
+            np.take(given, x[t], axis=1, out=a, mode="clip")
+            np.matmul(u, state, out=b)
+            gates += b[: 2 * h]
+            np.abs(gates, out=size)
+            size += 1
+            gates /= size
+            gates *= 0.5
+            gates += 0.5
+            inner *= gates[h:]
+            new += inner
+            np.abs(new, out=size[:h])
+            size[:h] += 1
+            new /= size[:h]
+            state -= new
+            state *= gates[:h]
+            state += new
+            if not every[t]:
+                state *= inside[t]
+            yield t, state
+
+    def _window_sums(self, data: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """(languages, lanes): probabilities summed over each window's positions from `fresh` on; low, high: the text's ends."""
+        place = start[None, :] + np.arange(-CONTEXT, WINDOW + CONTEXT)[:, None]
+        inside = (place >= low) & (place < high)
+        x = data[np.clip(place, 0, len(data) - 1)].astype(np.intp)
+        own, out = self.p["o"].T.copy(), np.zeros((len(self.languages), len(start)), np.float32)
+        forwards = np.empty((WINDOW, self.hidden, len(start)), np.float32)
+        for t, state in self._steps("f", x, inside, range(CONTEXT + WINDOW)):
+            if t >= CONTEXT:
+                forwards[t - CONTEXT] = state
+        for t, state in self._steps("b", x, inside, range(2 * CONTEXT + WINDOW - 1, CONTEXT - 1, -1)):
+            if (at := t - CONTEXT) < WINDOW:
+                p = own[:, : self.hidden] @ forwards[at] + own[:, self.hidden :] @ state + self.p["ob"][:, None]
+                p -= p.max(axis=0)
+                np.exp(p, out=p)
+                p /= p.sum(axis=0)
+                p *= fresh <= at
+                out += p
+        return out
+
+
+def _lanes(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows of texts that stand one after another, in blocks: text, start, the text's ends, and the first position that counts.
+
+    A text's last window ends with it and counts what the window before leaves; shorter texts have one window that begins before them.
+    """
+    sizes = np.diff(offsets)
+    counts = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    turn = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.minimum(turn * WINDOW, sizes[text] - WINDOW)
+    order = np.argsort(start < 0, kind="stable")
+    text, turn, start = text[order], turn[order], start[order]
+    for at in range(0, len(text), LANES):
+        own, t, s = (v[at : at + LANES] for v in (text, turn, start))
+        yield own, s + offsets[own], offsets[own], offsets[own + 1], t * WINDOW - s
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -197,39 +203,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
-    """lang, word, n: the most frequent words of a bounded number of labelled rows of each language."""
+def training_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, spans: int = SPANS) -> DataFrame:
+    """lang and spans (array) of a bounded number of labelled rows of each language; only the spans are sorted and moved."""
     rows = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= sample_docs).select("doc_id", "lang")
-    words = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.explode(F.split("text", r"[ \t\n\r\x0B\f]+")).alias("word")).filter("word != ''")
-    counted = words.groupBy("lang", F.substring("word", 1, MAX_WORD).alias("word")).agg(F.count("*").alias("n"))
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    return counted.withColumn("_rank", F.row_number().over(by_count)).filter(F.col("_rank") <= sample_words).drop("_rank")
+    places = [F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.length("text") - SPAN)).cast("int") + 1 for k in range(spans)]
+    cut = rows.select("lang", F.xxhash64("doc_id", "text").alias("_hash"), F.array_distinct(F.array(*(F.substring("text", p, SPAN) for p in places))).alias("spans"))
+    by_hash = Window.partitionBy("lang").orderBy("_hash", "spans")
+    return cut.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= sample_docs).select("lang", "spans")
 
 
 def fit_languages(docs: DataFrame) -> ByteNetwork:
     """The network, trained on the driver on the bounded sample; each language has the same weight in all."""
-    rows = sorted((r["lang"], r["word"].encode()[:MAX_WORD], r["n"]) for r in training_words(docs).collect())
+    rows = sorted((r["lang"], data) for r in training_spans(docs).collect() for x in r["spans"] if (data := x.encode()[:SPAN]))
     languages = sorted({r[0] for r in rows})
     labels = np.array([languages.index(r[0]) for r in rows], np.int64)
-    weights = np.sqrt(np.array([r[2] for r in rows], np.float32))
+    weights = np.ones(len(rows), np.float32)
     for k in range(len(languages)):
-        weights[labels == k] /= weights[labels == k].sum()
+        weights[labels == k] /= (labels == k).sum()
     net = ByteNetwork(languages)
     return net.fit([r[1] for r in rows], labels, weights) if rows else net
 
 
 def predict_languages(df: DataFrame, net: ByteNetwork) -> DataFrame:
     """df with lang_pred and score; df's other columns pass through, columns of these names are replaced."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(net)
+    shared = df.sparkSession.sparkContext.broadcast(net)
     kept = df.drop("lang_pred", "score")
     schema = kept.schema.add("lang_pred", "string").add("score", "double")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             texts, known = batch.column("text"), batch.column("_lettered").to_pylist()
@@ -241,7 +243,7 @@ def predict_languages(df: DataFrame, net: ByteNetwork) -> DataFrame:
             columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "_lettered"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
 
-    return kept.withColumn("_lettered", lettered).mapInArrow(run, schema)
+    return map_batches(kept.withColumn("_lettered", lettered), run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,47 @@ def test_language_id_learns(spark, empty):
     assert language.predict_languages(empty, language.fit_languages(empty)).count() == 0
 
 
+def test_language_windows_are_the_network(monkeypatch):
+    """Windows side by side give what the network gives running over whole texts, as far as it looks; any length of text."""
+    net = language.ByteNetwork(["a", "b", "c"])
+    for key, v in net.p.items():
+        net.p[key] = np.random.default_rng(len(key)).standard_normal(v.shape).astype(np.float32)
+    texts = [prose(k, n).encode() for k, n in enumerate((1, 3, 20, 28, 29, 30, 60, 400))] + [b"", b"x", b"ab" * language.WINDOW, "日本é".encode() * 90]
+    got = net.pooled(texts)
+    for text, found in zip(texts, got, strict=True):
+        if len(text) <= language.WINDOW:
+            exact = np.exp(net.positions(np.frombuffer(text, np.uint8)[None])).mean(axis=(0, 1)) if text else np.zeros(3)
+            assert found == pytest.approx(exact, abs=1e-4)
+        else:
+            logs = []
+            for at in range(0, len(text), language.WINDOW):
+                begin = min(at, len(text) - language.WINDOW)
+                low, high = max(0, begin - language.CONTEXT), min(len(text), begin + language.WINDOW + language.CONTEXT)
+                x = np.frombuffer(text, np.uint8)[None]
+                states = [net._run(x[:, low : begin + language.WINDOW], "f", False)[0][begin - low :], net._run(x[:, begin:high], "b", False)[0][: language.WINDOW]]
+                logs.append(np.exp(net._log_probabilities(np.concatenate(states, axis=2)))[at - begin :, 0])
+            assert found == pytest.approx(np.concatenate(logs).mean(axis=0), abs=1e-4)
+    long = prose(5, 2000).encode() * 300
+    assert net.pooled([b"ab", long])[1].sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_language_learns_from_labels_of_the_rest_only(spark):
+    """Scrambled labels of held-out rows, and null ones, change nothing; equal and null ids, clashing columns, held-out accuracy."""
+    r = random.Random(6)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(40))
+    given = [(i if i % 10 else (None if i % 20 else 10), make("abcde" if i % 2 else "defgh"), "x" if i % 2 else "y") for i in range(150)]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    schema = "doc_id long, text string, lang string"
+    fair = spark.createDataFrame(given, schema)
+    scrambled = spark.createDataFrame([(i, t, r.choice(["x", "y", "z", None]) if out(i) else k) for i, t, k in given] + [(7, None, "w"), (8, "text", None)], schema)
+    nets = [language.fit_languages(f) for f in (fair, scrambled)]
+    assert nets[0].languages == nets[1].languages == ["x", "y"] and all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
+    got = language.predict_languages(fair.withColumn("score", F.lit("clash")).withColumn("_row", F.lit("clash")), nets[0])
+    assert got.columns == ["doc_id", "text", "lang", "_row", "lang_pred", "score"]
+    told = [(x["lang"] == x["lang_pred"], 0.5 <= x["score"] <= 1) for x in got.collect() if out(x["doc_id"])]
+    assert len(told) > 30 and sum(a for a, _ in told) >= 0.95 * len(told) and all(b for _, b in told)
+
+
 def test_sentence_spans(spark, empty):
     shared = "First of the shared sentences. Second of the shared ones! Third shared sentence?"
     frame = spark.createDataFrame([(1, "Own one. " + shared, None, None, 1), (2, shared + " Own two.", None, None, 1), (3, None, None, None, 1), (4, "Quite different.", None, None, 1)], SCHEMA)
