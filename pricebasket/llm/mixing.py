@@ -3,14 +3,16 @@
 1. A classifier of domains is fitted on labelled rows (the table of labels: high, low or toxic): a naive Bayes over hashed
    words and runs of marks, each counted once a text. SAMPLE labelled rows, those with the smallest hash, are used at most.
 2. Every document gets a posterior for each domain; no row leaves its task for it.
-3. Rates r >= 0, one a document, are fitted by projected-gradient least squares: the expected tokens of a domain are the
-   sum of r * tokens * posterior, and shall be the domain's target. A step needs these few totals only, which are one distributed
-   aggregate; each document recomputes its rate from the steps so far. Distances are measured in the metric of the
-   posteriors' second moments, so that rare domains converge as fast as frequent ones.
+3. Rates r >= 0, one a document, are fitted by projected-gradient least squares with momentum: the expected tokens of a
+   domain are the sum of r * tokens * posterior, and shall be the domain's target. A step needs these few totals only,
+   which are one distributed aggregate; each document recomputes its rate from the steps so far. Distances are measured in the metric of the
+   posteriors' second moments, so that rare domains converge as fast as frequent ones, and no step overshoots. Steps end
+   when the totals are CLOSE to the targets or STEPS have been made; targets that no rates meet are only come near to; `reached` tells the
+   targets and the totals.
 4. A rate's whole part, and one more with the chance of its fraction (by a hash of the id), are a document's copies.
 
 Null texts have no tokens and the domains' shares as posteriors. Without labels the posteriors are equal. Repeated rows
-are rows like others; null ids draw alike. Empty tables give empty results. Other columns pass through.
+are rows like others; rows without an id draw alike. Null ids and domains of labels are not learned from. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ BUDGET = 1.0
 SAMPLE = 20_000
 #: Hash buckets; pseudo-occurrences that a bucket has in each domain; how far over its share (as a logarithm) a bucket tells a domain.
 BUCKETS, SMOOTH, FAINT = 1 << 16, 10.0, 0.8
-STEPS, CLOSE = 24, 1e-6
+STEPS, CLOSE = 32, 1e-6
 #: Words, and runs of marks.
 PIECE = r"[A-Za-zÀ-ɏ]++|[^A-Za-zÀ-ɏ\s]++"
 
@@ -94,20 +96,45 @@ def fitted_rates(members: DataFrame, targets: dict[str, float], budget: float =
     metric = np.array([[moments[f"m{i}_{j}"] / total for j in range(len(p))] for i in range(len(p))]) + 1e-9 * np.eye(len(p))
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS])
     wanted = budget * wanted / wanted.sum()
-    rate, best, least = F.lit(budget), F.lit(budget), float("inf")
+    steps, momentum, best, least = [], 1.0, F.lit(budget), float("inf")
     for _ in range(STEPS):
-        sums = members.select("n_tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("_r")).agg(*(F.sum(F.col("_r") * F.col("n_tokens") * x / total) for x in p)).first()
-        error = np.array([float(x) for x in sums]) - wanted
-        if (size := float(np.abs(error).sum())) < least:
+        # totals where the next step starts: ahead of the rates by the momentum
+        further, start = (momentum - 1) / (t := (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2), _rate(steps, budget)
+        rate, ahead = start["rate"], start["rate"] + further * (start["rate"] - start["before"])
+        each = members.select("n_tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("_r"), ahead.alias("_y"))
+        sums = each.agg(*(F.sum(F.col(r) * F.col("n_tokens") * x / total) for r in ("_r", "_y") for x in p)).first()
+        error, error_ahead = (np.array([float(x) for x in sums[k : k + len(p)]]) - wanted for k in (0, len(p)))
+        if (size := float(error @ np.linalg.solve(metric, error))) < least:
             best, least = rate, size
-        if size < CLOSE:
+        if np.abs(error).sum() < CLOSE:
             break
-        step = np.linalg.solve(metric, error).tolist()
-        down = sum((x * s for x, s in zip(p[1:], step[1:], strict=True)), p[0] * step[0])
-        rate = F.greatest(F.lit(0.0), rate - down)
+        steps.append((further, *np.linalg.solve(metric, error_ahead).tolist()))
+        momentum = t
     return best
 
 
+def _rate(steps: list[tuple[float, ...]], budget: float) -> Column:
+    """The rate after so many steps and the one before, from a row's posteriors."""
+    none = F.struct(F.lit(float(budget)).alias("rate"), F.lit(float(budget)).alias("before"))
+    if not steps:
+        return none
+
+    def step(now: Column, s: Column) -> Column:
+        down = sum((F.col(f"p_{d}") * s[k + 1] for k, d in enumerate(DOMAINS[1:], 1)), F.col(f"p_{DOMAINS[0]}") * s[1])
+        start = now["rate"] + s[0] * (now["rate"] - now["before"])
+        return F.struct(F.greatest(F.lit(0.0), start - down).alias("rate"), now["rate"].alias("before"))
+
+    return F.aggregate(F.array(*(F.array(*map(F.lit, s)) for s in steps)), none, lambda now, s: step(now, s))
+
+
+def reached(mixed: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """domain, target and share: of all tokens, what the rates of mix() give each domain; one row a domain."""
+    of = lambda d: F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) / F.sum("n_tokens")
+    whole = sum(targets.values())
+    rows = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(budget * targets.get(d, 0.0) / whole).alias("target"), of(d).alias("share")) for d in DOMAINS))
+    return mixed.agg(rows.alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
+
+
 def mix(docs: DataFrame, labels: DataFrame, learned: DataFrame | None = None, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """docs with n_tokens, posteriors, rate and copies; learned: documents with the texts that the classifier learns from, docs unless given."""
     members = stored(docs.sparkSession, posteriors(docs, fit_domains(docs if learned is None else learned, labels)), "members")

@@ -202,6 +202,23 @@ def test_sharding(docs, empty, texts):
     assert sharding.interleave(empty).count() == 0
 
 
+def test_sharding_matches_the_mixture(spark):
+    """Every shard holds each source's share, to a row or two; a hot source, null ids and sources, rows repeated; another seed gives another order."""
+    r = random.Random(2)
+    given = [(i if i % 9 else None, f"text {i % 50}", r.choice(["hot", "hot", "a", "b", None])) for i in range(2500)]
+    given += given[:40]
+    frame = spark.createDataFrame(given, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("_n", F.lit("clash")).repartition(5)
+    got, other = sharding.interleave(frame, shards=7).collect(), sharding.interleave(frame, shards=7, seed="two").collect()
+    assert sorted(((x["doc_id"], x["source"], x["text_crc32"]) for x in got), key=str) == sorted(((i, s, zlib.crc32(t.encode())) for i, t, s in given), key=str)
+    for shard in range(7):
+        own = [x for x in got if x["shard"] == shard]
+        assert sorted(x["slot"] for x in own) == list(range(len(own))) and abs(len(own) - len(given) / 7) < 1
+        for source in ("hot", "a", "b", None):
+            assert abs(sum(x["source"] == source for x in own) - sum(g[2] == source for g in given) / 7) <= 2
+    place = lambda found: {(x["doc_id"], x["source"]): (x["shard"], x["slot"]) for x in found if x["doc_id"]}
+    assert place(got) != place(other)
+
+
 @pytest.mark.parametrize("wide", [suffixes.WIDE, 1])
 def test_suffixes_against_brute_force(docs, empty, texts, wide):
     got = rows(suffixes.cut_repeats(docs, wide=wide))
@@ -342,6 +359,44 @@ def test_mixing_meets_targets(spark, empty):
     assert mixing.mix(empty, labels.limit(0)).count() == 0
 
 
+def plain_rates(n, p, wanted, metric, budget):
+    """The totals of rates that projected gradient finds over explicit arrays, in 20,000 small steps."""
+    rate, inverse = np.full(len(n), budget), np.linalg.inv(metric)
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - 0.1 * p @ (inverse @ ((rate * n) @ p - wanted)))
+    return (rate * n) @ p
+
+
+@pytest.mark.parametrize(("targets", "reached"), [({"high": 0.5, "low": 0.3, "toxic": 0.2}, True), ({"high": 0.7, "low": 0.3, "toxic": 0.0}, False)])
+def test_rates_against_a_plain_solver(spark, targets, reached):
+    """Totals meet targets that can be met; others are come near to, in the metric of the second moments, if not as near in STEPS steps as by 20,000."""
+    r = np.random.default_rng(4)
+    p, tokens = 0.7 * r.dirichlet([2, 2, 1], 400) + 0.1, r.integers(1, 900, 400)
+    members = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p, strict=True)], "n_tokens long, p_high double, p_low double, p_toxic double")
+    rates = np.array([x[0] for x in members.select(mixing.fitted_rates(members, targets, 1.0)).collect()])
+    n, wanted = tokens / tokens.sum(), np.array([targets[d] for d in mixing.DOMAINS])
+    metric = (p * n[:, None]).T @ p
+    got, plain = (rates * n) @ p, plain_rates(n, p, wanted, metric, 1.0)
+    far = lambda totals: float((totals - wanted) @ np.linalg.inv(metric) @ (totals - wanted))
+    assert (rates >= 0).all() and far(got) <= (1.02 if reached else 1.5) * far(plain) + 1e-6
+    assert (np.abs(got - wanted).max() < 1e-5) == reached
+
+
+def test_mixing_of_equal_and_null_ids(spark):
+    """Rows of one id or none each get their own posteriors; null texts have no tokens; columns of our names are replaced, others pass through."""
+    given = [(i, "good words here" if i % 3 else "bad !!! words") for i in range(60)] + [(1, "bad !!! words"), (None, "good words here"), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("rate", F.lit("clash")).withColumn("domain", F.lit("kept"))
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(40)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(docs, labels).collect()
+    assert len(got) == len(given) and {x["domain"] for x in got} == {"kept"} and all(isinstance(x["rate"], float) for x in got)
+    by = {(x["doc_id"], x["text"]): x for x in got}
+    assert by[1, "good words here"]["p_high"] > 0.5 > by[1, "bad !!! words"]["p_high"] and by[None, None]["n_tokens"] == 0
+    told = {x["domain"]: (x["target"], x["share"]) for x in mixing.reached(mixing.mix(docs, labels, targets={"high": 0.7, "low": 0.3}), {"high": 0.7, "low": 0.3}).collect()}
+    assert told["high"] == pytest.approx((0.7, 0.7), abs=0.01) and told["low"] == pytest.approx((0.3, 0.3), abs=0.01)
+    mixed = mixing.mixed_documents(docs, labels)
+    assert mixed.columns == docs.columns and mixed.count() == sum(x["copies"] for x in got)
+
+
 def test_records(spark, docs, empty, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
     folder = new_path(spark, "test-records")
