@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pricebasket.llm import bpe, jaccard, language, media, mixing, records, search, sentences, sharding, suffixes
 
 QUERIES = {
@@ -16,8 +15,5 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_records": records.op10_token_records,
-    "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_sentence_spans": sentences.OP3_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+SQL = {"op3_sentence_spans": sentences.OP3_SQL, "op5_sharding": sharding.OP5_SQL}

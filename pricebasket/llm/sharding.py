@@ -71,3 +71,23 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFra
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = interleave(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select(F.col("doc_id").cast("long"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP5_SQL = rf"""
+with bits as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(i as bigint))) as t),
+rows as (
+  select doc_id, case when source is null then '' else 's' || source end as src, strlen(coalesce(text, '')) + 1 as size,
+         md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || case when doc_id is null then md5(coalesce(text, '')) else '' end) as h,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as b from documents),
+summed as (
+  select r.* exclude (b), xor(4294967295, list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), cast(4294967295 as bigint))) as crc from rows r, bits),
+ranked as (
+  select *, row_number() over (partition by src order by h, doc_id, crc, size) as r, count(*) over (partition by src) as n, count(*) over () as total from summed),
+placed as (
+  select *, row_number() over (order by cast(2 * r - 1 as double) / cast(2 * n as double), src) - 1 as place from ranked),
+cut as (select *, place * {SHARDS} // total as shard from placed)
+select doc_id, cast(size as bigint) as size, cast(crc as bigint) as text_crc32, 'rows' as law, cast(shard as int) as shard,
+       cast(place - (shard * total + {SHARDS - 1}) // {SHARDS} as bigint) as slot, cast(null as int) as grown_shard
+from cut
+"""
