@@ -9,7 +9,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of texts that are hashed together; a longer text goes alone.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 _U = np.uint64
 
 

@@ -47,7 +47,7 @@ FLOOR = 2
 #: Frequent shingles that are kept, the most frequent ones: only their order hangs on it.
 FREQUENT = 200_000
 #: Sets that share a shingle and are paired at once; shingles of the sets that are compared in one task, about.
-PAIRED, BLOCK = 40, 4_000_000
+PAIRED, BLOCK = 40, 2_000_000
 #: Values that a document's l can take; other sets that a rare shingle of a prefix leads to, about; what a row of a longer prefix costs.
 LEVELS = (1, 2, 3, 5, 8, 12, 16, 24, 32)
 RARE, ROW = 0.05, 0.05

@@ -41,7 +41,7 @@ LENGTH, GRAM, STEP = 200, 64, 40
 #: Extents of one anchor that one task refines at most.
 WIDE = 20_000
 #: Bytes of extents that are refined together, about.
-REFINED = 4_000_000
+REFINED = 1_000_000
 _U = np.uint64
 
 

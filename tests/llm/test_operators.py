@@ -245,7 +245,7 @@ def test_refinement_against_brute_force(length, gram, step):
 def test_suffixes_of_long_texts_and_equal_ids(spark):
     """Texts longer than what is hashed together; null and equal ids; other depths; repeated rows."""
     r = random.Random(1)
-    big = "".join(r.choices("abcdefgh", k=2_300_000))
+    big = "".join(r.choices("abcdefgh", k=1_300_000))
     frame = spark.createDataFrame([(1, "." * 150 + big), (2, big + "!" * 100)], "doc_id long, text string").repartition(2)
     assert [(x["n_removed"], x["n_spans"]) for x in rows(suffixes.cut_repeats(frame))] == [(len(big), 1)] * 2
     texts = [prose(k, 30) + " " + prose(90 + k % 3, 12) for k in range(8)] + [prose(0, 30), None, prose(5, 40), prose(5, 40)]
