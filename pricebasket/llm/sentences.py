@@ -7,74 +7,121 @@ text of fewer words than that is one run; the last sentences of others, which be
 are joined globally by their hash, and every sentence is removed that a repeated run covers, unless the run is its first
 occurrence (the smallest id, then the first place in the text).
 
-Each hash's first occurrence and count come from a partial aggregate, so a passage in a third of all rows costs a few
-rows a task; its occurrences are then found by an equi-join with one row a hash, whose skewed partitions Spark splits.
+Runs that occur once are told by a partial count of each hash, so a passage in a third of all rows costs a few rows a
+task; an equi-join with one row a hash, whose skewed partitions Spark splits, finds the others, and a partial minimum
+their first occurrence.
 
-Runs compare by two 64-bit hashes of their sentences without outer white space. Null and empty texts have no sentences
+Runs compare by a hash of 128 bits of their sentences without outer white space. Null and empty texts have no sentences
 and stay as they are. Rows of one id (or none) are told apart by a hash of their text; rows equal in both are one
 document. Empty tables give empty results; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import documents, whole_text
+from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
 
 #: Words that a run holds at least, sentences likewise; words of a sentence beyond which it is cut at clause marks.
 WORDS, RUN, LONG = 20, 2, 15
 #: A sentence: what comes before closing marks or line ends, these, and white space; or the rest. A clause likewise.
-SENTENCE = r"[^.!?\n]*+[.!?\n]++[ \t\r\n\f]*+|[^.!?\n]++"
-CLAUSE = r"[^,;:]*+[,;:]++[ \t\r\n\f]*+|[^,;:]++"
-BLANK = " \t\r\n\f"
-
-
-def word_count(text: Column) -> Column:
-    bare = F.trim(text, F.lit(BLANK))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{BLANK}]+")))
-
-
-def sentences(text: Column, long: int = LONG) -> Column:
-    """The text's sentences, those of more than `long` words as their clauses."""
-    whole = F.regexp_extract_all(text, F.lit(SENTENCE), 0)
-    return F.flatten(F.transform(whole, lambda s: F.when(word_count(s) > long, F.regexp_extract_all(s, F.lit(CLAUSE), 0)).otherwise(F.array(s))))
+SENTENCE = re.compile(rb"[^.!?\n]*+[.!?\n]++[ \t\r\n\f\v]*+|[^.!?\n]++")
+CLAUSE = re.compile(rb"[^,;:]*+[,;:]++[ \t\r\n\f\v]*+|[^,;:]++")
+
+
+def sentences(text: bytes, long: int = LONG) -> tuple[list[bytes], list[int]]:
+    """The text's sentences, those of more than `long` words as their clauses; and their words."""
+    found, counts = [], []
+    for s in SENTENCE.findall(text):
+        n = len(s.split())
+        parts = CLAUSE.findall(s) if n > long else [s]
+        found += parts
+        counts += [n] if len(parts) == 1 else [len(p.split()) for p in parts]
+    return found, counts
+
+
+def runs(counts: list[int], words: int = WORDS) -> Iterator[tuple[int, int]]:
+    """Begin and end of the run from each sentence that has one."""
+    sums, most, n, end = [0, *accumulate(counts)], max(words, RUN), len(counts), 0
+    for begin in range(n):
+        while end < n and (end < begin + RUN or sums[end] - sums[begin] < words and end < begin + most):
+            end += 1
+        if end - begin >= RUN and (sums[end] - sums[begin] >= words or end - begin == most):
+            yield begin, end
+        else:
+            if begin == 0:
+                yield 0, n
+            return
 
 
 def sentence_spans(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, _row, at (place of the first sentence), k (sentences), h1 and h2 of every run of sentences."""
-    cut = df.select("doc_id", F.xxhash64(whole_text()).alias("_row"), F.transform(sentences(whole_text()), lambda s: F.trim(s, F.lit(BLANK))).alias("_s"))
-    most = max(words, RUN)
-    cut = cut.filter(F.size("_s") > 0).withColumn("_w", F.transform("_s", word_count))
-
-    def length(i: Column) -> Column:
-        """Sentences and words of the run from sentence i."""
-        none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
-        more = lambda a, w: F.when((a["n"] >= words) & (a["k"] >= RUN), a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + w).alias("n")))
-        return F.aggregate(F.slice("_w", i, most), none, more)
-
-    runs = F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.struct((i - 1).alias("at"), length(i).alias("long")))
-    full = F.filter(runs, lambda r: (r["at"] == 0) | (r["long"]["k"] >= RUN) & ((r["long"]["n"] >= words) | (r["long"]["k"] == most)))
-    hashed = F.transform(full, lambda r: F.struct(r["at"].alias("at"), r["long"]["k"].alias("k"), F.array_join(F.slice("_s", r["at"] + 1, r["long"]["k"]), "\n").alias("run")))
-    each = cut.select("doc_id", "_row", F.explode(hashed).alias("r"))
-    return each.select("doc_id", "_row", "r.at", "r.k", F.xxhash64("r.run").alias("h1"), F.xxhash64(F.lit(words), "r.run").alias("h2"))
+    """doc_id, _row (a hash of the text), at (place of the first sentence), k (sentences), and the hash h1, h2 of every run of sentences."""
+    names = ["doc_id", "_row", "at", "k", "h1", "h2"]
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at, k, hashes = [], [], [], []
+
+            def made() -> pa.RecordBatch:
+                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                held = pa.array(own, pa.int64())
+                columns = [batch.column(c).take(held) for c in names[:2]] + [pa.array(at, pa.int32()), pa.array(k, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
+                for x in (own, at, k, hashes):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for i, text in enumerate(batch.column("text")):
+                found, counts = sentences(text.as_py().encode())
+                bare = [s.strip() for s in found]
+                for begin, end in runs(counts, words):
+                    own.append(i)
+                    at.append(begin)
+                    k.append(end - begin)
+                    hashes.append(xxhash.xxh3_128_digest(b"\n".join(bare[begin:end])))
+                if len(own) > 50_000:
+                    yield made()
+            yield made()
+
+    rows = df.select("doc_id", F.xxhash64(whole_text()).alias("_row"), "text").filter("length(text) > 0")
+    return map_batches(rows, run, f"{df.select('doc_id').schema.simpleString()[7:-1].replace(':', ' ')}, _row long, at int, k int, h1 long, h2 long")
 
 
 def drop_repeated_sentences(df: DataFrame, words: int = WORDS) -> DataFrame:
     """df with text reduced to what stays, and n_sentences and n_removed."""
-    spans = sentence_spans(df, words)
-    own = F.struct("doc_id", "_row", "at")
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min(own).alias("_first")).filter("_n > 1").drop("_n")
-    later = spans.join(firsts, ["h1", "h2"]).filter(~own.eqNullSafe(F.col("_first")))
+    spans, own = sentence_spans(df, words), F.struct("doc_id", "_row", "at")
+    several = spans.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").select("h1", "h2")
+    repeated = stored(df.sparkSession, spans.join(several, ["h1", "h2"]), "repeated-runs")
+    firsts = repeated.groupBy("h1", "h2").agg(F.min(own).alias("_first"))
+    later = repeated.join(firsts, ["h1", "h2"]).filter(~own.eqNullSafe(F.col("_first")))
     covered = later.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_row_of")).agg(F.collect_set(F.struct("at", "k")).alias("_runs"))
-    rows = df.drop("n_sentences", "n_removed").withColumn("_row", F.xxhash64(whole_text()))
-    kept = rows.join(covered, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_row_of")), "left")
-    places = F.transform("_runs", lambda r: F.sequence(r["at"], r["at"] + r["k"] - 1))
-    cut = kept.withColumn("_s", sentences(whole_text())).withColumn("_gone", F.array_distinct(F.flatten(F.coalesce(places, F.array().cast("array<array<int>>")))))
-    gone = F.map_from_entries(F.transform("_gone", lambda i: F.struct(i, F.lit(True))))
-    rest = F.array_join(F.filter("_s", lambda s, i: ~F.map_contains_key(F.col("_gone_map"), i)), "")
-    out = cut.withColumn("_gone_map", gone).withColumn("n_sentences", F.size("_s").cast("long")).withColumn("n_removed", F.size("_gone").cast("long"))
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text"))).drop("_id", "_row", "_row_of", "_runs", "_s", "_gone", "_gone_map")
+    others = [c for c in df.columns if c not in ("text", "n_sentences", "n_removed", "_row", "_id", "_row_of", "_runs")]
+    rows = df.select(*others, "text").withColumn("_row", F.xxhash64(whole_text()))
+    kept = rows.join(covered, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_row_of")), "left").select(*others, "text", "_runs")
+    schema = df.select(*others, "text").schema.add("n_sentences", "long").add("n_removed", "long")
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_rest(t.as_py(), r.as_py()) for t, r in zip(batch.column("text"), batch.column("_runs"), strict=True)]
+            columns = [batch.column(c) for c in others]
+            columns += [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    return map_batches(kept, run, schema)
+
+
+def _rest(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
+    """What stays of a text; how many sentences it has, and how many go."""
+    found, _ = sentences((text or "").encode())
+    gone = {i for r in runs or () for i in range(r["at"], r["at"] + r["k"])}
+    return b"".join(s for i, s in enumerate(found) if i not in gone).decode() if gone else text, len(found), len(gone)
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +131,12 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = rf"""
 with whole as (
-  select doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+') as s from documents),
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\n\f\v]*|[^.!?\n]+') as s from documents),
 cut as (
-  select doc_id, flatten(list_transform(s, lambda x: case when len(regexp_extract_all(x, '[^ \t\r\n\f]+')) > {LONG}
-                                              then regexp_extract_all(x, '[^,;:]*[,;:]+[ \t\r\n\f]*|[^,;:]+') else [x] end)) as s from whole),
+  select doc_id, flatten(list_transform(s, lambda x: case when len(regexp_extract_all(x, '[^ \t\r\n\f\v]+')) > {LONG}
+                                              then regexp_extract_all(x, '[^,;:]*[,;:]+[ \t\r\n\f\v]*|[^,;:]+') else [x] end)) as s from whole),
 counted as (
-  select doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[^ \t\r\n\f]+'))) as w from cut where len(s) > 0),
+  select doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[^ \t\r\n\f\v]+'))) as w from cut where len(s) > 0),
 starts as (
   select doc_id, s, w, unnest(range(len(s))) as pos from counted),
 sized as (
@@ -97,7 +144,7 @@ sized as (
     list_filter(range({RUN}, least({WORDS}, len(s) - pos) + 1), lambda k: k = {WORDS} or list_sum(w[pos + 1 : pos + k]) >= {WORDS})[1],
     case when pos = 0 then len(s) end) as k from starts),
 runs as (
-  select doc_id, pos, k, array_to_string(list_transform(s[pos + 1 : pos + k], lambda x: trim(x, e' \t\r\n\f')), e'\n') as run from sized where k is not null),
+  select doc_id, pos, k, array_to_string(list_transform(s[pos + 1 : pos + k], lambda x: trim(x, e' \t\r\n\f' || chr(11))), e'\n') as run from sized where k is not null),
 nths as (
   select doc_id, pos, k, row_number() over (partition by run order by doc_id, pos) as nth from runs),
 later as (select distinct doc_id, unnest(range(pos, pos + k)) as pos from nths where nth > 1),
