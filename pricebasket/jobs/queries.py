@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pricebasket.functions import text
 from pricebasket.operators import basket, extract, linking, movers, permissions, reports, series, store
-from pricebasket.sources import adapters, outlets, payload
+from pricebasket.session import new_path
+from pricebasket.sources import adapters, outlets, payload, schemas, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +27,19 @@ def index_by_category(spark: SparkSession, d: str) -> DataFrame:
     return _points(basket.build_index(basket.category_slices(adapters.priced(spark, d))).points)
 
 
-def index_summary(spark: SparkSession, d: str) -> DataFrame:
+def _published_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = adapters.priced(spark, d)
     points = basket.build_index(basket.overall_slice(rows).unionByName(basket.category_slices(rows))).points
-    whole = basket.index_summary(points)
-    return whole.join(basket.category_summary(whole).select("slice", "label"), "slice").select("slice", "label", "points", "latest_period", F.round("latest_value", 6).alias("latest_value"), F.round("total_change_pct", 6).alias("total_change_pct"))
+    return basket.index_summary(basket.published_points(points))
+
+
+def index_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _published_summary(spark, d).withColumns({c: F.round(c, 6) for c in ("latest_value", "total_change_pct")})
+
+
+def category_summary(spark: SparkSession, d: str) -> DataFrame:
+    described = adapters.table(spark, d, "region").select(F.col("r_name").alias("category"), F.concat(F.lit("Outlets of region "), "r_regionkey").alias("description"))
+    return basket.category_summary(_published_summary(spark, d), described)
 
 
 def index_links(spark: SparkSession, d: str) -> DataFrame:
@@ -98,15 +107,68 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return listed.groupBy("renderer", "verified").agg(F.count("*").alias("n")).join(F.broadcast(whole))
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("item_id")
+    return adapters.items(spark, d).select("outlet_id", (k % 3 == 0).alias("is_new"), (k % 5 == 0).alias("renamed"))
+
+
 def run_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.run_report(adapters.collection_log(spark, d))[1].select("outlet_id", "fetched", "skipped", "errored")
+    return reports.run_report(adapters.collection_log(spark, d), _linked(spark, d))[1]
+
+
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.run_report(adapters.collection_log(spark, d), _linked(spark, d))[0]
+
+
+def page_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.length("url") + F.length("html")
+    status, error = F.when(k % 7 == 0, "skipped").when(k % 11 == 0, "error"), F.when(k % 5 == 0, "timeout")
+    pages = adapters.table(spark, d, "pages").select("page_id", status.alias("status"), error.alias("error"), F.when(k % 3 != 0, F.col("html")).alias("html"))
+    return pages.select("page_id", reports.outcome(F.col("status"), F.col("error"), F.col("html")).alias("outcome"))
+
+
+def known_items(spark: SparkSession, d: str) -> DataFrame:
+    return store.known_items(adapters.items(spark, d), "3")
+
 
+def restricted_run(spark: SparkSession, d: str) -> DataFrame:
+    return outlets.only(adapters.outlets(spark, d), ["2", "3", "5", "7", "none such"])
 
-_LABELS = "concat(c_name, '  ', case c_custkey % 5 when 0 then '$' when 1 then 'for ' when 2 then '' when 3 then '$ ' else '-' end, case when c_custkey % 9 = 0 then 'n/a' else cast(cast(c_acctbal / 10 as decimal(12,2)) as varchar(20)) end)"
+
+def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Raw pages written as snapshots and read back."""
+    path = new_path(spark, "pages")
+    pages = adapters.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("outlet_id"), F.lit("2024-01").alias("period"), "url", "html", F.lit("2024-01-05").alias("fetched_at"))
+    pages.write.parquet(path)
+    return tables.read_pages(spark, path).select("outlet_id", "period", "url", F.length("html").cast("long").alias("characters"), "fetched_at")
+
+
+def replaced_months(spark: SparkSession, d: str) -> DataFrame:
+    """Observations stored, those of one year stored again with other prices: only its months are replaced."""
+    path = new_path(spark, "observations")
+    rows = adapters.observations(spark, d).withColumn("position", F.expr("cast(order_key * 8 + position as int)"))
+    whole = store.upsert_observations(tables.empty(spark, schemas.OBSERVATIONS), rows)
+    tables.write_observations(whole, path)
+    tables.write_observations(whole.filter("period like '1995-%'").withColumn("price_cents", F.col("price_cents") + 1), path)
+    return tables.read_observations(spark, path, "real").select("item_id", "period", "price_cents", "observed_name", "scraped_at")
+
+
+def appended_log(spark: SparkSession, d: str) -> DataFrame:
+    """The collection log, and its errors appended once more."""
+    path, log = new_path(spark, "log"), adapters.collection_log(spark, d)
+    for part in (log, log.filter("status = 'error'")):
+        tables.append_log(part, path)
+    return tables.read_table(spark, path, schemas.COLLECTION_LOG).groupBy("outlet_id", "status").agg(F.count("*").alias("entries"), F.max("ran_at").alias("latest"))
+
+
+# a tenth of a balance as text, cut from its integer cents, so that both engines read the same label
+_CENTS = "cast(round(abs(c_acctbal) * 100) as bigint)"
+_AMOUNT = f"concat(case when c_acctbal < 0 then '-' else '' end, cast(cast(floor({_CENTS} / 1000) as bigint) as varchar(20)), '.', lpad(cast(cast(floor({_CENTS} / 10) as bigint) % 100 as varchar(20)), 2, '0'))"
+_LABELS = f"concat(c_mktsegment, '  ', case c_custkey % 5 when 0 then '$' when 1 then 'for ' when 2 then '' when 3 then '$ ' else '-' end, case when c_custkey % 9 = 0 then 'n/a' else {_AMOUNT} end)"
 
 
 def parse_price(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.table(spark, d, "customer").select("c_custkey", F.expr(_LABELS.replace("varchar(20)", "string").replace("c_name", "c_mktsegment")).alias("t"))
+    rows = adapters.table(spark, d, "customer").select("c_custkey", F.expr(_LABELS.replace("varchar(20)", "string")).alias("t"))
     return rows.select("c_custkey", text.parse_price(F.col("t")).alias("cents"))
 
 
@@ -142,7 +204,7 @@ def item_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def observation_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = adapters.observations(spark, d).withColumn("position", F.expr("cast(order_key * 8 + position as int)"))
-    return store.upsert_observations(rows.filter("dataset = 'real'"), rows).select("item_id", "period", "dataset", "scraped_at")
+    return store.upsert_observations(rows.filter("dataset = 'real'"), rows)
 
 
 def dimension_sync(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +219,10 @@ def clear_dataset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return payload.flatten_series(adapters.payload(spark, d), "SERIES").select("period", F.round("cpi", 6).alias("cpi"), "year", "month")
+    """The payload as a JSON file, read and flattened."""
+    path = new_path(spark, "payload")
+    adapters.payload(spark, d).write.json(path)
+    return payload.flatten_series(payload.read_payload(spark, path), "SERIES").select("period", F.round("cpi", 6).alias("cpi"), "year", "month")
 
 
 def _own(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +247,7 @@ def comparison(spark: SparkSession, d: str) -> DataFrame:
 def headline_gap(spark: SparkSession, d: str) -> DataFrame:
     points = _own(spark, d)
     span = points.agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"))
-    out = series.headline(basket.index_summary(points), series.change_over(adapters.official_series(spark, d), points), span)
+    out = series.headline(basket.index_summary(basket.published_points(points)), series.change_over(adapters.official_series(spark, d), points), span)
     return out.select(*(F.round(c, 6).alias(c) for c in ("own_change_pct", "cpi_change_pct", "gap_points")), "verdict", "first_period", "last_period")
 
 
@@ -191,6 +256,18 @@ def page_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("outlet_id", "observed_name", "price_cents", "used_fallback")
 
 
+def trailing_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose price is the number after the name in one block's text."""
+    out = extract.page_items(extract.page_texts(*adapters.plain_pages(spark, d, "p:has(b)")))
+    return out.select("outlet_id", "observed_name", "price_cents", "used_fallback")
+
+
+def swept_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of pages whose selector matches nothing, by the generic sweep."""
+    out = extract.page_items(extract.page_texts(*adapters.plain_pages(spark, d, ".no-such")))
+    return out.select("outlet_id", "observed_name", "price_cents", "used_fallback")
+
+
 def parse_report(spark: SparkSession, d: str) -> DataFrame:
     pages, config = adapters.menu_pages(spark, d)
     texts = extract.page_texts(pages, config)
@@ -230,8 +307,8 @@ def permission_audit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        index_overall, index_by_category, index_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, dataset_summary, datasets_available,
-        recent_log, outlet_violations, coverage, run_report, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert, dimension_sync, clear_dataset, series_flatten, series_change,
-        series_rebased, comparison, headline_gap, page_items, parse_report, sweep_report, link_items, rename_report, permission_audit,
+        index_overall, index_by_category, index_summary, category_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, dataset_summary, datasets_available,
+        recent_log, outlet_violations, coverage, run_report, run_totals, page_outcomes, known_items, restricted_run, page_snapshots, replaced_months, appended_log, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert, dimension_sync, clear_dataset, series_flatten, series_change,
+        series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, sweep_report, link_items, rename_report, permission_audit,
     )
 }

@@ -80,3 +80,14 @@ def menu_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = page.select("outlet_id", F.lit("2024-01").alias("period"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
     selectors = F.struct(F.lit(".menu-item").alias("item"), F.lit(".n a").alias("name"), F.lit("span.p").alias("price"))
     return pages, pages.select(F.col("outlet_id").alias("id"), selectors.alias("selectors"))
+
+
+def plain_pages(spark: SparkSession, sf_dir: str, selector: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of 50 items, each a paragraph of a bold name and a price after it; the selector picks the paragraphs or not. Items stand twice, some lack a price."""
+    k = F.col("p_partkey")
+    price = F.when(k % 7 == 0, "").otherwise(F.format_string(" <i>$%.2f</i>", 1 + F.pmod(k, F.lit(200)).cast("double") / 4))
+    rows = table(spark, sf_dir, "part").select(k.alias("k"), F.floor(k / 50).cast("string").alias("outlet_id"), F.concat(F.lit("<p><b>"), "p_name", F.lit(" No. "), k, F.lit("x</b>"), price, F.lit("</p>")).alias("b"))
+    page = rows.groupBy("outlet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda x: F.concat(x.b, x.b)), "\n").alias("html"))
+    pages = page.select("outlet_id", F.lit("2024-01").alias("period"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
+    selectors = F.struct(F.lit(selector).alias("item"), F.lit("b").alias("name"), F.lit("::text_after_name").alias("price"))
+    return pages, pages.select(F.col("outlet_id").alias("id"), selectors.alias("selectors"))
