@@ -283,9 +283,11 @@ def sweep_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All items in the month they are first seen in, and as the earlier store those of the first month of all."""
     items = adapters.items(spark, d)
-    seen = adapters.observations(spark, d).groupBy("item_id").agg(F.min("period").alias("period")).join(items, "item_id")
-    return seen.withColumn("position", F.col("item_id")), items.filter("item_id % 10 = 0")
+    first = adapters.observations(spark, d).groupBy("item_id").agg(F.min("period").alias("period"))
+    known = first.join(F.broadcast(first.agg(F.min("period").alias("period"))), "period", "left_semi")
+    return first.join(items, "item_id").withColumn("position", F.col("item_id")), items.join(known, "item_id", "left_semi")
 
 
 def link_items(spark: SparkSession, d: str) -> DataFrame:

@@ -30,9 +30,9 @@ def write_observations(merged: DataFrame, path: str) -> None:
     merged.repartition("dataset", "period", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "period").mode("overwrite").parquet(path)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Adds rows to the collection log."""
-    log.select("outlet_id", "ran_at", "status", "reason", F.coalesce("items_found", F.lit(0)).cast("int").alias("items_found")).write.mode("append").parquet(path)
+def append_log(log: DataFrame, path: str, mode: str = "append") -> None:
+    """Adds rows to the collection log (S6); mode overwrite for a folder of its own that a repeated batch writes again."""
+    log.select("outlet_id", "ran_at", "status", "reason", F.coalesce("items_found", F.lit(0)).cast("int").alias("items_found")).write.mode(mode).parquet(path)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pricebasket.jobs.collect import collect
 from pricebasket.settings import DEFAULTS, Settings
 from pricebasket.sources.schemas import ITEMS, OBSERVATIONS, PAGES
-from pricebasket.sources.tables import read_table, write_observations
+from pricebasket.sources.tables import append_log, read_table, write_observations
 
 
-def start_ingest(spark: SparkSession, pages: str, outlets: DataFrame, items: str, observations: str, checkpoint: str, dataset: str, settings: Settings = DEFAULTS) -> StreamingQuery:
+def start_ingest(spark: SparkSession, pages: str, outlets: DataFrame, items: str, observations: str, checkpoint: str, dataset: str, settings: Settings = DEFAULTS, log: str | None = None) -> StreamingQuery:
     """Collects what has arrived under `pages` since the last run, and stops.
 
-    Items are versions under items/batch=<id>, so a batch that is repeated after a failure writes the same place again.
+    Items and log entries are under batch=<id> in their folders, so a batch that is repeated after a failure writes the same
+    place again; merged observations are staged beside their folder, <observations>_staged/batch=<id>, before they replace months.
     """
     source = spark.readStream.schema(PAGES).parquet(pages)
 
@@ -27,7 +28,9 @@ def start_ingest(spark: SparkSession, pages: str, outlets: DataFrame, items: str
             old = old.filter(old["period"].isin(touched))
         done = collect(batch, outlets, known, old, dataset, settings)
         done.items.write.mode("overwrite").parquet(f"{items}/batch={batch_id}")
-        staged = f"{items}/staged={batch_id}"
+        if log:
+            append_log(done.log, f"{log}/batch={batch_id}", mode="overwrite")
+        staged = f"{observations.rstrip('/')}_staged/batch={batch_id}"
         done.observations.write.mode("overwrite").parquet(staged)  # not from the files that are replaced
         write_observations(spark.read.schema(OBSERVATIONS).parquet(staged), observations)
 

@@ -1,10 +1,11 @@
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from pricebasket.functions.similarity import best_match
+from pricebasket.functions.similarity import best_match, similarity
 from pricebasket.jobs.collect import collect
 from pricebasket.operators import linking, permissions, store
 from pricebasket.settings import Settings
@@ -34,6 +35,27 @@ def test_collect(spark):
     assert {r["match_key"] for r in done.items.collect()} == {"chowder", "cheeseburger", "name", "other", "soup of day"}
 
 
+def test_outcomes_reach_the_log(spark, tmp_path):
+    """Skipped and failed pages give no items, and the log tells why; appended twice it holds both runs."""
+    rows = [("a", "2026-01", HTML_A, None, None), ("b", "2026-01", HTML_B, "skipped", "robots.txt"), ("a", "2026-02", HTML_A, None, "timeout"), ("b", "2026-02", "", None, None), ("a", "2026-03", HTML_A, "error", None)]
+    frame = spark.createDataFrame([(o, p, "u", h, f"{p}-01", s, e) for o, p, h, s, e in rows], schemas.PAGES + ", status string, error string")
+    done = collect(frame, config(spark), tables.empty(spark, schemas.ITEMS), tables.empty(spark, schemas.OBSERVATIONS), "real")
+    got = {(r["outlet_id"], r["period"]): (r["status"], r["reason"]) for r in done.log.collect()}
+    assert got == {("a", "2026-01"): ("fetched", None), ("b", "2026-01"): ("skipped", "robots.txt"), ("a", "2026-02"): ("error", "timeout"), ("b", "2026-02"): ("error", "empty page"), ("a", "2026-03"): ("error", None)}
+    report = done.report.first()
+    assert (report["fetched"], report["skipped"], report["errored"]) == (1, 1, 3)
+    for _ in range(2):
+        tables.append_log(done.log, str(tmp_path / "log"))
+    assert tables.read_table(spark, str(tmp_path / "log"), schemas.COLLECTION_LOG).count() == 10
+
+
+def test_similarity_of_columns(spark):
+    pairs = [("cheeseburger", "double cheeseburger"), ("a", ""), ("", ""), (None, "a"), ("soup", "soup"), ("soup of day", "soup du jour")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in frame.select(similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == [None if a is None else SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+
+
 def test_linking_is_a_fold(spark):
     rows = [("a", None, None, "2026-01", 0, "cheeseburger"), ("a", None, None, "2026-01", 1, "cheeseburgers"), ("a", 12.0, "oz", "2026-01", 2, "cheeseburger"), ("a", None, None, "2026-02", 0, "double cheeseburger"), ("a", None, None, "2026-02", 1, "")]
     parsed = spark.createDataFrame(rows, "outlet_id string, size_value double, size_unit string, period string, position long, match_key string")
@@ -130,6 +152,7 @@ def test_stream(spark, tmp_path):
     where = [str(tmp_path / x) for x in ("pages", "items", "observations", "checkpoint")]
     for month in ("2026-01", "2026-02"):
         pages(spark, [("a", month, HTML_A)]).write.mode("append").parquet(where[0])
-        start_ingest(spark, where[0], config(spark), *where[1:], "real").awaitTermination()
+        start_ingest(spark, where[0], config(spark), *where[1:], "real", log=str(tmp_path / "log")).awaitTermination()
     assert tables.read_observations(spark, where[2], "real").count() == 4
+    assert spark.read.parquet(str(tmp_path / "log")).groupBy("status").sum("items_found").collect()[0][1] == 4
     assert spark.read.parquet(f"{where[1]}/batch=1").filter("first_seen = '2026-01' and last_seen = '2026-02'").count() == 2
