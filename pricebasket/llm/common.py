@@ -1,21 +1,17 @@
-"""What the training-data operators share: the shared folder, Arrow batch size, empty frames."""
+"""What the training-data operators share: tables in the shared folder, Arrow batches, memory handed back."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pricebasket.session import ship_package
+from pricebasket.session import new_path, ship_package
 
 #: Rows in one Arrow batch sent to Python. Documents differ much in length; small batches bound a worker's memory.
 ARROW_ROWS = 500
@@ -57,31 +53,6 @@ def map_batches(df: DataFrame, run: Callable[[Batches], Iterator[pa.RecordBatch]
     return df.mapInArrow(task, schema)
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it. Where it names none: a new one if all run
-    in one process (local runs, tests), else the warehouse if that is in a store, else an error."""
-    context, found = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if not found and re.match(r"local(\[|$)", context.master):
-        if context.applicationId not in _LOCAL:
-            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        found = _LOCAL[context.applicationId]
-    elif not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        if urlparse(found).scheme in ("", "file"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation."""
     path = new_path(spark, what)
