@@ -1,35 +1,46 @@
-"""Exact top-k search by BM25: an inverted index in each shard, block-max pruning, an exact merge by global statistics.
+"""Exact top-k search by BM25: a stored inverted index in shards, block-max WAND in each, an exact merge by global statistics.
 
-A shard is a partition of the documents. Its task builds an inverted index over the terms that the queries have:
-postings by term, and by block of BLOCK documents (documents of like length stand together), with the greatest impact of each
-term in each block. For a query the blocks' upper bounds are summed from these maxima; blocks are evaluated in falling order of their
-bounds until no bound reaches the k-th best score found: what is left can't enter. Shards return k rows a query at
-most, which are merged by score (then the smaller id). Document frequencies, lengths and counts are those of all documents.
+Index: SHARD documents make a shard, one row of a stored table: postings by term, documents numbered by likeness (those
+with the same most frequent terms stand together, so that blocks differ in what they hold). It is built once for all queries.
 
-Queries run in blocks of QUERIES, so what is broadcast is bounded whatever their number; each block is one pass.
+Search, in each shard: each term's postings fall into blocks of BLOCK documents, with their greatest impact. For a query
+the bounds of each block are summed from these; blocks are taken in falling order of their sums, and skipped as soon as
+one can't reach the k-th best score. In the blocks taken together, terms are ordered by their greatest bound there; the pivot is
+the term at which the bounds, summed from the least, reach the k-th best score. Documents without a term from the pivot on are
+never looked at; of the others, those whose score so far and whose block's bounds of the terms before the pivot
+don't reach it are skipped; the rest are scored in full. Scores are added in one order of terms, so equal documents tie.
+
+One shard is searched first: its k-th best scores are where the others start. Shards return k rows a query at most, which
+are merged by score (then the smaller id). Document frequencies, lengths and counts are those of all documents.
+
+Queries run in groups of TERMS terms, about; a group's terms are broadcast, its results stored, and the broadcast dropped
+before the next, so what the driver holds is bounded whatever the number of queries. Each group reads the index twice at most.
 
 Terms are runs of ASCII letters, digits and other than ASCII characters, in lower case as far as ASCII goes, by 64-bit hash. Null
-and empty texts have none: they are never found, and as queries find nothing. Repeated rows are found each; ties go to the
-smaller id. Empty tables give empty results. Other columns play no part.
+and empty texts have none: they are never found, and as queries find nothing. Rows without an id can't be named in a
+result: they are left out, as documents and as queries. Repeated rows are found each; ties go to the smaller id. Empty tables
+give empty results. Other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricebasket.llm.common import bound_batches, documents, stored, whole_text
+from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
 from pricebasket.llm.hashing import Rolling, mix, signed, together
 
 K1, B, K = 1.2, 0.75, 10
-BLOCK, QUERIES = 64, 20_000
-#: Documents of a shard that are indexed together; more are a further shard in the same task.
-SHARD = 20_000
+#: Documents of a block and of a shard; blocks that are looked at together, at first and at most; terms of queries that run together, about.
+BLOCK, SHARD, FIRST, MOST, TERMS = 64, 8_000, 2, 32, 2_000_000
+#: What sums of bounds may lack by rounding.
+SLACK = 1e-9
 _U = np.uint64
 
 
@@ -57,7 +68,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def statistics(docs: DataFrame) -> DataFrame:
     """term, n: in how many documents it is; as term null the number of documents, and in `total` their length."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py().encode() for t in batch.column("text")]
             for first, last, data, offsets in together(texts, 1 << 23):
@@ -66,135 +77,210 @@ def statistics(docs: DataFrame) -> DataFrame:
                 n = len(values)
                 yield pa.RecordBatch.from_arrays([pa.array([None, *values.tolist()], pa.int64()), pa.array(np.append(last - first, counts)), pa.array([int(length.sum()), *[0] * n], pa.int64())], ["term", "n", "total"])
 
-    return docs.mapInArrow(run, "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return map_batches(docs, run, "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term and occurrences of each query."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = [t.as_py().encode() for t in batch.column("text")], batch.column("doc_id")
             for first, _, data, offsets in together(texts):
                 text, term, count, _ = terms(data, offsets)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + first)), pa.array(term), pa.array(count)], ["query_id", "term", "count"])
 
-    return queries.mapInArrow(run, "query_id long, term long, count long")
+    return map_batches(queries, run, "query_id long, term long, count long")
 
 
-class ShardIndex:
-    """Postings of one shard, by block and by term, over the terms that queries have."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray, vocabulary: int, mean: float) -> None:
-        by_length = np.lexsort((ids, lengths))
-        place = np.empty(len(ids), np.int64)
-        place[by_length] = np.arange(len(ids))
-        self.ids, doc = ids[by_length], place[doc]
-        impact = count * (K1 + 1) / (count + K1 * (1 - B + B * self._share(lengths, mean)[by_length][doc]))
-        self.blocks = -(-len(ids) // BLOCK)
-        order = np.lexsort((term, doc))
-        self.doc, self.term, self.impact = doc[order], term[order], impact[order]
-        self.bounds = np.searchsorted(self.doc, np.arange(self.blocks + 1) * BLOCK)
-        order = np.lexsort((doc // BLOCK, term))
-        pair, impact = term[order] * self.blocks + doc[order] // BLOCK, impact[order]
-        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-        self.most = np.maximum.reduceat(impact, new) if len(new) else np.zeros(0)
-        self.block_of = pair[new] % max(1, self.blocks)
-        self.first = np.searchsorted(pair[new] // max(1, self.blocks), np.arange(vocabulary + 1))
-
-    @staticmethod
-    def _share(lengths: np.ndarray, mean: float) -> np.ndarray:
-        return lengths / mean if mean else np.ones(len(lengths))
-
-    def search(self, term: np.ndarray, weight: np.ndarray, dense: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best; dense: a zero vector over the vocabulary, zero again afterwards."""
-        sizes = self.first[term + 1] - self.first[term]
-        if not sizes.sum():
-            return self.ids[:0], np.zeros(0)
-        at = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        upper = np.bincount(self.block_of[at], self.most[at] * np.repeat(weight, sizes), self.blocks)
-        dense[term] = weight
-        found, scores, least = [], [], 0.0
-        for block in np.argsort(-upper, kind="stable").tolist():
-            if upper[block] <= 0 or upper[block] * (1 + 1e-9) < least:
-                break
-            own = slice(self.bounds[block], self.bounds[block + 1])
-            got = np.bincount(self.doc[own] - block * BLOCK, dense[self.term[own]] * self.impact[own])
-            good = np.flatnonzero((got > 0) & (got >= least))
-            if len(good):
-                found.append(self.ids[good + block * BLOCK])
-                scores.append(got[good])
-                both = np.concatenate(scores)
-                if len(both) >= k:
-                    ids = np.concatenate(found)
-                    kept = np.lexsort((ids, -both))[:k]
-                    found, scores, least = [ids[kept]], [both[kept]], float(both[kept[-1]])
-        dense[term] = 0
-        if not found:
-            return self.ids[:0], np.zeros(0)
-        ids, both = np.concatenate(found), np.concatenate(scores)
-        kept = np.lexsort((ids, -both))[:k]
-        return ids[kept], both[kept]
+INDEX = {"ids": "<i8", "lengths": "<i8", "terms": "<i8", "first": "<i8", "doc": "<u2", "count": "<u4"}
+
+
+def shard_row(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """One shard's postings: documents numbered by likeness, postings by term and then by document."""
+    # each document's two most frequent terms; then its length
+    order = np.lexsort((term, -count, doc))
+    begins = np.searchsorted(doc[order], np.arange(len(ids) + 1))
+    likeness = [np.where(begins[:-1] + k < begins[1:], term[order][np.minimum(begins[:-1] + k, max(0, len(term) - 1))] if len(term) else 0, 0) for k in (0, 1)]
+    by = np.lexsort((ids, lengths, likeness[1], likeness[0]))
+    place = np.empty(len(ids), np.int64)
+    place[by] = np.arange(len(ids))
+    doc = place[doc]
+    order = np.lexsort((doc, term))
+    terms, first = np.unique(term[order], return_index=True)
+    held = {"ids": ids[by], "lengths": lengths[by], "terms": terms, "first": np.append(first, len(term)), "doc": doc[order], "count": count[order]}
+    columns = [pa.array([held[k].astype(kind).tobytes()], pa.binary()) for k, kind in INDEX.items()]
+    return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(columns[0][0].as_py()) >> 1], pa.int64()), *columns], ["shard", *INDEX])
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = QUERIES) -> DataFrame:
+def build_index(docs: DataFrame) -> DataFrame:
+    """A row for each shard of (doc_id, text)."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            base = np.cumsum([0, *(len(p[0]) for p in parts)])
+            columns = [np.concatenate([p[k] + b if k == 2 else p[k] for p, b in zip(parts, base, strict=False)]) for k in range(5)]
+            return shard_row(*columns)
+
+        for batch in batches:
+            texts, ids = [t.as_py().encode() for t in batch.column("text")], batch.column("doc_id").to_numpy()
+            for first, last, data, offsets in together(texts):
+                doc, term, count, length = terms(data, offsets)
+                parts.append((ids[first:last], length, doc, term, count))
+                held += last - first
+            if held >= SHARD:
+                yield made()
+                parts, held = [], 0
+        if parts:
+            yield made()
+
+    return map_batches(docs, run, "shard long, " + ", ".join(f"{k} binary" for k in INDEX))
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... of each range, one after another."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class ShardIndex:
+    """A shard as it is searched: impacts of postings, and each term's blocks with their greatest impact."""
+
+    def __init__(self, row: dict[str, bytes], mean: float) -> None:
+        held = {k: np.frombuffer(row[k], kind) for k, kind in INDEX.items()}
+        self.ids, self.terms, self.doc = held["ids"], held["terms"], held["doc"].astype(np.int64)
+        share = held["lengths"] / mean if mean else np.ones(len(self.ids))
+        self.impact = held["count"] * (K1 + 1) / (held["count"] + K1 * (1 - B + B * share[self.doc]))
+        self.blocks = -(-len(self.ids) // BLOCK)
+        term = np.repeat(np.arange(len(self.terms)), np.diff(held["first"]))
+        key = term * self.blocks + self.doc // BLOCK
+        self.start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.size, self.block = np.diff(np.append(self.start, len(key))), key[self.start] % max(1, self.blocks)
+        self.most = np.maximum.reduceat(self.impact, self.start) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(self.start, held["first"])
+        self.looked = self.held = 0  # postings looked at, and those that the queries' terms have
+
+    def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those of the terms that the shard has, and which they are."""
+        at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
+        known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
+        return at[known], known
+
+    def search(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of at least `least`; term: places of the query's terms, in their order."""
+        n = self.first[term + 1] - self.first[term]
+        pair, q = _ranges(self.first[term], n), np.repeat(np.arange(len(term)), n)
+        bound, block = self.most[pair] * weight[q], self.block[pair]
+        self.held += int(self.size[pair].sum())
+        upper = np.bincount(block, bound, self.blocks)
+        order = np.argsort(-upper, kind="stable")[: np.count_nonzero(upper)]
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.argsort(rank[block], kind="stable")
+        bounds = np.searchsorted(rank[block][by], np.arange(len(order) + 1))
+        ids, scores, at, step = self.ids[:0], np.zeros(0), 0, FIRST
+        while at < len(order) and upper[order[at]] * (1 + SLACK) >= least:
+            end = min(len(order), at + step)
+            found = self._score(by[bounds[at] : bounds[end]], pair, q, bound, rank[block] - at, weight, least)
+            ids, scores = np.concatenate([ids, found[0]]), np.concatenate([scores, found[1]])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            least = max(least, float(scores[-1])) if len(scores) == k else least
+            at, step = end, min(MOST, 2 * step)
+        return ids, scores
+
+    def _score(self, own: np.ndarray, pair: np.ndarray, q: np.ndarray, bound: np.ndarray, turn: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the documents of some blocks that may reach `least`; own: the blocks' pairs of term and block; turn: each pair's block among them."""
+        top = np.zeros(len(weight))
+        np.maximum.at(top, q[own], bound[own])
+        rising = np.argsort(top, kind="stable")
+        pivotal = np.zeros(len(weight), bool)
+        pivotal[rising[np.cumsum(top[rising]) * (1 + SLACK) >= least]] = True  # from the pivot on
+        late = pivotal[q[own]]
+        blocks = int(turn[own].max()) + 1
+        ahead, before = own[late], own[~late]
+        post, slot = self._postings(ahead, pair, turn)
+        partial = np.bincount(slot, self.impact[post] * np.repeat(weight[q[ahead]], self.size[pair[ahead]]), blocks * BLOCK)
+        rest = np.bincount(turn[before], bound[before], blocks)
+        alive = (partial > 0) & ((partial + np.repeat(rest, BLOCK)) * (1 + SLACK) >= least)
+        self.looked += len(post)
+        if not alive.any():
+            return self.ids[:0], np.zeros(0)
+        some = before[alive.reshape(blocks, BLOCK).any(axis=1)[turn[before]]]
+        more, places = self._postings(some, pair, turn)
+        post, slot, of = np.append(post, more), np.append(slot, places), np.repeat(np.append(q[ahead], q[some]), self.size[pair[np.append(ahead, some)]])
+        kept = np.flatnonzero(alive[slot])
+        self.looked += int(np.count_nonzero(~pivotal[of[kept]]))
+        post, slot, of = post[kept], slot[kept], of[kept]
+        order = np.lexsort((of, slot))
+        post, slot, of = post[order], slot[order], of[order]
+        new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        scores = np.add.reduceat(self.impact[post] * weight[of], new)
+        good = scores >= least
+        return self.ids[self.doc[post[new]]][good], scores[good]
+
+    def _postings(self, own: np.ndarray, pair: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of these pairs, and their documents' places among the blocks looked at."""
+        post = _ranges(self.start[pair[own]], self.size[pair[own]])
+        return post, np.repeat(turn[own] * BLOCK, self.size[pair[own]]) + self.doc[post] % BLOCK
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: the k documents of docs with the best BM25 score for each row of queries (both: doc_id, text)."""
     spark = docs.sparkSession
-    bound_batches(spark)
     docs, queries = (x.select(F.col("doc_id").cast("long"), whole_text().alias("text")).filter("doc_id is not null") for x in (docs, queries))
     known = stored(spark, statistics(docs), "statistics")
     whole = known.filter("term is null").first()
     n, mean = (whole["n"], whole["total"] / whole["n"]) if whole else (0, 0.0)
     idf = F.log(1 + (F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighed = stored(spark, query_terms(queries).join(known.filter("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight")), "query-terms")
-    parts = max(1, -(-queries.count() // at_once))
-    found = [_search(docs, weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), mean, k) for part in range(parts)]
+    asked = query_terms(queries.dropDuplicates(["doc_id"]))
+    weighed = stored(spark, asked.join(known.filter("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight")), "query-terms")
+    index = stored(spark, build_index(docs), "index")
+    first = index.agg(F.min("shard")).first()[0]
+    groups = max(1, -(-weighed.count() // at_once))
+    found = [_group(index, first, weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g), mean, k) for g in range(groups)]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _search(docs: DataFrame, weighed: DataFrame, mean: float, k: int) -> DataFrame:
-    table = weighed.toArrow()
+def _group(index: DataFrame, first: int | None, weighed: DataFrame, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score: each shard's best for a group of queries, stored."""
+    spark, table = index.sparkSession, weighed.toArrow()
     query, term, weight = (table.column(c).to_numpy() for c in ("query_id", "term", "weight"))
-    vocabulary, term = np.unique(term, return_inverse=True)
     order = np.lexsort((term, query))
     query, term, weight = query[order], term[order], weight[order]
-    ids, first = np.unique(query, return_index=True)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, ids, np.append(first, len(query)), term, weight))
+    ids, begins = np.unique(query, return_index=True)
+    begins = np.append(begins, len(query))
+    near = stored(spark, _searched(index.filter(F.col("shard") == first), ids, begins, term, weight, np.zeros(len(ids)), mean, k), "found")
+    reached = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).filter(F.size("s") >= k).select("query_id", F.get("s", F.lit(k - 1)).alias("s")).toArrow()
+    least = np.zeros(len(ids))
+    least[np.searchsorted(ids, reached.column("query_id").to_numpy())] = reached.column("s").to_numpy()
+    rest = stored(spark, _searched(index.filter(F.col("shard") != first), ids, begins, term, weight, least, mean, k), "found")
+    return near.unionByName(rest)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids, bounds, term, weight = shared.value
-        dense, parts, held = np.zeros(len(vocabulary)), [], 0
 
-        def answers() -> Iterator[pa.RecordBatch]:
-            doc_ids, lengths = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            base = np.cumsum([0, *(len(p[0]) for p in parts)])
-            index = ShardIndex(doc_ids, lengths, np.concatenate([p[2] + b for p, b in zip(parts, base, strict=False)]), np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]), len(vocabulary), mean)
-            out: list[list] = [[], [], []]
-            for q in range(len(ids)):
-                own = slice(bounds[q], bounds[q + 1])
-                found, scores = index.search(term[own], weight[own], dense, k)
-                out[0].append(np.full(len(found), ids[q]))
-                out[1].append(found)
-                out[2].append(scores)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "doc_id", "score"])
+def _searched(index: DataFrame, ids: np.ndarray, begins: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, mean: float, k: int) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast((ids, begins, term, weight, least))
 
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        ids, begins, term, weight, least = shared.value
         for batch in batches:
-            texts, own_ids = [t.as_py().encode() for t in batch.column("text")], batch.column("doc_id").to_numpy()
-            for f, last, data, offsets in together(texts):
-                doc, hashes, count, length = terms(data, offsets)
-                at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
-                asked = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-                parts.append((own_ids[f:last], length, doc[asked], at[asked], count[asked]))
-                held += last - f
-            if held >= SHARD:
-                yield from answers()
-                parts, held = [], 0
-        if parts:
-            yield from answers()
-
-    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+            for row in range(batch.num_rows):
+                shard = ShardIndex({c: batch.column(c)[row].as_py() for c in INDEX}, mean)
+                out: list[list] = [[], [], []]
+                for q in range(len(ids)):
+                    own = slice(begins[q], begins[q + 1])
+                    place, known = shard.find(term[own])
+                    if len(place):
+                        found, scores = shard.search(place, weight[own][known], k, float(least[q]))
+                        for column, values in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
+                            column.append(values)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "doc_id", "score"])
+
+    return map_batches(index.drop("shard"), run, "query_id long, doc_id long, score double")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -349,6 +350,37 @@ def test_search_against_brute_force(spark, docs, texts):
         assert [x[2] for x in own] == pytest.approx([s for _, s in best])
 
 
+def test_search_with_many_blocks_and_shards(spark, monkeypatch):
+    """Several shards and query groups, more than ten blocks, exact copies that tie at the k-th place, null and empty texts, null ids; a good part of the postings is skipped."""
+    r = random.Random(8)
+    letters = ["abcdefgh", "ijklmnop", "qrstuvwx"]
+    word = lambda own: "".join(r.choice(own) for _ in range(r.choice([1, 2, 2, 3])))
+    texts = [" ".join(word(letters[i % 3]) for _ in range(r.randint(5, 60))) for i in range(1500)]
+    texts += [texts[30]] * 15 + [None, "", "never seen before"]
+    given = list(enumerate(texts)) + [(None, texts[30])]
+    frame = spark.createDataFrame(given, "doc_id long, text string").withColumn("term", F.lit("clash")).repartition(3)
+    queries = frame.filter("doc_id % 50 = 0 or doc_id in (30, 1515, 1516, 1517) or doc_id is null")
+    got = search.top_k(frame, queries, k=5, at_once=400).collect()
+    words = [(t or "").split() for t in texts]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    df = Counter(w for x in words for w in set(x))
+    for q in [*range(0, 1500, 50), 30, 1515, 1516, 1517]:
+        scores = []
+        for i, x in enumerate(words):
+            s = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in words[q] if (f := x.count(w)))
+            scores.append((-round(s, 9), i))
+        best = [(i, -s) for s, i in sorted(scores) if s < 0][:5]
+        own = sorted((x["rank"], x["doc_id"], x["score"]) for x in got if x["query_id"] == q)
+        assert [x[1] for x in own] == [i for i, _ in best] and [x[2] for x in own] == pytest.approx([s for _, s in best])
+    assert {x["query_id"] for x in got} <= {i for i, t in given if t} and search.top_k(frame.limit(0), queries).count() == 0 == search.top_k(frame, queries.limit(0)).count()
+    # one shard alone: what is skipped
+    data = [t.encode() for t in texts[:1500]]
+    doc, term, count, lengths = search.terms(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    shard = search.ShardIndex({c: v[0].as_py() for c, v in zip(search.shard_row(np.arange(1500), lengths, doc, term, count).schema.names, search.shard_row(np.arange(1500), lengths, doc, term, count).columns, strict=True)}, mean)
+    shard.search(shard.find(np.sort(term[doc == 30]))[0], np.ones((doc == 30).sum()), 1)
+    assert shard.blocks > 10 and 0 < shard.looked < 0.75 * shard.held
+
+
 def test_mixing_meets_targets(spark, empty):
     docs = spark.createDataFrame([(i, "good words here" if i % 3 else "bad !!! words", None, None, 1) for i in range(300)] + [(999, None, None, None, 1)], SCHEMA)
     labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(150)], "doc_id long, quality int, toxic int")
