@@ -38,7 +38,7 @@ from pricebasket.llm.hashing import Rolling, mix, signed, together
 
 K1, B, K = 1.2, 0.75, 10
 #: Documents of a block and of a shard; blocks that are looked at together, at first and at most; terms of queries that run together, about.
-BLOCK, SHARD, FIRST, MOST, TERMS = 64, 8_000, 2, 32, 2_000_000
+BLOCK, SHARD, FIRST, MOST, TERMS = 128, 16_000, 1, 32, 2_000_000
 #: What sums of bounds may lack by rounding.
 SLACK = 1e-9
 _U = np.uint64
@@ -153,7 +153,7 @@ class ShardIndex:
         self.ids, self.terms, self.doc = held["ids"], held["terms"], held["doc"].astype(np.int64)
         share = held["lengths"] / mean if mean else np.ones(len(self.ids))
         self.impact = held["count"] * (K1 + 1) / (held["count"] + K1 * (1 - B + B * share[self.doc]))
-        self.blocks = -(-len(self.ids) // BLOCK)
+        self.blocks, self.slot = -(-len(self.ids) // BLOCK), self.doc % BLOCK
         term = np.repeat(np.arange(len(self.terms)), np.diff(held["first"]))
         key = term * self.blocks + self.doc // BLOCK
         self.start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -176,14 +176,15 @@ class ShardIndex:
         self.held += int(self.size[pair].sum())
         upper = np.bincount(block, bound, self.blocks)
         order = np.argsort(-upper, kind="stable")[: np.count_nonzero(upper)]
-        rank = np.empty(self.blocks, np.int64)
+        rank = np.zeros(self.blocks, np.int64)
         rank[order] = np.arange(len(order))
-        by = np.argsort(rank[block], kind="stable")
-        bounds = np.searchsorted(rank[block][by], np.arange(len(order) + 1))
+        turn = rank[block]
+        by = np.argsort(turn.astype(np.int16), kind="stable")  # a shard has few blocks: sorted by digits
+        bounds = np.append(0, np.cumsum(np.bincount(turn, minlength=len(order))))
         ids, scores, at, step = self.ids[:0], np.zeros(0), 0, FIRST
         while at < len(order) and upper[order[at]] * (1 + SLACK) >= least:
             end = min(len(order), at + step)
-            found = self._score(by[bounds[at] : bounds[end]], pair, q, bound, rank[block] - at, weight, least)
+            found = self._score(by[bounds[at] : bounds[end]], pair, q, bound, turn - at, weight, least)
             ids, scores = np.concatenate([ids, found[0]]), np.concatenate([scores, found[1]])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
@@ -224,7 +225,7 @@ class ShardIndex:
     def _postings(self, own: np.ndarray, pair: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Postings of these pairs, and their documents' places among the blocks looked at."""
         post = _ranges(self.start[pair[own]], self.size[pair[own]])
-        return post, np.repeat(turn[own] * BLOCK, self.size[pair[own]]) + self.doc[post] % BLOCK
+        return post, np.repeat(turn[own] * BLOCK, self.size[pair[own]]) + self.slot[post]
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = TERMS) -> DataFrame:
