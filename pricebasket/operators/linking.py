@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebasket.functions.similarity import ratio_from
-from pricebasket.llm.common import stored
 from pricebasket.operators.store import item_id
-from pricebasket.session import ship_package
+from pricebasket.session import ship_package, stored
 from pricebasket.settings import DEFAULTS, Settings
 
 BUCKET = ["outlet_id", "size_value", "size_unit"]

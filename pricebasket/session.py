@@ -1,4 +1,4 @@
-"""What a session needs before this package's functions run in Python workers."""
+"""What a session needs for this package: its sources in Python workers, and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
@@ -47,3 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, what: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation."""
+    path = new_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
