@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pricebasket.session import new_path, ship_package
+from pricebasket.session import new_path, ship_package, stored
 
 #: Rows in one Arrow batch sent to Python. Documents differ much in length; small batches bound a worker's memory.
 ARROW_ROWS = 500
@@ -53,13 +53,6 @@ def map_batches(df: DataFrame, run: Callable[[Batches], Iterator[pa.RecordBatch]
     return df.mapInArrow(task, schema)
 
 
-def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation."""
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(column: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
