@@ -416,9 +416,9 @@ def test_rates_against_a_plain_solver(spark, targets, reached):
 
 def test_mixing_of_equal_and_null_ids(spark):
     """Rows of one id or none each get their own posteriors; null texts have no tokens; columns of our names are replaced, others pass through."""
-    given = [(i, "good words here" if i % 3 else "bad !!! words") for i in range(60)] + [(1, "bad !!! words"), (None, "good words here"), (None, None)]
+    given = [(i, "good words here" if i % 3 else "bad !!! words") for i in range(300)] + [(1, "bad !!! words"), (None, "good words here"), (None, None)]
     docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("rate", F.lit("clash")).withColumn("domain", F.lit("kept"))
-    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(40)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(200)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     got = mixing.mix(docs, labels).collect()
     assert len(got) == len(given) and {x["domain"] for x in got} == {"kept"} and all(isinstance(x["rate"], float) for x in got)
     by = {(x["doc_id"], x["text"]): x for x in got}
