@@ -209,18 +209,19 @@ class ShardIndex:
         self.looked += len(post)
         if not alive.any():
             return self.ids[:0], np.zeros(0)
-        some = before[alive.reshape(blocks, BLOCK).any(axis=1)[turn[before]]]
-        more, places = self._postings(some, pair, turn)
-        post, slot, of = np.append(post, more), np.append(slot, places), np.repeat(np.append(q[ahead], q[some]), self.size[pair[np.append(ahead, some)]])
+        lively = alive.reshape(blocks, BLOCK).any(axis=1)
+        every = np.append(ahead, before)
+        every = every[lively[turn[every]]]
+        every = every[np.argsort(q[every], kind="stable")]  # sums are made in the order of the query's terms
+        post, slot = self._postings(every, pair, turn)
+        of = np.repeat(q[every], self.size[pair[every]])
         kept = np.flatnonzero(alive[slot])
-        self.looked += int(np.count_nonzero(~pivotal[of[kept]]))
         post, slot, of = post[kept], slot[kept], of[kept]
-        order = np.lexsort((of, slot))
-        post, slot, of = post[order], slot[order], of[order]
-        new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        scores = np.add.reduceat(self.impact[post] * weight[of], new)
-        good = scores >= least
-        return self.ids[self.doc[post[new]]][good], scores[good]
+        self.looked += int(np.count_nonzero(~pivotal[of]))
+        scores, at = np.bincount(slot, self.impact[post] * weight[of], blocks * BLOCK), np.zeros(blocks * BLOCK, np.int64)
+        at[slot] = post
+        good = np.flatnonzero(alive & (scores >= least))
+        return self.ids[self.doc[at[good]]], scores[good]
 
     def _postings(self, own: np.ndarray, pair: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Postings of these pairs, and their documents' places among the blocks looked at."""
