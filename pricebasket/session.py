@@ -54,3 +54,9 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     path = new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
