@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricebasket.llm import bpe, jaccard, language, media, mixing, records, search, sentences, sharding, suffixes
+from pricebasket.llm import bpe, codes, jaccard, language, media, mixing, records, resampling, search, sentences, sharding, suffixes
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_records": records.op10_token_records,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_resampling": resampling.op12_resampling,
 }
-SQL = {"op3_sentence_spans": sentences.OP3_SQL, "op5_sharding": sharding.OP5_SQL}
+SQL = {"op3_sentence_spans": sentences.OP3_SQL, "op5_sharding": sharding.OP5_SQL, "op11_vector_codes": codes.OP11_SQL, "op12_resampling": resampling.OP12_SQL}
