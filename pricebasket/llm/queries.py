@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricebasket.llm import bpe, codes, jaccard, language, media, mixing, records, resampling, search, sentences, sharding, suffixes
+from pricebasket.llm import bpe, codes, decontamination, jaccard, language, media, mixing, records, resampling, search, sentences, sharding, suffixes
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -17,5 +17,9 @@ QUERIES = {
     "op10_token_records": records.op10_token_records,
     "op11_vector_codes": codes.op11_vector_codes,
     "op12_resampling": resampling.op12_resampling,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
-SQL = {"op3_sentence_spans": sentences.OP3_SQL, "op5_sharding": sharding.OP5_SQL, "op11_vector_codes": codes.OP11_SQL, "op12_resampling": resampling.OP12_SQL}
+SQL = {
+    "op3_sentence_spans": sentences.OP3_SQL, "op5_sharding": sharding.OP5_SQL, "op11_vector_codes": codes.OP11_SQL, "op12_resampling": resampling.OP12_SQL,
+    "op13_decontamination": decontamination.OP13_SQL,
+}
