@@ -36,8 +36,8 @@ from pricebasket.llm.words import words_of, words_sql
 GRAMS, BUCKETS, SEED = 1, 10_000, "2024"
 #: Words that a document that may be drawn has at least; how many of a hundred such are drawn.
 LEAST, PERCENT = 20, 10
-#: Features (with repeats) of a chunk, about.
-CHUNK = 400_000
+#: Features (with repeats) of a chunk, about; its documents, at most, so that their places fit into 16 bits.
+CHUNK, CHUNK_DOCS = 4_000_000, 1 << 16
 #: Over so many salts rows alike in score and id are spread.
 SALTS = 64
 CHUNKS = "chunk long, feature binary, total long, docs binary, counts binary, doc_id long, at int, n_features long, n_words long"
@@ -59,9 +59,10 @@ def chunks(docs: DataFrame, grams: int = GRAMS) -> DataFrame:
     def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(c) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
-    def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-        """Runs of int32 values as binaries."""
-        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
+    def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Runs of values as binaries."""
+        ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -78,16 +79,19 @@ def chunks(docs: DataFrame, grams: int = GRAMS) -> DataFrame:
             if index:
                 feature, often = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int32)
                 order = np.argsort(feature, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=len(index)))])
-                docs_of, often = np.repeat(np.arange(len(heads), dtype=np.int32), sizes)[order], often[order]
-                total = np.add.reduceat(often.astype(np.int64), ends[:-1])
-                yield batch_of(len(index), chunk=chunk(len(index)), feature=pa.array(list(index), pa.binary()), total=pa.array(total), docs=packed(docs_of, ends), counts=packed(often, ends))
+                found = np.bincount(feature, minlength=len(index))
+                first = np.cumsum(found) - found
+                docs_of, often = np.repeat(np.arange(len(heads), dtype=np.uint16), sizes)[order], often[order]
+                total, once = np.add.reduceat(often.astype(np.int64), first), np.maximum.reduceat(often, first) == 1
+                # once in each document, as most are: no counts
+                counts_of = packed(often[~np.repeat(once, found)], np.where(once, 0, found))
+                yield batch_of(len(index), chunk=chunk(len(index)), feature=pa.array(list(index), pa.binary()), total=pa.array(total), docs=packed(docs_of, found), counts=counts_of)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
                 own = features(words, grams)
-                if heads and size + len(own) > CHUNK:
+                if heads and (size + len(own) > CHUNK or len(heads) == CHUNK_DOCS):
                     yield from closed()
                     number, heads, size = number + 1, [], 0
                     places, counts, sizes = array("i"), array("i"), []
@@ -120,6 +124,13 @@ def gains(words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return of_bucket.join(F.broadcast(whole)).select("bucket", F.floor(1000 * F.log(more / less)).alias("gain"))
 
 
+def _sums(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The exact sum of the values of each place."""
+    out = np.zeros(CHUNK_DOCS, np.int64)
+    np.add.at(out, places, values)
+    return out
+
+
 def weighed(own: DataFrame, words: DataFrame, gain: DataFrame) -> DataFrame:
     """doc_id, n_features, n_words and weight of each document of the stored chunks."""
     known = words.join(F.broadcast(gain), "bucket").select("feature", "gain")
@@ -129,23 +140,21 @@ def weighed(own: DataFrame, words: DataFrame, gain: DataFrame) -> DataFrame:
     heads = own.filter("at is not null").select("chunk", none("docs", "binary"), none("counts", "binary"), none("gain", "long"), "doc_id", "at", "n_features", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, heads = np.zeros(0, np.int64), []
+        sums, heads = np.zeros(CHUNK_DOCS, np.int64), []
         for batch in batches:
             is_head = batch.column("at").is_valid()
             heads.append(batch.filter(is_head).select(["doc_id", "at", "n_features", "n_words"]))
             part = batch.filter(pa.compute.invert(is_head))
             if not part.num_rows:
                 continue
-            docs_of = np.frombuffer(b"".join(part.column("docs").to_pylist()), np.int32)
-            counts_of = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.int32)
-            sizes = pa.compute.binary_length(part.column("docs")).to_numpy() // 4
-            if docs_of.max() >= len(sums):
-                sums = np.concatenate([sums, np.zeros(int(docs_of.max()) + 1 - len(sums), np.int64)])
-            np.add.at(sums, docs_of, counts_of * np.repeat(part.column("gain").to_numpy(), sizes))
+            docs_of = np.frombuffer(b"".join(part.column("docs").to_pylist()), np.uint16)
+            sizes = pa.compute.binary_length(part.column("docs")).to_numpy() // 2
+            counts_of, counted = np.ones(len(docs_of), np.int64), pa.compute.binary_length(part.column("counts")).to_numpy() > 0
+            counts_of[np.repeat(counted, sizes)] = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.int32)
+            sums += _sums(docs_of, counts_of * np.repeat(part.column("gain").to_numpy(), sizes))
         for head in heads:
             at, n = head.column("at").to_numpy(), head.column("n_features").to_numpy()
-            own = np.concatenate([sums, np.zeros(max(0, int(at.max(initial=-1)) + 1 - len(sums)), np.int64)])[at]
-            yield pa.RecordBatch.from_arrays([head.column("doc_id"), head.column("n_features"), head.column("n_words"), pa.array(own // np.maximum(n, 1))], names=["doc_id", "n_features", "n_words", "weight"])
+            yield pa.RecordBatch.from_arrays([head.column("doc_id"), head.column("n_features"), head.column("n_words"), pa.array(sums[at] // np.maximum(n, 1))], names=["doc_id", "n_features", "n_words", "weight"])
 
     return rows.unionByName(heads).groupBy("chunk").applyInArrow(run, "doc_id long, n_features long, n_words long, weight long")
 
