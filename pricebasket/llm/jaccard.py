@@ -22,7 +22,8 @@ Null and empty texts, and those without words, have no shingles, link with nothi
 than WIDTH words are one shingle. Repeated rows have equal sets. Rows of one id (or none) are told apart by a hash of
 their text; a component without any id has a null component_id. `one_of_each` keeps rows without an id, keeps or drops
 rows of one id together if their sets hang together, and passes other columns through. Empty tables give empty results.
-Very long texts are one set like others.
+Very long texts are one set like others. Words and
+shingles are compared by 64-bit hashes whose blocks are mixed one after the other; texts of equal hashes are taken as equal.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
 from pricebasket.llm.components import components
-from pricebasket.llm.hashing import Rolling, mix, signed, together
+from pricebasket.llm.hashing import mix, signed, span_hashes, together
 
 WIDTH = 5
 #: Similarity of linked documents, in hundredths.
@@ -65,7 +66,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     starts = np.flatnonzero(word & (~before | ends[:-1]))
     stops = np.flatnonzero(word & (~after | ends[1:])) + 1
     text = np.searchsorted(offsets, starts, "right") - 1
-    words = mix(Rolling(lower).of(starts, stops) + (stops - starts).astype(_U))
+    words = span_hashes(lower, starts, stops)
     salts = mix(np.arange(1, width + 1, dtype=_U))
     n = max(0, len(words) - width + 1)
     sums = np.zeros(n, _U)

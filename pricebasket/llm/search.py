@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
-from pricebasket.llm.hashing import Rolling, mix, signed, together
+from pricebasket.llm.hashing import mix, signed, span_hashes, together
 
 K1, B, K = 1.2, 0.75, 10
 #: Documents of a block and of a shard; blocks that are looked at together, at first and at most; terms of queries that run together, about.
@@ -55,7 +55,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(word & (~before | ends[:-1]))
     stops = np.flatnonzero(word & (~after | ends[1:])) + 1
     text = np.searchsorted(offsets, starts, "right") - 1
-    hashes = mix(Rolling(lower).of(starts, stops) + (stops - starts).astype(_U))
+    hashes = span_hashes(lower, starts, stops)
     order = np.argsort(hashes)
     order = order[np.argsort(text[order].astype(np.uint32), kind="stable")]
     text_of, hashes = text[order], hashes[order]

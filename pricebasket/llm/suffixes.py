@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricebasket.llm.common import Batches, documents, map_batches, stored, whole_text
-from pricebasket.llm.hashing import Rolling, mix, signed, together
+from pricebasket.llm.hashing import gram_hashes, mix, signed, span_hashes, together
 
 LENGTH, GRAM, STEP = 200, 64, 40
 #: Extents of one anchor that one task refines at most.
@@ -50,8 +50,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none
-    rolling = Rolling(data)
-    grams = rolling.grams(gram)
+    grams = gram_hashes(data, gram)
     width, places = length - gram + 1, np.arange(len(grams), dtype=_U)
     low = _U((1 << max(22, int(len(grams)).bit_length())) - 1)
     keys = np.full(-(-len(grams) // width) * width + width, np.iinfo(np.uint64).max, _U)
@@ -74,7 +73,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     first, last = np.flatnonzero(first), np.flatnonzero(last)
     text = np.searchsorted(offsets, first, "right") - 1
     at, windows = anchor[first] - first, last - first + 1
-    extent = mix(rolling.of(first, last + length) + at.astype(_U) * _U(0x9E3779B97F4A7C15) + windows.astype(_U) * _U(0xD6E8FEB86659FD93))
+    extent = mix(span_hashes(data, first, last + length) + at.astype(_U) * _U(0x9E3779B97F4A7C15) + windows.astype(_U) * _U(0xD6E8FEB86659FD93))
     return text, first - offsets[text], windows, signed(grams[anchor[first]]), signed(extent)
 
 
@@ -84,7 +83,7 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, copies: np.ndarray, le
     counts = np.repeat(copies, sizes)
     pointers, alive, used = np.zeros(len(data), np.int64), np.zeros(len(data), bool), 0
     live = np.flatnonzero(left >= step)
-    keys = [Rolling(data).grams(step)[live]]
+    keys = [gram_hashes(data, step)[live]]
     depth, ahead = 0, step
     while True:
         order = np.lexsort(keys[::-1])
@@ -169,7 +168,7 @@ def _bytes_of_runs(texts: DataFrame, length: int) -> DataFrame:
                 for r in runs:
                     piece, hashes = data[r["start"] : r["start"] + r["windows"] + length - 1], None
                     if r["_wide"]:
-                        hashes, piece = signed(Rolling(np.frombuffer(piece, np.uint8)).grams(length)).tolist(), None
+                        hashes, piece = signed(gram_hashes(np.frombuffer(piece, np.uint8), length)).tolist(), None
                     for column, value in zip(out, (r["anchor"], r["extent"], r["copies"], doc_id, row, r["start"], piece, hashes), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
