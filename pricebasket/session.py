@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -45,8 +49,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, or in that of the run it belongs to."""
+    return f"{_RUN.get() or shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """What is stored inside goes to one folder, which is deleted at the end, however that comes; frames over it can't be read after."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        discard(spark, folder)
 
 
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:

@@ -1,37 +1,25 @@
-"""New page snapshots as a stream: each micro-batch is collected and merged, months replace themselves."""
+"""New page snapshots as a stream: each micro-batch is collected and committed as one version of a store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pricebasket.jobs.collect import collect
+from pricebasket.jobs.monthly import collect_into
 from pricebasket.settings import DEFAULTS, Settings
-from pricebasket.sources.schemas import ITEMS, OBSERVATIONS, PAGES
-from pricebasket.sources.tables import append_log, read_table, write_observations
+from pricebasket.sources.schemas import PAGES
+from pricebasket.sources.snapshots import Store
 
 
-def start_ingest(spark: SparkSession, pages: str, outlets: DataFrame, items: str, observations: str, checkpoint: str, dataset: str, settings: Settings = DEFAULTS, log: str | None = None) -> StreamingQuery:
-    """Collects what has arrived under `pages` since the last run, and stops.
+def start_ingest(spark: SparkSession, pages: str, outlets: DataFrame, store: str, checkpoint: str, dataset: str, settings: Settings = DEFAULTS) -> StreamingQuery:
+    """Collects what has arrived under `pages` since the last run into the store, and stops.
 
-    Items and log entries are under batch=<id> in their folders, so a batch that is repeated after a failure writes the same
-    place again; merged observations are staged beside their folder, <observations>_staged/batch=<id>, before they replace months.
+    A micro-batch that is repeated after a failure finds its id in the store if it was committed, and else starts from the version
+    before; readers never see half of one.
     """
     source = spark.readStream.schema(PAGES).parquet(pages)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        known = read_table(spark, f"{items}/batch={batch_id - 1}", ITEMS) if batch_id else spark.createDataFrame([], ITEMS)
-        old = spark.createDataFrame([], OBSERVATIONS)
-        if batch_id:
-            touched = [r["period"] for r in batch.select("period").distinct().collect()]
-            old = read_table(spark, observations, OBSERVATIONS).filter(f"dataset = '{dataset}'")
-            old = old.filter(old["period"].isin(touched))
-        done = collect(batch, outlets, known, old, dataset, settings)
-        done.items.write.mode("overwrite").parquet(f"{items}/batch={batch_id}")
-        if log:
-            append_log(done.log, f"{log}/batch={batch_id}", mode="overwrite")
-        staged = f"{observations.rstrip('/')}_staged/batch={batch_id}"
-        done.observations.write.mode("overwrite").parquet(staged)  # not from the files that are replaced
-        write_observations(spark.read.schema(OBSERVATIONS).parquet(staged), observations)
+        collect_into(Store(batch.sparkSession, store), batch, outlets, dataset, f"{checkpoint.rstrip('/')}#{batch_id}", settings)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

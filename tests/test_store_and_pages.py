@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricebasket.functions.similarity import best_match, similarity
+from pricebasket.jobs import monthly
 from pricebasket.jobs.collect import collect
 from pricebasket.operators import linking, permissions, store
 from pricebasket.settings import Settings
 from pricebasket.sources import outlets, payload, schemas, tables
+from pricebasket.sources.snapshots import Store
 from pricebasket.streaming.ingest import start_ingest
 
 CONFIG = [("a", "A", "casual", "https://a.example", "static", True, (".menu-item", ".name a", ".price"), None), ("b", "B", "casual", "https://b.example", None, False, ("p:has(b)", "b", "::text_after_name"), None)]
@@ -149,10 +151,11 @@ def test_permissions(spark):
 
 
 def test_stream(spark, tmp_path):
-    where = [str(tmp_path / x) for x in ("pages", "items", "observations", "checkpoint")]
+    where = [str(tmp_path / x) for x in ("pages", "store", "checkpoint")]
     for month in ("2026-01", "2026-02"):
         pages(spark, [("a", month, HTML_A)]).write.mode("append").parquet(where[0])
-        start_ingest(spark, where[0], config(spark), *where[1:], "real", log=str(tmp_path / "log")).awaitTermination()
-    assert tables.read_observations(spark, where[2], "real").count() == 4
-    assert spark.read.parquet(str(tmp_path / "log")).groupBy("status").sum("items_found").collect()[0][1] == 4
-    assert spark.read.parquet(f"{where[1]}/batch=1").filter("first_seen = '2026-01' and last_seen = '2026-02'").count() == 2
+        start_ingest(spark, where[0], config(spark), *where[1:], "real").awaitTermination()
+    store = Store(spark, where[1])
+    assert store.read("observations", schemas.OBSERVATIONS).filter("dataset = 'real'").count() == 4
+    assert monthly.read_log(store).groupBy("status").sum("items_found").collect()[0][1] == 4
+    assert store.read("items", schemas.ITEMS).filter("first_seen = '2026-01' and last_seen = '2026-02'").count() == 2
