@@ -14,7 +14,8 @@ UNITS = {
     "pc": "pc", "pcs": "pc", "piece": "pc", "pieces": "pc", "ct": "pc", "count": "pc",
     "inch": "in", "in": "in", "g": "g", "gram": "g", "grams": "g", "ml": "ml", "l": "l",
 }
-PRICE = r"(?U)\$?\s*(\d+(?:\.\d{1,2})?)"
+PRICE_NUMBER = r"\$?\s*(\d+(?:\.\d{1,2})?)"
+PRICE = f"(?U){PRICE_NUMBER}"
 SIZE = r"(?iU)(?<![\d.])(\d+(?:\.\d+)?)\s*[-\s]?\s*(oz|ounces?|lbs?|pounds?|pcs?|pieces?|ct|count|inch|in|g|grams?|ml|l)\b"
 EDGES = " -–—·|\t\n"
 LONGEST_NAME = 120

@@ -101,7 +101,11 @@ SQL = {
     "page_items": "select cast(p_partkey // 50 as varchar) outlet_id, p_name || ' No ' || p_partkey observed_name, cast(100 + p_partkey % 200 * 25 as bigint) price_cents, false used_fallback from part where p_partkey % 7 <> 0",
     "trailing_prices": "select cast(p_partkey // 50 as varchar) outlet_id, p_name || ' No. ' || p_partkey || 'x' observed_name, cast(100 + p_partkey % 200 * 25 as bigint) price_cents, false used_fallback from part where p_partkey % 7 <> 0",
     "swept_items": "select cast(p_partkey // 50 as varchar) outlet_id, p_name || ' No. ' || p_partkey || 'x' observed_name, cast(100 + p_partkey % 200 * 25 as bigint) price_cents, true used_fallback from part where p_partkey % 7 <> 0",
-    "parse_report": "select cast(p_partkey // 50 as varchar) outlet_id, count(*) filter (p_partkey % 7 <> 0) items, cast(2 * count(*) as int) blocks_seen, false used_fallback from part group by 1",
+    "parse_report": """select cast(p_partkey // 50 as varchar) outlet_id, count(*) filter (p_partkey % 7 <> 0) items, cast(2 * count(*) as int) blocks_seen, false used_fallback,
+          count(*) filter (p_partkey % 7 <> 0) || ' items from ' || 2 * count(*) || ' blocks' notes from part group by 1""",
+    "fragment_report": """select cast(p_partkey as varchar) outlet_id, cast(1 as bigint) items, cast(0 as int) blocks_seen, true used_fallback,
+          'selector ''.no-such'' matched nothing; generic sweep found 1 items' notes, p_name || ' No. ' || p_partkey || 'x' observed_name,
+          cast(100 + p_partkey % 200 * 25 as bigint) price_cents from part""",
     "permission_audit": """with asked as (select distinct url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) host from pages), k as (select *, length(host) % 5 kind, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^#]*)?', 1) as path from asked)
         select url, host, cast(case kind when 0 then 403 when 1 then 404 else 200 end as int) status, kind in (1, 3) or (kind = 2 and not starts_with(path, '/en')) allowed,
           case when kind = 0 then 'robots.txt could not be read; refusing' when kind in (1, 3) then 'allowed by robots.txt' when kind = 2 and not starts_with(path, '/en') then 'allowed; crawl delay of 10 s' else 'disallowed by robots.txt' end reason from k""",

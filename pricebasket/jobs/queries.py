@@ -271,7 +271,16 @@ def swept_items(spark: SparkSession, d: str) -> DataFrame:
 def parse_report(spark: SparkSession, d: str) -> DataFrame:
     pages, config = adapters.menu_pages(spark, d)
     texts = extract.page_texts(pages, config)
-    return reports.parse_report(pages, extract.page_items(texts), texts).select("outlet_id", "items", "blocks_seen", "used_fallback")
+    return reports.parse_report(pages, extract.page_items(texts), texts).select("outlet_id", "items", "blocks_seen", "used_fallback", "notes")
+
+
+def fragment_report(spark: SparkSession, d: str) -> DataFrame:
+    """Items and notes of pages that are fragments, by the generic sweep."""
+    pages, config = adapters.fragments(spark, d)
+    texts = extract.page_texts(pages, config)
+    found = extract.page_items(texts)
+    report = reports.parse_report(pages, found, texts).select("outlet_id", "items", "blocks_seen", "used_fallback", "notes")
+    return report.join(found.select("outlet_id", "observed_name", "price_cents"), "outlet_id", "left")
 
 
 def sweep_report(spark: SparkSession, d: str) -> DataFrame:
@@ -311,6 +320,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         index_overall, index_by_category, index_summary, category_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, dataset_summary, datasets_available,
         recent_log, outlet_violations, coverage, run_report, run_totals, page_outcomes, known_items, restricted_run, page_snapshots, replaced_months, appended_log, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert, dimension_sync, clear_dataset, series_flatten, series_change,
-        series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, sweep_report, link_items, rename_report, permission_audit,
+        series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, fragment_report, sweep_report, link_items, rename_report, permission_audit,
     )
 }

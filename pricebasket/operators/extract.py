@@ -6,42 +6,43 @@ A helper reads each page once and gives name and price texts; prices, names, siz
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricebasket.functions import html
-from pricebasket.functions.text import clean_name, parse_price, size_unit, size_value
+from pricebasket.functions.text import PRICE_NUMBER, clean_name, parse_price, size_unit, size_value
 from pricebasket.session import ship_package
 from pricebasket.settings import DEFAULTS, Settings
 
-TEXTS = "outlet_id string, period string, position int, name_text string, price_text string, used_fallback boolean, blocks int"
-NUMBER = re.compile(r"\$?\s*(\d+(?:\.\d{1,2})?)")
+TEXTS = "outlet_id string, period string, position int, name_text string, price_text string, used_fallback boolean, blocks int, selector string"
 
 
-def page_texts(pages: DataFrame, outlets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def page_texts(pages: DataFrame, outlets: DataFrame, settings: Settings = DEFAULTS, parse: Callable[[str], html.Page] = html.parse) -> DataFrame:
     """Name and price texts of every page, in page order; a page without any gives one row of nulls with its blocks."""
     ship_package(pages.sparkSession)
     least, most = settings.min_dollars, settings.max_dollars
     joined = pages.select("outlet_id", "period", "html").join(outlets.select(F.col("id").alias("outlet_id"), "selectors"), "outlet_id", "left")
     flat = joined.select("outlet_id", "period", F.coalesce("html", F.lit("")).alias("html"), *(F.coalesce(f"selectors.{s}", F.lit("")).alias(s) for s in ("item", "name", "price")))
 
+    number_in = re.compile(PRICE_NUMBER)
+
     def usable(name: str, price: str) -> bool:
-        found = NUMBER.search(price.replace(",", ""))
-        return bool(found) and least <= float(found[1]) <= most and len(" ".join(name.split()).strip(" -–—·|")) >= 3
+        number = number_in.search(price.replace(",", ""))
+        return bool(number) and least <= float(number[1]) <= most and len(" ".join(name.split()).strip(" -–—·|")) >= 3
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for page in frame.itertuples(index=False):
-                root = html.parse(page.html)
-                blocks, pairs = html.by_selectors(root, page.item, page.name, page.price)
+                found = parse(page.html)
+                blocks, pairs = html.by_selectors(found, page.item, page.name, page.price)
                 swept = not any(usable(*p) for p in pairs)
                 if swept:
-                    pairs = html.by_sweep(root)
-                out += [(page.outlet_id, page.period, k, n, p, swept, blocks) for k, (n, p) in enumerate(pairs)] or [(page.outlet_id, page.period, None, None, None, swept, blocks)]
+                    pairs = html.by_sweep(found)
+                out += [(page.outlet_id, page.period, k, n, p, swept, blocks, page.item) for k, (n, p) in enumerate(pairs)] or [(page.outlet_id, page.period, None, None, None, swept, blocks, page.item)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TEXTS.split(", ")]).astype({"position": "Int32", "blocks": "int32"})
 
     return flat.mapInPandas(run, TEXTS)

@@ -48,8 +48,8 @@ def renames(linked: DataFrame) -> DataFrame:
 def parse_report(pages: DataFrame, items: DataFrame, blocks: DataFrame) -> DataFrame:
     """Items, blocks and whether the sweep was used, for each page, pages without items too."""
     found = items.groupBy("outlet_id", "period").agg(F.count("*").alias("items"))
-    seen = blocks.groupBy("outlet_id", "period").agg(F.max("blocks").alias("blocks_seen"), F.max("used_fallback").alias("used_fallback"))
+    seen = blocks.groupBy("outlet_id", "period").agg(F.max("blocks").alias("blocks_seen"), F.max("used_fallback").alias("used_fallback"), F.max("selector").alias("selector"))
     whole = pages.select("outlet_id", "period").distinct().join(found, ["outlet_id", "period"], "left").join(seen, ["outlet_id", "period"], "left")
-    whole = whole.select("outlet_id", "period", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("blocks_seen", F.lit(0)).alias("blocks_seen"), F.coalesce("used_fallback", F.lit(True)).alias("used_fallback"))
-    text = F.when(~F.col("used_fallback"), F.format_string("%d items from %d blocks", "items", "blocks_seen")).when(F.col("blocks_seen") == 0, F.format_string("selector matched nothing; generic sweep found %d items", "items")).otherwise(F.format_string("selector matched %d blocks without pairs; generic sweep found %d items", "blocks_seen", "items"))
-    return whole.withColumn("notes", text)
+    whole = whole.select("outlet_id", "period", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("blocks_seen", F.lit(0)).alias("blocks_seen"), F.coalesce("used_fallback", F.lit(True)).alias("used_fallback"), F.coalesce("selector", F.lit("")).alias("_selector"))
+    text = F.when(~F.col("used_fallback"), F.format_string("%d items from %d blocks", "items", "blocks_seen")).when(F.col("blocks_seen") == 0, F.format_string("selector '%s' matched nothing; generic sweep found %d items", "_selector", "items")).otherwise(F.format_string("selector '%s' matched %d blocks but no name/price pairs came out of them; generic sweep found %d items", "_selector", "blocks_seen", "items"))
+    return whole.withColumn("notes", text).drop("_selector")

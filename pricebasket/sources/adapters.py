@@ -45,7 +45,7 @@ def priced(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFrame:
     """Observations with outlets and categories, the index's input."""
     own = items(spark, sf_dir).select("item_id", F.col("canonical_name").alias("item"), "outlet_id")
     outlet = outlets(spark, sf_dir).select(F.col("id").alias("outlet_id"), F.col("name").alias("outlet"), "category")
-    return observations(spark, sf_dir, price).select("item_id", "period", F.col("price_cents").alias("price")).join(own.join(F.broadcast(outlet), "outlet_id"), "item_id")
+    return observations(spark, sf_dir, price).select("item_id", "period", F.col("price_cents").alias("price")).join(own.join(outlet, "outlet_id"), "item_id")
 
 
 def collection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,3 +91,13 @@ def plain_pages(spark: SparkSession, sf_dir: str, selector: str) -> tuple[DataFr
     pages = page.select("outlet_id", F.lit("2024-01").alias("period"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
     selectors = F.struct(F.lit(selector).alias("item"), F.lit("b").alias("name"), F.lit("::text_after_name").alias("price"))
     return pages, pages.select(F.col("outlet_id").alias("id"), selectors.alias("selectors"))
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A page for each item that is a fragment without any element around it: the price is in bare text, or in a bold one beside the name."""
+    k, price = F.col("p_partkey"), F.format_string("$%.2f", 1 + F.pmod("p_partkey", F.lit(200)).cast("double") / 4)
+    name = F.concat("p_name", F.lit(" No. "), k, F.lit("x"))
+    text = F.when(k % 2 == 0, F.concat(name, F.lit(" <b>"), price, F.lit("</b>"))).otherwise(F.concat(price, F.lit(" "), name))
+    pages = table(spark, sf_dir, "part").select(k.cast("string").alias("outlet_id"), F.lit("2024-01").alias("period"), text.alias("html"))
+    selectors = F.struct(F.lit(".no-such").alias("item"), F.lit("b").alias("name"), F.lit("i").alias("price"))
+    return pages, pages.select(F.col("outlet_id").alias("id"), selectors.alias("selectors"))
