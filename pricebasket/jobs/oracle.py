@@ -110,3 +110,4 @@ SQL = {
         select url, host, cast(case kind when 0 then 403 when 1 then 404 else 200 end as int) status, kind in (1, 3) or (kind = 2 and not starts_with(path, '/en')) allowed,
           case when kind = 0 then 'robots.txt could not be read; refusing' when kind in (1, 3) then 'allowed by robots.txt' when kind = 2 and not starts_with(path, '/en') then 'allowed; crawl delay of 10 s' else 'disallowed by robots.txt' end reason from k""",
 }
+SQL["index_maintained"] = f"select * from ({SQL['index_overall']}) union all select * from ({SQL['index_by_category']})"

@@ -39,6 +39,42 @@ def category_slices(observations: DataFrame, settings: Settings = DEFAULTS) -> D
     return observations.join(enough, "category", "left_semi").withColumn("slice", F.col("category"))
 
 
+def judge(pairs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Pairs of previous and current prices with the change and whether it is too large a jump to be true."""
+    change = F.when(F.col("previous") != 0, (F.try_divide(F.col("price"), F.col("previous")) - 1) * 100)
+    jump = F.when(F.col("previous") == 0, F.col("price") != 0).otherwise(F.abs(change) > settings.max_monthly_change_pct)
+    return pairs.withColumn("change_pct", change).withColumn("_jump", jump)
+
+
+def link_sums(judged: DataFrame, *keys: str) -> DataFrame:
+    """For each of the keys the pairs, those that count, and the link: the ratio of the sums of their prices."""
+    return judged.groupBy(*keys).agg(
+        F.count("*").alias("candidates"), F.count_if(~F.col("_jump")).alias("matched_items"),
+        F.try_divide(F.sum(F.when(~F.col("_jump"), F.col("price"))), F.nullif(F.sum(F.when(~F.col("_jump"), F.col("previous"))), F.lit(0.0))).alias("link"),
+    )
+
+
+def excluded_moves(judged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    reason = F.lit(f"move above the {settings.max_monthly_change_pct:.0f}% plausibility limit")
+    return judged.filter("_jump").select("slice", "period", "item_id", F.col("previous").alias("from"), F.col("price").alias("to"), "change_pct", reason.alias("reason"))
+
+
+def chain(linked: DataFrame, single: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Points (I7, I8) of each slice's months (slice, period, ord) with their links, if they have one, and of slices of a single month."""
+    chained = Window.partitionBy("slice").orderBy("ord")
+    full = linked.withColumn("_link", F.coalesce("link", F.lit(1.0)))
+    note = F.when(F.col("ord") == 1, BASE).when(F.coalesce("candidates", F.lit(0)) == 0, NO_PAIRS).when(F.col("matched_items") == 0, ALL_EXCLUDED).otherwise("")
+    value = F.lit(settings.base_value) * F.product("_link").over(chained)
+    points = full.select("slice", "period", "ord", value.alias("value"), F.coalesce("matched_items", F.lit(0)).cast("bigint").alias("matched_items"), F.col("_link").alias("link"), note.alias("note"))
+    alone = single.select("slice", "period", F.lit(1).alias("ord"), F.lit(settings.base_value).alias("value"), F.lit(0).cast("bigint").alias("matched_items"), F.lit(1.0).alias("link"), F.lit(BASE).alias("note"))
+    return points.unionByName(alone)
+
+
+def numbered(periods: DataFrame) -> DataFrame:
+    """Months (slice, period) with their order in the slice."""
+    return periods.withColumn("ord", F.row_number().over(Window.partitionBy("slice").orderBy(period_order(F.col("period")), "period")))
+
+
 def build_index(sliced: DataFrame, settings: Settings = DEFAULTS) -> Index:
     named = sliced.filter("item_id is not null and period is not null")
     priced = named.groupBy("slice", "item_id", "period").agg(F.avg("price").alias("price"))
@@ -46,25 +82,14 @@ def build_index(sliced: DataFrame, settings: Settings = DEFAULTS) -> Index:
     kept = priced.withColumn("_n", F.count("*").over(of_item)).filter(F.col("_n") >= settings.min_periods_per_item).drop("_n")
     # a slice of one period is one base point, before any item is dropped
     single = named.groupBy("slice").agg(F.min("period").alias("period"), F.max("period").alias("_last")).filter("period = _last").select("slice", "period")
-    ordered = Window.partitionBy("slice").orderBy(period_order(F.col("period")), "period")
-    periods = kept.select("slice", "period").distinct().join(single.select("slice"), "slice", "left_anti").withColumn("ord", F.row_number().over(ordered))
+    periods = numbered(kept.select("slice", "period").distinct().join(single.select("slice"), "slice", "left_anti"))
     in_time = of_item.orderBy("ord")
     lagged = kept.join(periods, ["slice", "period"]).withColumn("previous", F.lag("price").over(in_time)).withColumn("_before", F.lag("ord").over(in_time))
     pairs = lagged.filter((F.col("_before") == F.col("ord") - 1) & F.col("price").isNotNull() & F.col("previous").isNotNull())
-    change = F.when(F.col("previous") != 0, (F.try_divide(F.col("price"), F.col("previous")) - 1) * 100)
-    jump = F.when(F.col("previous") == 0, F.col("price") != 0).otherwise(F.abs(change) > settings.max_monthly_change_pct)
-    judged = pairs.withColumn("change_pct", change).withColumn("_jump", jump)
-    links = judged.groupBy("slice", "ord").agg(
-        F.count("*").alias("candidates"), F.count_if(~F.col("_jump")).alias("matched_items"),
-        F.try_divide(F.sum(F.when(~F.col("_jump"), F.col("price"))), F.nullif(F.sum(F.when(~F.col("_jump"), F.col("previous"))), F.lit(0.0))).alias("link"),
-    )
-    chained = Window.partitionBy("slice").orderBy("ord")
-    full = periods.join(links, ["slice", "ord"], "left").withColumn("_link", F.coalesce("link", F.lit(1.0)))
-    note = F.when(F.col("ord") == 1, BASE).when(F.coalesce("candidates", F.lit(0)) == 0, NO_PAIRS).when(F.col("matched_items") == 0, ALL_EXCLUDED).otherwise("")
-    points = full.select("slice", "period", "ord", (F.lit(settings.base_value) * F.product("_link").over(chained)).alias("value"), F.coalesce("matched_items", F.lit(0)).alias("matched_items"), F.col("_link").alias("link"), note.alias("note"))
-    alone = single.select("slice", "period", F.lit(1).alias("ord"), F.lit(settings.base_value).alias("value"), F.lit(0).cast("bigint").alias("matched_items"), F.lit(1.0).alias("link"), F.lit(BASE).alias("note"))
-    excluded = judged.filter("_jump").select("slice", "period", "item_id", F.col("previous").alias("from"), F.col("price").alias("to"), "change_pct", F.lit(f"move above the {settings.max_monthly_change_pct:.0f}% plausibility limit").alias("reason"))
-    return Index(points.unionByName(alone), excluded, links.join(periods, ["slice", "ord"]))
+    judged = judge(pairs, settings)
+    links = link_sums(judged, "slice", "ord")
+    points = chain(periods.join(links, ["slice", "ord"], "left"), single, settings)
+    return Index(points, excluded_moves(judged, settings), links.join(periods, ["slice", "ord"]))
 
 
 def published_points(points: DataFrame) -> DataFrame:
