@@ -17,6 +17,7 @@ from pricebasket.operators.reports import run_report
 from pricebasket.operators.store import joined_observations
 from pricebasket.session import run_folder, stored
 from pricebasket.settings import DEFAULTS, Settings
+from pricebasket.sources.constraints import ITEM_RULES, LOG_RULES, OBSERVATION_RULES
 from pricebasket.sources.schemas import COLLECTION_LOG, ITEMS, OBSERVATIONS
 from pricebasket.sources.snapshots import Change, Snapshot, Store
 
@@ -97,8 +98,8 @@ def collect_into(store: Store, pages: DataFrame, outlets: DataFrame, dataset: st
         counts = run_report(done.log, done.linked)[1].withColumn("batch", F.lit(batch))
         return store.commit(
             base, batch,
-            [Change("items", done.items, item_part(), outlet_parts), Change("observations", done.observations, month_part(), months), *replaced],
-            [Change("log", log, F.col("period")), Change("runs", counts, F.lit("all")), *appended],
+            [Change("items", done.items, item_part(), outlet_parts, ITEM_RULES), Change("observations", done.observations, month_part(), months, OBSERVATION_RULES), *replaced],
+            [Change("log", log, F.col("period"), rules=LOG_RULES), Change("runs", counts, F.lit("all")), *appended],
         )
 
 

@@ -111,3 +111,12 @@ SQL = {
           case when kind = 0 then 'robots.txt could not be read; refusing' when kind in (1, 3) then 'allowed by robots.txt' when kind = 2 and not starts_with(path, '/en') then 'allowed; crawl delay of 10 s' else 'disallowed by robots.txt' end reason from k""",
 }
 SQL["index_maintained"] = f"select * from ({SQL['index_overall']}) union all select * from ({SQL['index_by_category']})"
+SQL["joined_bucketed"] = f"""with {OUTLETS}, {ITEMS}, {_observed(CALM)}
+ select period, outlet.name outlet, category, count(*) n, cast(sum(price_cents) as bigint) cents, min(canonical_name) first_item
+ from obs join item using (item_id) join outlet on outlet_id = outlet.id where dataset = 'real' group by all"""
+SQL["broken_rules"] = f"""with {_observed(CALM)}, found as (
+ select 'item, month, price, name, time and dataset are there' as rule, count(*) filter (l_linenumber = 7) as rows from lineitem
+ union all select 'an item has one price a month and dataset', count(*) - count(distinct (item_id, period, dataset)) from obs
+ union all select 'a price is under 1,500 dollars', count(*) filter (price_cents >= 150000) from obs
+ union all select 'an observation''s item is known', count(*) filter (item_id % 10 = 3) from obs)
+ select rule, cast(rows as bigint) as rows from found where rows > 0"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pricebasket.functions import text
 from pricebasket.jobs import maintained
 from pricebasket.operators import basket, extract, linking, movers, permissions, reports, series, store
 from pricebasket.session import new_path
-from pricebasket.sources import adapters, outlets, payload, schemas, snapshots, tables
+from pricebasket.sources import adapters, bucketed, constraints, outlets, payload, schemas, snapshots, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,6 +264,24 @@ def headline_gap(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) for c in ("own_change_pct", "cpi_change_pct", "gap_points")), "verdict", "first_period", "last_period")
 
 
+def joined_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The joined observations, from tables that were written bucketed by item."""
+    name = f"joined_{uuid.uuid4().hex}"
+    bucketed.write_bucketed(adapters.observations(spark, d), f"{name}_observations", new_path(spark, "observations"), datasets=True)
+    bucketed.write_bucketed(adapters.items(spark, d), f"{name}_items", new_path(spark, "items"))
+    out = bucketed.joined_bucketed(spark, f"{name}_observations", f"{name}_items", adapters.outlets(spark, d), "real")
+    return out.groupBy("period", "outlet", "category").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"), F.min("item").alias("first_item"))
+
+
+def broken_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What the raw observations are against, were they stored as they are: each rule with its rows, counted as they are written."""
+    rows = adapters.observations(spark, d).withColumn("observed_name", F.when(F.col("position") != 7, F.col("observed_name")))
+    rules = (*constraints.OBSERVATION_RULES, constraints.Rule("a price is under 1,500 dollars", holds="price_cents < 150000"))
+    known = adapters.items(spark, d).filter("item_id % 10 != 3").select("item_id")
+    rules = (*rules, constraints.referring("an observation's item is known", "item_id", known))
+    return constraints.write_checked(rows, new_path(spark, "observations"), rules)
+
+
 def page_items(spark: SparkSession, d: str) -> DataFrame:
     out = extract.page_items(extract.page_texts(*adapters.menu_pages(spark, d)))
     return out.select("outlet_id", "observed_name", "price_cents", "used_fallback")
@@ -330,7 +349,7 @@ def permission_audit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        index_overall, index_by_category, index_maintained, index_summary, category_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, dataset_summary, datasets_available,
+        index_overall, index_by_category, index_maintained, index_summary, category_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, joined_bucketed, broken_rules, dataset_summary, datasets_available,
         recent_log, outlet_violations, coverage, run_report, run_totals, page_outcomes, known_items, restricted_run, page_snapshots, replaced_months, appended_log, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert, dimension_sync, clear_dataset, series_flatten, series_change,
         series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, fragment_report, sweep_report, link_items, rename_report, permission_audit,
     )
