@@ -120,3 +120,59 @@ SQL["broken_rules"] = f"""with {_observed(CALM)}, found as (
  union all select 'a price is under 1,500 dollars', count(*) filter (price_cents >= 150000) from obs
  union all select 'an observation''s item is known', count(*) filter (item_id % 10 = 3) from obs)
  select rule, cast(rows as bigint) as rows from found where rows > 0"""
+
+
+# The ratio of two strings: the longest common run, the earliest of equal ones, and so on to its left and right.
+BEST = """list_max(flatten([[struct_pack(l := coalesce(list_max([k for k in range(1, least(length(a) - i + 1, length(b) - j + 1) + 1)
+   if substr(a, i, k) = substr(b, j, k)]), 0), i := -i, j := -j) for j in range(1, length(b) + 1)] for i in range(1, length(a) + 1)]))"""
+RATIO = f"""seg as (
+   select a as pa, b as pb, a, b from pairs
+   union all
+   select pa, pb, unnest([substr(a, 1, -best.i - 1), substr(a, -best.i + best.l)]), unnest([substr(b, 1, -best.j - 1), substr(b, -best.j + best.l)])
+   from (select *, {BEST} as best from seg) where best.l > 0),
+ ratio as (
+   select pa as a, pb as b, case when length(pa) > 0 and length(pb) > 0 then 2.0::double * coalesce(sum(l), 0) / (length(pa) + length(pb)) else 0 end as score
+   from (select pa, pb, ({BEST}).l as l from seg) group by pa, pb)"""
+MONTHS, FIRST_MONTHS = "select distinct item_id, period from obs", "select item_id, min(period) as period from obs group by item_id"
+
+
+def _history(months: str) -> str:
+    return f"""{ITEMS}, {_observed(CALM)},
+ row as (select distinct outlet_id, size_value, period, item_id as position, match_key as k from ({months}) join item using (item_id) where match_key <> ''),
+ old as (select distinct outlet_id, size_value, match_key as k from item where item_id in (select item_id from obs where period = (select min(period) from obs))),
+ new as (select outlet_id, size_value, k, min(period || '#' || lpad(cast(position as varchar), 20, '0')) as since from row anti join old using (outlet_id, size_value, k) group by all),
+ pairs as (
+   select distinct n.k as a, o.k as b from new n join (select outlet_id, size_value, k from new union all from old) o using (outlet_id, size_value)
+   where n.k <> o.k and 2.0 * least(length(n.k), length(o.k)) >= 0.88 * (length(n.k) + length(o.k)))"""
+LINKED = f"""{RATIO},
+ near as (select a, list(b) as near from ratio where score >= 0.88 group by a),
+ turn as (select outlet_id, size_value, k, since, row_number() over (partition by outlet_id, size_value order by since) as n from new),
+ fold as (
+   select outlet_id, size_value, cast(0 as bigint) as n, coalesce(list(o.k) filter (o.k is not null), []) as founders
+   from (select distinct outlet_id, size_value from turn) left join old o using (outlet_id, size_value) group by all
+   union all
+   select outlet_id, size_value, t.n, case when len(list_intersect(founders, coalesce(near, []))) > 0 then founders else list_append(founders, t.k) end
+   from fold f join turn t using (outlet_id, size_value) left join near on near.a = t.k where t.n = f.n + 1),
+ founder as (
+   select distinct outlet_id, size_value, k, cast(null as varchar) as since from old
+   union all
+   select t.outlet_id, t.size_value, t.k, t.since from turn t join fold f using (outlet_id, size_value)
+   where f.n = (select max(n) from turn x where x.outlet_id = t.outlet_id and x.size_value = t.size_value) and list_contains(founders, t.k)),
+ choice as (
+   select r.*, f.k as found, case when f.k = r.k then 1.0 else score end as score, f.since,
+          row_number() over (partition by r.outlet_id, r.size_value, r.period, r.position order by (f.k = r.k) desc, score desc, f.since is not null, f.since, f.k) as best
+   from row r join founder f using (outlet_id, size_value) left join ratio on ratio.a = r.k and ratio.b = f.k
+   where f.k = r.k or (score >= 0.88 and (f.since is null or f.since < r.period || '#' || lpad(cast(r.position as varchar), 20, '0'))))
+ """
+SQL["link_history"] = f"""with recursive {_history(MONTHS)}, {LINKED}
+ select outlet_id, size_value, period, position, k as new_key, found as match_key, round(score, 6) as score, coalesce(since = period || '#' || lpad(cast(position as varchar), 20, '0'), false) as is_new from choice where best = 1"""
+SQL["history_renames"] = f"""with recursive {_history(MONTHS)}, {LINKED}
+ select outlet_id, found as old_key, k as new_key, round(score, 3) as score, count(*) as months, min(period) as first_period from choice where best = 1 and found <> k group by all"""
+SQL["key_similarity"] = f"""with recursive keyed as (
+   select p_partkey, {_key('p_name')} as key, {_key("p_name || ' ' || p_brand")} as longer, lead({_key('p_name')}) over (order by p_partkey) as other from part),
+ pairs as (select distinct key as a, other as b from keyed where other is not null union select distinct other, longer from keyed where other is not null),
+ {RATIO}
+ select p_partkey, round(x.score, 6) as next, round(y.score, 6) as brand
+ from keyed join ratio x on x.a = key and x.b = other join ratio y on y.a = other and y.b = longer"""
+SQL["rename_report"] = f"""with recursive {_history(FIRST_MONTHS)}, {LINKED}
+ select outlet_id, period, found as old_key, k as new_key, round(score, 3) as score from choice where best = 1 and found <> k"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricebasket.functions import text
+from pricebasket.functions.similarity import similarity
 from pricebasket.jobs import maintained
 from pricebasket.operators import basket, extract, linking, movers, permissions, reports, series, store
 from pricebasket.session import new_path
@@ -334,6 +335,30 @@ def link_items(spark: SparkSession, d: str) -> DataFrame:
     return linking.link_items(*_parsed(spark, d)).select("outlet_id", "size_value", "period", "position", "new_key", "match_key", F.round("score", 6).alias("score"), "is_new", "item_id")
 
 
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every item in every month that it is observed in, and as the earlier store those of the first month of all."""
+    rows, items = adapters.observations(spark, d).select("item_id", "period").distinct(), adapters.items(spark, d)
+    first = rows.join(rows.agg(F.min("period").alias("period")), "period", "left_semi").select("item_id")
+    return rows.join(items, "item_id").withColumn("position", F.col("item_id")), items.join(first, "item_id", "left_semi")
+
+
+def link_history(spark: SparkSession, d: str) -> DataFrame:
+    """Linking of whole months one after the other: known keys over again, new ones, and renamed ones in later months."""
+    return linking.link_items(*_history(spark, d)).select("outlet_id", "size_value", "period", "position", "new_key", "match_key", F.round("score", 6).alias("score"), "is_new")
+
+
+def history_renames(spark: SparkSession, d: str) -> DataFrame:
+    return reports.renames(linking.link_items(*_history(spark, d))).groupBy("outlet_id", "old_key", "new_key", "score").agg(F.count("*").alias("months"), F.min("period").alias("first_period"))
+
+
+def key_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The ratio of each item's key to that of the item after it and to its manufacturer's."""
+    rows = adapters.table(spark, d, "part").select("p_partkey", text.match_key(F.col("p_name")).alias("key"), text.match_key(F.concat("p_name", F.lit(" "), "p_brand")).alias("longer"))
+    after = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("key").alias("other"))
+    joined = rows.join(after, "p_partkey")
+    return joined.select("p_partkey", F.round(similarity(F.col("key"), F.col("other")), 6).alias("next"), F.round(similarity(F.col("other"), F.col("longer")), 6).alias("brand"))
+
+
 def rename_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.renames(linking.link_items(*_parsed(spark, d)))
 
@@ -351,6 +376,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         index_overall, index_by_category, index_maintained, index_summary, category_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, joined_bucketed, broken_rules, dataset_summary, datasets_available,
         recent_log, outlet_violations, coverage, run_report, run_totals, page_outcomes, known_items, restricted_run, page_snapshots, replaced_months, appended_log, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert, dimension_sync, clear_dataset, series_flatten, series_change,
-        series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, fragment_report, sweep_report, link_items, rename_report, permission_audit,
+        series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, fragment_report, sweep_report, link_items, link_history, history_renames, key_similarity, rename_report, permission_audit,
     )
 }
