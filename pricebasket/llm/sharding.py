@@ -9,7 +9,8 @@ numbers within a cell, places from counts of fractional-rank ranges and row numb
 hold about CELL rows whatever a source's share, so a source with a third of all rows is spread over many tasks.
 
 Null texts have 0 bytes and so size 1; null sources are one source of their own, ordered first; null ids are rows like
-others. Rows that are equal in id and text are interchangeable, each gets a slot of its own. Empty tables give empty
+others. Rows of one id are told apart by their texts; rows equal in both
+are interchangeable, each gets a slot of its own. Empty tables give empty
 results. Columns of other names play no part.
 """
 
@@ -50,7 +51,7 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFra
     text = whole_text()
     rows = df.select(
         "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("_source"), "source",
-        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.md5(text)).otherwise(""))).alias("_hash"),
+        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text))).alias("_hash"),
     ).withColumn("_cell", _cell(F.col("_hash"), cells))
     counts = rows.groupBy("_source", "_cell").agg(F.count("*").alias("_n"))
     first = offsets(counts, ["_source"], "_cell", "_n", "_before")
@@ -78,7 +79,7 @@ with bits as (
   select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(i as bigint))) as t),
 rows as (
   select doc_id, case when source is null then '' else 's' || source end as src, strlen(coalesce(text, '')) + 1 as size,
-         md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || case when doc_id is null then md5(coalesce(text, '')) else '' end) as h,
+         md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as h,
          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as b from documents),
 summed as (
   select r.* exclude (b), xor(4294967295, list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), cast(4294967295 as bigint))) as crc from rows r, bits),
