@@ -30,6 +30,8 @@ from pricebasket.llm.hashing import together
 UNKNOWN = "und"
 #: Labelled rows of a language that the sample holds at most; spans of each; bytes of a span.
 SAMPLE_DOCS, SPANS, SPAN = 400, 4, 64
+#: How many times as many rows the sample is sought among.
+SOUGHT = 4
 #: Bytes of a window, and those around it that lead up to it; windows that run side by side.
 WINDOW, CONTEXT, LANES = 192, 16, 2048
 HIDDEN, BATCH, RATE, SEED = 8, 128, 0.02, 7
@@ -208,8 +210,11 @@ def training_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, spans: int =
     rows = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     places = [F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.length("text") - SPAN)).cast("int") + 1 for k in range(spans)]
     cut = rows.select("lang", F.xxhash64("doc_id", "text").alias("_hash"), F.array_distinct(F.array(*(F.substring("text", p, SPAN) for p in places))).alias("spans"))
+    # those with the smallest hashes are sought among a few times as many, by each language's count, so that what meets in a task is bounded
+    share = rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(SOUGHT * sample_docs)) / F.count("*")).alias("_share"))
+    few = cut.join(share, F.col("lang") == F.col("_lang")).filter(F.col("_hash") / F.lit(float(1 << 64)) + 0.5 <= F.col("_share")).select("lang", "_hash", "spans")
     by_hash = Window.partitionBy("lang").orderBy("_hash", "spans")
-    return cut.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= sample_docs).select("lang", "spans")
+    return few.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= sample_docs).select("lang", "spans")
 
 
 def fit_languages(docs: DataFrame) -> ByteNetwork:
