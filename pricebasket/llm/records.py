@@ -41,8 +41,8 @@ from pricebasket.llm.common import Batches, documents, map_batches, new_path, st
 from pricebasket.llm.sharding import offsets
 
 TOKENIZER, END = "word_bpe_49k.json", 2
-#: Bytes of text that one file holds the ids of, about.
-FILE_BYTES = 24_000_000
+#: Bytes of text that one file holds the ids of, about; files, about, however large the input; entries of an index batch.
+FILE_BYTES, FILES, ENTRIES = 24_000_000, 50_000, 10_000
 #: Words and stems that a task's memo holds, about; it starts anew beyond.
 MEMO, STEMS = 250_000, 250_000
 #: Latin letters, which no normal form changes and whose lower case is one letter, and closing marks.
@@ -206,7 +206,7 @@ def write_records(df: DataFrame, folder: str, file_bytes: int = FILE_BYTES, path
     """Encodes df (doc_id, text) and writes its records to files in the folder, in ascending order of doc_id over all files; the index, stored beside them."""
     spark, docs = df.sparkSession, _hashed(df)
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    bounds = file_bounds(docs, -(-size // file_bytes))
+    bounds = file_bounds(docs, -(-size // max(file_bytes, size // FILES)))
     encoded = encode_documents(df, bounds, path, end)
     dealt = encoded.repartitionById(len(bounds.ids) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "_hash", "record")
     kinds = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[k]) for n, k in map(str.split, INDEX.split(", "))])
@@ -220,19 +220,23 @@ def write_records(df: DataFrame, folder: str, file_bytes: int = FILE_BYTES, path
             if out:
                 out.close()
                 fs.move(f"{root}/_{name}", f"{root}/{name}")
+            if entries:
                 yield pa.RecordBatch.from_pylist(entries, kinds)
 
-        now = None
+        now, place = None, 0
         for batch in batches:
             for p, doc_id, record in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "record")), strict=True):
                 if p != now:
                     yield from done()
-                    now, name, entries, offset, earlier = p, f"{p:08d}-{uuid.uuid4().hex}.records", [], 0, 0
+                    now, name, entries, offset, earlier, place = p, f"{p:08d}-{uuid.uuid4().hex}.records", [], 0, 0, 0
                     out = fs.open_output_stream(f"{root}/_{name}")
                 data, n = frame(record), (len(record) - RECORD_SIZE) // record[RECORD_SIZE - 1]
                 out.write(data)
-                entries.append({"part": p, "file": name, "doc_id": doc_id, "place": len(entries), "offset": offset, "length": len(data), "n_tokens": n, "earlier": earlier})
-                offset, earlier = offset + len(data), earlier + n
+                entries.append({"part": p, "file": name, "doc_id": doc_id, "place": place, "offset": offset, "length": len(data), "n_tokens": n, "earlier": earlier})
+                offset, earlier, place = offset + len(data), earlier + n, place + 1
+                if len(entries) == ENTRIES:
+                    yield pa.RecordBatch.from_pylist(entries, kinds)
+                    entries = []
         yield from done()
 
     return stored(spark, map_batches(dealt.select("part", "doc_id", "record"), run, INDEX), "record-index")
