@@ -31,7 +31,10 @@ def linkable(items: DataFrame) -> DataFrame:
     return items.withColumn("match_key", match_key(without_size(F.col("observed_name"))))
 
 
-def collect(pages: DataFrame, outlets: DataFrame, items: DataFrame, observations: DataFrame, dataset: str, settings: Settings = DEFAULTS, ids: list[str] | None = None, index: KeyIndex | None = None) -> Collected:
+def collect(
+    pages: DataFrame, outlets: DataFrame, items: DataFrame, observations: DataFrame, dataset: str, settings: Settings = DEFAULTS, ids: list[str] | None = None,
+    index: KeyIndex | None = None
+) -> Collected:
     """Pages of any number of months, linked to the stored items and merged with the stored observations.
 
     Pages are parsed once, and rows linked once: both are stored, and all that comes out reads from there. Pages may have the columns status (skipped or error: not read) and error (why); the log takes both over.
@@ -52,5 +55,7 @@ def collect(pages: DataFrame, outlets: DataFrame, items: DataFrame, observations
     counts = found.groupBy("outlet_id", "period").agg(F.count("*").alias("items_found"))
     empty = F.coalesce(F.length("html"), F.lit(0)) == 0
     reason = F.when(status != "fetched", F.coalesce(error, F.when((status == "error") & empty, "empty page")))
-    log = own.select("outlet_id", "period", F.col("fetched_at").alias("ran_at"), status.alias("status"), reason.alias("reason")).join(counts, ["outlet_id", "period"], "left").withColumn("items_found", F.coalesce("items_found", F.lit(0)).cast("int"))
+    log = own.select(
+        "outlet_id", "period", F.col("fetched_at").alias("ran_at"), status.alias("status"), reason.alias("reason")
+    ).join(counts, ["outlet_id", "period"], "left").withColumn("items_found", F.coalesce("items_found", F.lit(0)).cast("int"))
     return Collected(upsert_items(items, seen), upsert_observations(observations, new), written, run_report(log, written)[0], parse_report(own, found, texts), log)

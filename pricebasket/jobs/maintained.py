@@ -42,7 +42,9 @@ def _slices(rows: DataFrame) -> DataFrame:
 
 def _moved(old: DataFrame, new: DataFrame) -> DataFrame:
     """item_id, came and went (months), outlet_id and category of items that have a price in other months than before."""
-    both = old.select("item_id", "period", F.lit(True).alias("_old")).join(new.select("item_id", "period", "outlet_id", "category", F.lit(True).alias("_new")), ["item_id", "period"], "full_outer")
+    both = old.select("item_id", "period", F.lit(True).alias("_old")).join(
+        new.select("item_id", "period", "outlet_id", "category", F.lit(True).alias("_new")), ["item_id", "period"], "full_outer"
+    )
     changed = both.filter("_old is null or _new is null")
     return changed.groupBy("item_id").agg(
         F.collect_list(F.when(F.col("_new"), F.col("period"))).alias("came"), F.collect_list(F.when(F.col("_old"), F.col("period"))).alias("went"),
@@ -80,13 +82,22 @@ def replace_months(store: Store, rows: DataFrame, months: list[str], batch: str,
         return base
     with run_folder(spark):
         given = rows.filter(F.col("item_id").isNotNull() & F.col("period").isin(*months))
-        new = stored(spark, given.groupBy(F.col("item_id").cast("bigint").alias("item_id"), "period").agg(F.avg("price").alias("price"), F.max("outlet_id").alias("outlet_id"), F.max("category").alias("category")), "prices")
+        new = stored(
+            spark,
+            given.groupBy(F.col("item_id").cast("bigint").alias("item_id"), "period").agg(
+                F.avg("price").alias("price"), F.max("outlet_id").alias("outlet_id"), F.max("category").alias("category")
+            ),
+            "prices"
+        )
         moved = stored(spark, _moved(store.read("prices", PRICES, months, base), new), "moved")
         touched = [r[0] for r in moved.select(_part().alias("p")).distinct().collect()]  # PARTS at most
         known = store.read("item_months", ITEM_MONTHS, touched, base).join(moved, "item_id", "full_outer")
         none = F.array().cast("array<string>")
         after = F.array_sort(F.array_union(F.array_except(F.coalesce("months", none), F.coalesce("went", none)), F.coalesce("came", none)))
-        items = known.select("item_id", F.coalesce("_outlet", "outlet_id").alias("outlet_id"), F.coalesce("_category", "category").alias("category"), F.coalesce("months", none).alias("before"), after.alias("months"), F.col("came").isNotNull().alias("_moved"))
+        items = known.select(
+            "item_id", F.coalesce("_outlet", "outlet_id").alias("outlet_id"), F.coalesce("_category", "category").alias("category"),
+            F.coalesce("months", none).alias("before"), after.alias("months"), F.col("came").isNotNull().alias("_moved")
+        )
         items = stored(spark, items, "items")
         counts = store.read("months", MONTHS, at=base).unionByName(_counted(items.filter("_moved"), k))
         counts = stored(spark, counts.groupBy("slice", "period").agg(F.sum("items").alias("items"), F.sum("eligible").alias("eligible")).filter("items > 0"), "months")
@@ -95,13 +106,17 @@ def replace_months(store: Store, rows: DataFrame, months: list[str], batch: str,
 
         pairs, links = _neighbours(counts).filter("before is not null"), store.read("links", LINKS, at=base)
         changed = F.col("period").isin(*months) | F.col("before").isin(*months) | (F.col("period").isin(*entered) & F.col("before").isin(*entered))
-        fresh = pairs.join(store.read("pairs", "slice string, before string, period string", at=base), ["slice", "before", "period"], "left_anti").select("period").unionByName(pairs.filter(changed).select("period")).distinct()
+        fresh = pairs.join(
+            store.read("pairs", "slice string, before string, period string", at=base), ["slice", "before", "period"], "left_anti"
+        ).select("period").unionByName(pairs.filter(changed).select("period")).distinct()
         redo = stored(spark, pairs.join(F.broadcast(fresh), "period", "left_semi"), "pairs")
         ends = sorted({m for r in redo.select("before", "period").distinct().collect() for m in r})  # months, of neighbours of the replaced ones mostly
         prices = store.read("prices", PRICES, [m for m in ends if m not in months], base).unionByName(new.select("item_id", "period", "price", "outlet_id", "category"))
         eligible = None
         if k > 2:
-            rest = store.read("item_months", ITEM_MONTHS, [p for p in base.parts("item_months") if p not in touched], base).select("item_id", "months").unionByName(items.select("item_id", "months"))
+            rest = store.read(
+                "item_months", ITEM_MONTHS, [p for p in base.parts("item_months") if p not in touched], base
+            ).select("item_id", "months").unionByName(items.select("item_id", "months"))
             eligible = rest.filter(F.size("months") >= k).select("item_id")
         judged = stored(spark, _redone(prices, redo, eligible, settings), "judged")
         sums = basket.link_sums(judged, "slice", "before", "period")

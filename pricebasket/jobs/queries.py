@@ -34,7 +34,9 @@ def index_maintained(spark: SparkSession, d: str) -> DataFrame:
     """The index from stored sums: built with one month wrong, one half empty and one missing, which are then replaced by the true ones."""
     rows, store = adapters.priced(spark, d).select("item_id", "period", "price", "outlet_id", "category"), snapshots.Store(spark, new_path(spark, "index"))
     period = F.col("period")
-    wrong = rows.filter((period != "1998-05") & ((period != "1996-07") | (F.col("item_id") % 2 == 0))).withColumn("price", F.when(period == "1997-03", F.col("price") * 2).otherwise(F.col("price")))
+    wrong = rows.filter((period != "1998-05") & ((period != "1996-07") | (F.col("item_id") % 2 == 0))).withColumn(
+        "price", F.when(period == "1997-03", F.col("price") * 2).otherwise(F.col("price"))
+    )
     months = sorted(r[0] for r in rows.select("period").distinct().collect())
     maintained.replace_months(store, wrong, months, "whole")
     maintained.replace_months(store, rows, ["1996-07", "1997-03", "1998-05"], "mended")
@@ -108,7 +110,10 @@ def recent_log(spark: SparkSession, d: str) -> DataFrame:
 def _config(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id").cast("int")
     selectors = F.struct(F.lit(".i").alias("item"), F.when(k % 11 != 0, ".n").alias("name"), F.lit(".p").alias("price"))
-    rows = adapters.outlets(spark, d).select("id", "name", F.lower("category").alias("category"), "url", F.when(k % 5 == 0, "browser").when(k % 13 == 0, "paper").alias("renderer"), (k % 3 == 0).alias("verified"), selectors.alias("selectors"))
+    rows = adapters.outlets(spark, d).select(
+        "id", "name", F.lower("category").alias("category"), "url", F.when(k % 5 == 0, "browser").when(k % 13 == 0, "paper").alias("renderer"),
+        (k % 3 == 0).alias("verified"), selectors.alias("selectors")
+    )
     return rows.unionByName(rows.filter(k % 17 == 0))
 
 
@@ -152,7 +157,9 @@ def restricted_run(spark: SparkSession, d: str) -> DataFrame:
 def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Raw pages written as snapshots and read back."""
     path = new_path(spark, "pages")
-    pages = adapters.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("outlet_id"), F.lit("2024-01").alias("period"), "url", "html", F.lit("2024-01-05").alias("fetched_at"))
+    pages = adapters.table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("outlet_id"), F.lit("2024-01").alias("period"), "url", "html", F.lit("2024-01-05").alias("fetched_at")
+    )
     pages.write.parquet(path)
     return tables.read_pages(spark, path).select("outlet_id", "period", "url", F.length("html").cast("long").alias("characters"), "fetched_at")
 
@@ -197,20 +204,32 @@ def split_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_key(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.table(spark, d, "part").select("p_partkey", text.match_key(F.concat(F.lit("The "), "p_name", F.lit(" & Our "), "p_type", F.lit("!"))).alias("match_key"), text.match_key(F.lit("The House Special")).alias("filler"))
+    return adapters.table(spark, d, "part").select(
+        "p_partkey", text.match_key(F.concat(F.lit("The "), "p_name", F.lit(" & Our "), "p_type", F.lit("!"))).alias("match_key"),
+        text.match_key(F.lit("The House Special")).alias("filler")
+    )
 
 
 def clean_name(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.table(spark, d, "part").select("p_partkey", text.clean_name(F.concat(F.lit(" - "), F.repeat(F.concat("p_name", F.lit("  · \t")), F.pmod("p_partkey", F.lit(12)).cast("int") + 1))).alias("name"))
+    return adapters.table(spark, d, "part").select(
+        "p_partkey",
+        text.clean_name(F.concat(F.lit(" - "), F.repeat(F.concat("p_name", F.lit("  · \t")), F.pmod("p_partkey", F.lit(12)).cast("int") + 1))).alias("name")
+    )
 
 
 def period_and_label(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.table(spark, d, "orders").select("o_orderkey", text.period_of(F.col("o_orderdate")).alias("period"), text.category_label(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit("_")))).alias("label"), text.dollars(F.col("o_orderkey")).alias("dollars"))
+    rows = adapters.table(spark, d, "orders").select(
+        "o_orderkey", text.period_of(F.col("o_orderdate")).alias("period"),
+        text.category_label(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit("_")))).alias("label"), text.dollars(F.col("o_orderkey")).alias("dollars")
+    )
     return rows.withColumn("ord", text.period_order(F.col("period")))
 
 
 def item_upsert(spark: SparkSession, d: str) -> DataFrame:
-    old = adapters.items(spark, d).filter("item_id % 2 = 0").groupBy(*store.NATURAL).agg(F.min("item_id").alias("item_id"), F.min("canonical_name").alias("canonical_name"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    old = adapters.items(spark, d).filter("item_id % 2 = 0").groupBy(*store.NATURAL).agg(
+        F.min("item_id").alias("item_id"), F.min("canonical_name").alias("canonical_name"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen")
+    )
     seen = adapters.items(spark, d).join(adapters.observations(spark, d).select("item_id", "period"), "item_id").drop("first_seen", "last_seen")
     out = store.upsert_items(old, seen.withColumn("canonical_name", F.col("match_key")))
     return out.select("outlet_id", "match_key", "size_value", "size_unit", "first_seen", "last_seen", F.col("item_id").between(0, 10_000_000_000).alias("was_known"))
@@ -246,7 +265,9 @@ def _own(spark: SparkSession, d: str) -> DataFrame:
 def series_change(spark: SparkSession, d: str) -> DataFrame:
     months = adapters.observations(spark, d).select("period").distinct()
     out = series.change_over(adapters.official_series(spark, d), months).withColumn("span", F.lit("shared"))
-    return out.unionByName(series.whole_change(adapters.official_series(spark, d)).withColumn("span", F.lit("whole"))).select("span", "overlaps", "first_period", "last_period", F.round("change_pct", 6).alias("change_pct"))
+    return out.unionByName(series.whole_change(adapters.official_series(spark, d)).withColumn("span", F.lit("whole"))).select(
+        "span", "overlaps", "first_period", "last_period", F.round("change_pct", 6).alias("change_pct")
+    )
 
 
 def series_rebased(spark: SparkSession, d: str) -> DataFrame:
@@ -332,7 +353,9 @@ def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def link_items(spark: SparkSession, d: str) -> DataFrame:
-    return linking.link_items(*_parsed(spark, d)).select("outlet_id", "size_value", "period", "position", "new_key", "match_key", F.round("score", 6).alias("score"), "is_new", "item_id")
+    return linking.link_items(*_parsed(spark, d)).select(
+        "outlet_id", "size_value", "period", "position", "new_key", "match_key", F.round("score", 6).alias("score"), "is_new", "item_id"
+    )
 
 
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -348,12 +371,16 @@ def link_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_renames(spark: SparkSession, d: str) -> DataFrame:
-    return reports.renames(linking.link_items(*_history(spark, d))).groupBy("outlet_id", "old_key", "new_key", "score").agg(F.count("*").alias("months"), F.min("period").alias("first_period"))
+    return reports.renames(linking.link_items(*_history(spark, d))).groupBy("outlet_id", "old_key", "new_key", "score").agg(
+        F.count("*").alias("months"), F.min("period").alias("first_period")
+    )
 
 
 def key_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The ratio of each item's key to that of the item after it and to its manufacturer's."""
-    rows = adapters.table(spark, d, "part").select("p_partkey", text.match_key(F.col("p_name")).alias("key"), text.match_key(F.concat("p_name", F.lit(" "), "p_brand")).alias("longer"))
+    rows = adapters.table(spark, d, "part").select(
+        "p_partkey", text.match_key(F.col("p_name")).alias("key"), text.match_key(F.concat("p_name", F.lit(" "), "p_brand")).alias("longer")
+    )
     after = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("key").alias("other"))
     joined = rows.join(after, "p_partkey")
     return joined.select("p_partkey", F.round(similarity(F.col("key"), F.col("other")), 6).alias("next"), F.round(similarity(F.col("other"), F.col("longer")), 6).alias("brand"))
@@ -367,15 +394,22 @@ def permission_audit(spark: SparkSession, d: str) -> DataFrame:
     urls = adapters.table(spark, d, "pages").select("url")
     host = F.lower(F.try_parse_url("url", F.lit("HOST")))
     kind = F.pmod(F.length("host"), F.lit(5))
-    robots = urls.select(host.alias("host")).distinct().select("host", F.when(kind == 0, 403).when(kind == 1, 404).otherwise(200).alias("status"), F.when(kind == 2, "User-agent: *\nDisallow: /en\nCrawl-delay: 10").when(kind == 3, "User-agent: *\nDisallow:").otherwise("User-agent: *\nDisallow: /").alias("body"))
+    robots = urls.select(host.alias("host")).distinct().select(
+        "host", F.when(kind == 0, 403).when(kind == 1, 404).otherwise(200).alias("status"),
+        F.when(kind == 2, "User-agent: *\nDisallow: /en\nCrawl-delay: 10").when(kind == 3, "User-agent: *\nDisallow:").otherwise("User-agent: *\nDisallow: /").alias("body")
+    )
     return permissions.permission_audit(urls, robots)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        index_overall, index_by_category, index_maintained, index_summary, category_summary, index_links, excluded_moves, item_price_changes, price_movers_up, price_movers_down, basket_summary, joined_observations, joined_bucketed, broken_rules, dataset_summary, datasets_available,
-        recent_log, outlet_violations, coverage, run_report, run_totals, page_outcomes, known_items, restricted_run, page_snapshots, replaced_months, appended_log, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert, dimension_sync, clear_dataset, series_flatten, series_change,
-        series_rebased, comparison, headline_gap, page_items, trailing_prices, swept_items, parse_report, fragment_report, sweep_report, link_items, link_history, history_renames, key_similarity, rename_report, permission_audit,
+        index_overall, index_by_category, index_maintained, index_summary, category_summary, index_links, excluded_moves, item_price_changes,
+        price_movers_up, price_movers_down, basket_summary, joined_observations, joined_bucketed, broken_rules, dataset_summary, datasets_available,
+        recent_log, outlet_violations, coverage, run_report, run_totals, page_outcomes, known_items, restricted_run, page_snapshots,
+        replaced_months, appended_log, parse_price, split_size, match_key, clean_name, period_and_label, item_upsert, observation_upsert,
+        dimension_sync, clear_dataset, series_flatten, series_change, series_rebased, comparison, headline_gap, page_items, trailing_prices,
+        swept_items, parse_report, fragment_report, sweep_report, link_items, link_history, history_renames, key_similarity, rename_report,
+        permission_audit,
     )
 }

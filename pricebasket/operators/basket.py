@@ -65,8 +65,14 @@ def chain(linked: DataFrame, single: DataFrame, settings: Settings = DEFAULTS) -
     full = linked.withColumn("_link", F.coalesce("link", F.lit(1.0)))
     note = F.when(F.col("ord") == 1, BASE).when(F.coalesce("candidates", F.lit(0)) == 0, NO_PAIRS).when(F.col("matched_items") == 0, ALL_EXCLUDED).otherwise("")
     value = F.lit(settings.base_value) * F.product("_link").over(chained)
-    points = full.select("slice", "period", "ord", value.alias("value"), F.coalesce("matched_items", F.lit(0)).cast("bigint").alias("matched_items"), F.col("_link").alias("link"), note.alias("note"))
-    alone = single.select("slice", "period", F.lit(1).alias("ord"), F.lit(settings.base_value).alias("value"), F.lit(0).cast("bigint").alias("matched_items"), F.lit(1.0).alias("link"), F.lit(BASE).alias("note"))
+    points = full.select(
+        "slice", "period", "ord", value.alias("value"), F.coalesce("matched_items", F.lit(0)).cast("bigint").alias("matched_items"),
+        F.col("_link").alias("link"), note.alias("note")
+    )
+    alone = single.select(
+        "slice", "period", F.lit(1).alias("ord"), F.lit(settings.base_value).alias("value"), F.lit(0).cast("bigint").alias("matched_items"),
+        F.lit(1.0).alias("link"), F.lit(BASE).alias("note")
+    )
     return points.unionByName(alone)
 
 
@@ -103,8 +109,14 @@ def published_excluded(excluded: DataFrame) -> DataFrame:
 
 def index_summary(published: DataFrame) -> DataFrame:
     """slice, latest period and value, total change of the published values; the change is null with fewer than two points."""
-    whole = published.groupBy("slice").agg(F.count("*").alias("points"), F.min_by("value", "ord").alias("_first"), F.max_by("value", "ord").alias("latest_value"), F.max_by("period", "ord").alias("latest_period"))
-    return whole.select("slice", "points", "latest_period", "latest_value", F.when(F.col("points") > 1, (F.try_divide(F.col("latest_value"), F.nullif("_first", F.lit(0.0))) - 1) * 100).alias("total_change_pct"))
+    whole = published.groupBy("slice").agg(
+        F.count("*").alias("points"), F.min_by("value", "ord").alias("_first"), F.max_by("value", "ord").alias("latest_value"),
+        F.max_by("period", "ord").alias("latest_period")
+    )
+    return whole.select(
+        "slice", "points", "latest_period", "latest_value",
+        F.when(F.col("points") > 1, (F.try_divide(F.col("latest_value"), F.nullif("_first", F.lit(0.0))) - 1) * 100).alias("total_change_pct")
+    )
 
 
 def category_summary(summary: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:

@@ -42,7 +42,9 @@ def page_texts(pages: DataFrame, outlets: DataFrame, settings: Settings = DEFAUL
                 swept = not any(usable(*p) for p in pairs)
                 if swept:
                     pairs = html.by_sweep(found)
-                out += [(page.outlet_id, page.period, k, n, p, swept, blocks, page.item) for k, (n, p) in enumerate(pairs)] or [(page.outlet_id, page.period, None, None, None, swept, blocks, page.item)]
+                out += [
+                    (page.outlet_id, page.period, k, n, p, swept, blocks, page.item) for k, (n, p) in enumerate(pairs)
+                ] or [(page.outlet_id, page.period, None, None, None, swept, blocks, page.item)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TEXTS.split(", ")]).astype({"position": "Int32", "blocks": "int32"})
 
     return flat.mapInPandas(run, TEXTS)
@@ -50,7 +52,10 @@ def page_texts(pages: DataFrame, outlets: DataFrame, settings: Settings = DEFAUL
 
 def page_items(texts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Usable items of each page, each name and price once, the first."""
-    named = texts.filter("name_text is not null").select("outlet_id", "period", "position", "used_fallback", clean_name(F.col("name_text")).alias("observed_name"), parse_price(F.col("price_text"), settings).alias("price_cents"))
+    named = texts.filter("name_text is not null").select(
+        "outlet_id", "period", "position", "used_fallback", clean_name(F.col("name_text")).alias("observed_name"),
+        parse_price(F.col("price_text"), settings).alias("price_cents")
+    )
     good = named.filter(F.col("price_cents").isNotNull() & (F.length("observed_name") >= 3))
     once = Window.partitionBy("outlet_id", "period", F.lower("observed_name"), "price_cents").orderBy("position")
     first = good.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")

@@ -28,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         small_least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(small_least, F.col("a") == F.col("n")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        small = large.join(small_least, F.col("a") == F.col("n")).select(
+            F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
+        ).filter("a != b").distinct()
         after = stored(edges.sparkSession, small, "edges")
         mark, now = before, after
         before = _mark(now)

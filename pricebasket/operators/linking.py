@@ -61,7 +61,9 @@ def rarest_grams(grams: DataFrame, counts: DataFrame, q: int, threshold: float)
     either end at least (2 q - 1) M - (q - 1) (both lengths - 1) q-grams are common; all but one fewer than that may be left out.
     """
     shortest = threshold / (2 - threshold)
-    ordered = grams.join(counts.select(F.col("gram").alias("_gram"), "n"), F.col("gram") == F.col("_gram"), "left").groupBy("bucket", "key", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("_grams"))
+    ordered = grams.join(counts.select(F.col("gram").alias("_gram"), "n"), F.col("gram") == F.col("_gram"), "left").groupBy("bucket", "key", "length").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("_grams")
+    )
     least = F.greatest(F.ceil(_gain(q, threshold) * (F.col("length") + F.ceil(F.col("length") * shortest - SLACK)) + (q - 1) - SLACK), F.lit(1))
     kept = F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - least + 1, F.lit(1)).cast("int"))
     return ordered.withColumn("gram", F.explode(kept)).select("bucket", "key", "length", "gram.gram")
@@ -86,7 +88,9 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio_from(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return found.withColumn("score", score("a", "b")).filter("score > 0").select(F.struct("bucket", F.col("a").alias("key")).alias("a"), F.struct("bucket", F.col("b").alias("key")).alias("b"), "score")
+    return found.withColumn("score", score("a", "b")).filter("score > 0").select(
+        F.struct("bucket", F.col("a").alias("key")).alias("a"), F.struct("bucket", F.col("b").alias("key")).alias("b"), "score"
+    )
 
 
 @dataclass(frozen=True)
@@ -117,7 +121,10 @@ def near_pairs(new: DataFrame, index: KeyIndex, threshold: float) -> DataFrame:
 def _at(period: Column | str, position: Column | str, key: Column | str, stored_first: bool = False) -> Column:
     """A key's or row's place in the fold: stored keys before all rows, rows by month, page and key, nulls last."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return F.struct(F.lit(not stored_first).alias("row"), col(period).isNull().alias("no_period"), col(period).alias("period"), col(position).isNull().alias("no_position"), col(position).alias("position"), col(key).alias("key"))
+    return F.struct(
+        F.lit(not stored_first).alias("row"), col(period).isNull().alias("no_period"), col(period).alias("period"), col(position).isNull().alias("no_position"),
+        col(position).alias("position"), col(key).alias("key")
+    )
 
 
 def _folded(groups: DataFrame) -> DataFrame:
@@ -188,11 +195,16 @@ def link_items(parsed: DataFrame, known: DataFrame, settings: Settings = DEFAULT
     same = [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BUCKET), F.col("new_key") == F.col("match_key")]
     exact = rows.join(own, same, "left_semi").withColumn("match_key", F.col("new_key")).withColumn("score", F.lit(1.0)).withColumn("is_new", F.lit(False))
     bucket = F.struct(*BUCKET)
-    rest = rows.join(own, same, "left_anti").withColumn("node", F.struct(bucket.alias("bucket"), F.col("new_key").alias("key"))).withColumn("at", _at("period", "position", "new_key"))
+    rest = rows.join(own, same, "left_anti").withColumn(
+        "node", F.struct(bucket.alias("bucket"), F.col("new_key").alias("key"))
+    ).withColumn("at", _at("period", "position", "new_key"))
     rest = stored(spark, rest, "linking")
 
     new = rest.groupBy("node").agg(F.min("at").alias("at")).withColumn("unlinked", F.lit(True))
-    old = items.select(F.struct(bucket.alias("bucket"), F.col("match_key").alias("key")).alias("node"), _at("first_seen", F.lit(None).cast("long"), "match_key", stored_first=True).alias("at"), F.lit(False).alias("unlinked"))
+    old = items.select(
+        F.struct(bucket.alias("bucket"), F.col("match_key").alias("key")).alias("node"),
+        _at("first_seen", F.lit(None).cast("long"), "match_key", stored_first=True).alias("at"), F.lit(False).alias("unlinked")
+    )
     nodes = stored(spark, new.unionByName(old), "linking")
     keys = nodes.filter("unlinked").select("node.bucket", "node.key")
     pairs = near_pairs(keys, index or computed_index(nodes.filter("not unlinked").select("node.bucket", "node.key"), longest_gram(threshold)), threshold)
@@ -209,8 +221,12 @@ def link_items(parsed: DataFrame, known: DataFrame, settings: Settings = DEFAULT
     standing = pairs.join(renamed, F.col("a") == F.col("_gone"), "left_semi").join(renamed, F.col("b") == F.col("_gone"), "left_anti")
     better = standing.withColumn("_best", F.max("score").over(before.rowsBetween(Window.unboundedPreceding, -1))).filter("_best is null or score > _best")
     best = better.select("a", F.col("b.key").alias("match_key"), "score", "b_at", F.lead("b_at").over(before).alias("_until"))
-    linked = rest.join(best, (F.col("node") == F.col("a")) & (F.col("b_at") < F.col("at")) & (F.col("_until").isNull() | (F.col("at") < F.col("_until")))).withColumn("is_new", F.lit(False))
-    founding = rest.join(renamed, F.col("node") == F.col("_gone"), "left_anti").join(new.select(F.col("node").alias("_node"), F.col("at").alias("_first")), F.col("node") == F.col("_node"))
+    linked = rest.join(
+        best, (F.col("node") == F.col("a")) & (F.col("b_at") < F.col("at")) & (F.col("_until").isNull() | (F.col("at") < F.col("_until")))
+    ).withColumn("is_new", F.lit(False))
+    founding = rest.join(renamed, F.col("node") == F.col("_gone"), "left_anti").join(
+        new.select(F.col("node").alias("_node"), F.col("at").alias("_first")), F.col("node") == F.col("_node")
+    )
     founding = founding.withColumn("match_key", F.col("new_key")).withColumn("score", F.lit(1.0))
     # rows alike in month, place and key: one is the first
     first = founding.filter("at = _first").withColumn("is_new", F.row_number().over(Window.partitionBy("node").orderBy("at")) == 1)

@@ -10,9 +10,14 @@ from pricebasket.functions.text import period_order
 
 def item_price_changes(observations: DataFrame, published: bool = True) -> DataFrame:
     """Unless published, figures are not rounded. From (item_id, item, outlet, category, period, price): two aggregates, the second on few rows an item."""
-    priced = observations.groupBy("item_id", "period").agg(F.avg("price").alias("price"), F.min("item").alias("item"), F.min("outlet").alias("outlet"), F.min("category").alias("category")).filter("price is not null")
+    priced = observations.groupBy("item_id", "period").agg(
+        F.avg("price").alias("price"), F.min("item").alias("item"), F.min("outlet").alias("outlet"), F.min("category").alias("category")
+    ).filter("price is not null")
     at, when = F.struct("period", "price"), F.struct(period_order(F.col("period")), "period")
-    whole = priced.groupBy("item_id").agg(F.count("*").alias("_n"), F.min_by(at, when).alias("a"), F.max_by(at, when).alias("b"), F.min("item").alias("item"), F.min("outlet").alias("outlet"), F.min("category").alias("category"))
+    whole = priced.groupBy("item_id").agg(
+        F.count("*").alias("_n"), F.min_by(at, when).alias("a"), F.max_by(at, when).alias("b"), F.min("item").alias("item"), F.min("outlet").alias("outlet"),
+        F.min("category").alias("category")
+    )
     whole = whole.filter("_n > 1 and a.price > 0")
     out = whole.select(
         "item_id", "item", "outlet", "category", F.col("a.period").alias("first_period"), F.col("b.period").alias("last_period"), F.col("a.price").alias("first_price"), F.col("b.price").alias("last_price"),

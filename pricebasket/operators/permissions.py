@@ -57,7 +57,9 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     lines = lines.select("host", "n", "word", kind.alias("kind"), value.alias("value")).filter("kind is not null")
     down = Window.partitionBy("host").orderBy("n")
     starts = (F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(down), F.lit("")) != "agent")
-    lines = lines.withColumn("starts", starts).withColumn("group", F.sum(F.col("starts").cast("int")).over(down)).withColumn("blanks", F.sum((F.col("kind") == "blank").cast("int")).over(down))
+    lines = lines.withColumn("starts", starts).withColumn("group", F.sum(F.col("starts").cast("int")).over(down)).withColumn(
+        "blanks", F.sum((F.col("kind") == "blank").cast("int")).over(down)
+    )
     own = Window.partitionBy("host", "group")
     # a blank line ends a group; rules before any agent, or after a blank line, are nobody's
     lines = lines.withColumn("first", F.min(F.when(F.col("starts"), F.col("blanks"))).over(own)).filter("group > 0 and kind != 'blank' and blanks = first")
@@ -72,7 +74,10 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     digits = F.when((F.col("word") == "crawl-delay") & F.col("value").rlike("^[0-9]+$"), F.col("value"))
     lines = lines.withColumn("delay", F.max_by(digits, F.when(digits.isNotNull(), F.col("n"))).over(Window.partitionBy("host")))
     is_path = F.col("word").isin("allow", "disallow")
-    return lines.select("host", F.col("n").alias("number"), F.when(is_path, rule_path(F.col("value"))).alias("path"), ((F.col("word") == "allow") | (F.col("value") == "")).alias("allow"), "delay")
+    return lines.select(
+        "host", F.col("n").alias("number"), F.when(is_path, rule_path(F.col("value"))).alias("path"),
+        ((F.col("word") == "allow") | (F.col("value") == "")).alias("allow"), "delay"
+    )
 
 
 def host_of(url: Column) -> Column:
@@ -93,7 +98,9 @@ def first_rules(asked: DataFrame, rules: DataFrame) -> DataFrame:
     """url and allow of the first rule that each (url, host, path) begins with, if there is one."""
     once = rules.filter("path is not null").groupBy("host", "path").agg(F.min_by("allow", "number").alias("allow"), F.min("number").alias("number"))
     lengths = once.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))  # as many as the longest rule has letters, at most
-    prefixes = asked.join(lengths, "host").select("url", "host", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))).alias("path"))
+    prefixes = asked.join(lengths, "host").select(
+        "url", "host", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))).alias("path")
+    )
     return prefixes.join(once, ["host", "path"]).groupBy("url").agg(F.min_by("allow", "number").alias("allow"))
 
 
@@ -111,7 +118,9 @@ def permission_audit(urls: DataFrame, robots: DataFrame, settings: Settings = DE
     status, ruled, slow = F.col("status"), F.col("status") == 200, F.col("delay") > settings.crawl_delay
     closed = status.isNull() | status.isin(401, 403)
     refused = ruled & ~F.coalesce("allow", F.lit(True))
-    reason = F.when(closed, "robots.txt could not be read; refusing").when(refused, "disallowed by robots.txt").when(ruled & slow, F.concat(F.lit("allowed; crawl delay of "), F.col("delay").cast("string"), F.lit(" s"))).otherwise("allowed by robots.txt")
+    reason = F.when(closed, "robots.txt could not be read; refusing").when(refused, "disallowed by robots.txt").when(
+        ruled & slow, F.concat(F.lit("allowed; crawl delay of "), F.col("delay").cast("string"), F.lit(" s"))
+    ).otherwise("allowed by robots.txt")
     return joined.select("url", "host", "status", (~closed & ~refused).alias("allowed"), reason.alias("reason"))
 
 

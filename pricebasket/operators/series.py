@@ -15,7 +15,9 @@ def rebase(series: DataFrame, period: str | DataFrame, value: str = "value") ->
     """
     wanted = series.filter(F.col("period") == period) if isinstance(period, str) else series.join(F.broadcast(period.toDF("period").limit(1)), "period", "left_semi")
     base = wanted.agg(F.first(value).alias("_base"))  # one row, whatever the series
-    return series.join(F.broadcast(base)).withColumn(value, F.when(F.coalesce(F.col("_base"), F.lit(0.0)) != 0, F.col(value) / F.col("_base") * 100).otherwise(F.col(value))).drop("_base")
+    return series.join(F.broadcast(base)).withColumn(
+        value, F.when(F.coalesce(F.col("_base"), F.lit(0.0)) != 0, F.col(value) / F.col("_base") * 100).otherwise(F.col(value))
+    ).drop("_base")
 
 
 def change_over(series: DataFrame, periods: DataFrame, value: str = "cpi") -> DataFrame:
@@ -46,6 +48,8 @@ def comparison(own: DataFrame, cpi: DataFrame, name: str, cpi_name: str, rebase_
 
 def headline(summary: DataFrame, cpi_change: DataFrame, span: DataFrame) -> DataFrame:
     """Own change (0 if none), the official change, the gap in points and how they compare (C4). One row each."""
-    one = summary.select(F.coalesce("total_change_pct", F.lit(0.0)).alias("own_change_pct")).join(F.broadcast(cpi_change.select(F.col("change_pct").alias("cpi_change_pct")))).join(F.broadcast(span))
+    one = summary.select(F.coalesce("total_change_pct", F.lit(0.0)).alias("own_change_pct")).join(
+        F.broadcast(cpi_change.select(F.col("change_pct").alias("cpi_change_pct")))
+    ).join(F.broadcast(span))
     gap = F.col("own_change_pct") - F.col("cpi_change_pct")
     return one.withColumn("gap_points", gap).withColumn("verdict", F.when(gap > 0, "faster than").when(gap <= 0, "slower than"))

@@ -22,9 +22,15 @@ def id_collisions(items: DataFrame) -> DataFrame:
 
 def upsert_items(items: DataFrame, seen: DataFrame) -> DataFrame:
     """items with those of seen (natural key, canonical_name, period): first names and months stay, last_seen is the latest month (L3)."""
-    new = seen.groupBy(*NATURAL).agg(F.min_by("canonical_name", "period").alias("_name"), F.min("period").alias("_from"), F.max("period").alias("_to")).withColumnsRenamed({c: f"_{c}" for c in NATURAL})
+    new = seen.groupBy(*NATURAL).agg(
+        F.min_by("canonical_name", "period").alias("_name"), F.min("period").alias("_from"), F.max("period").alias("_to")
+    ).withColumnsRenamed({c: f"_{c}" for c in NATURAL})
     joined = items.join(new, [items[c].eqNullSafe(F.col(f"_{c}")) for c in NATURAL], "full_outer")
-    whole = joined.select(*(F.when(F.col("item_id").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in NATURAL), "item_id", F.coalesce("canonical_name", "_name").alias("canonical_name"), F.least("first_seen", "_from").alias("first_seen"), F.greatest("last_seen", "_to").alias("last_seen"))
+    whole = joined.select(
+        *(F.when(F.col("item_id").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in NATURAL), "item_id",
+        F.coalesce("canonical_name", "_name").alias("canonical_name"), F.least("first_seen", "_from").alias("first_seen"),
+        F.greatest("last_seen", "_to").alias("last_seen")
+    )
     return whole.withColumn("item_id", F.coalesce("item_id", item_id()))
 
 
@@ -36,7 +42,9 @@ def known_items(items: DataFrame, outlet_id: str) -> DataFrame:
 def upsert_observations(existing: DataFrame, new: DataFrame) -> DataFrame:
     """One observation an item, month and dataset: the last written, of one page the later row (L6). Partial maxima precede the shuffle."""
     key = ("item_id", "period", "dataset")
-    both = existing.select(*key, "price_cents", "observed_name", "scraped_at", F.lit(-1).alias("position")).unionByName(new.select(*key, "price_cents", "observed_name", "scraped_at", F.col("position").cast("int").alias("position")))
+    both = existing.select(*key, "price_cents", "observed_name", "scraped_at", F.lit(-1).alias("position")).unionByName(
+        new.select(*key, "price_cents", "observed_name", "scraped_at", F.col("position").cast("int").alias("position"))
+    )
     last = both.groupBy(*key).agg(F.max(F.struct("scraped_at", "position", "price_cents", "observed_name")).alias("r"))
     return last.select(*key, "r.price_cents", "r.observed_name", "r.scraped_at")
 
@@ -77,7 +85,9 @@ def dataset_summary(observations: DataFrame, items: DataFrame, dataset: str) ->
     """One row: counts, and first and last month; zeros and nulls for no rows."""
     own = observations.filter(F.col("dataset") == dataset)
     of_item = own.groupBy("item_id").agg(F.count("*").alias("n"), F.collect_set("period").alias("periods")).join(items.select("item_id", "outlet_id"), "item_id")
-    months = own.join(items.select("item_id"), "item_id", "left_semi").groupBy("period").agg(F.count("*").alias("n")).agg(F.count("*").alias("periods"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+    months = own.join(items.select("item_id"), "item_id", "left_semi").groupBy("period").agg(F.count("*").alias("n")).agg(
+        F.count("*").alias("periods"), F.min("period").alias("first_period"), F.max("period").alias("last_period")
+    )
     whole = of_item.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.count("*").alias("items"), F.count_distinct("outlet_id").alias("outlets"))
     return whole.join(F.broadcast(months))
 

@@ -19,7 +19,10 @@ def outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     place = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     rows = table(spark, sf_dir, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("r_name").alias("category"), F.concat(F.lit("https://outlet"), "s_suppkey", F.lit(".example.com/menu")).alias("url"))
+    return rows.select(
+        F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("r_name").alias("category"),
+        F.concat(F.lit("https://outlet"), "s_suppkey", F.lit(".example.com/menu")).alias("url")
+    )
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,10 @@ def priced(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFrame:
 def collection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "supplier").count()
     status = F.when(F.col("o_orderstatus") == "F", "fetched").when(F.col("o_orderstatus") == "O", "skipped").otherwise("error")
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % n).cast("string").alias("outlet_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ran_at"), status.alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("items_found"), F.col("o_orderkey").cast("bigint").alias("entry"))
+    return table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % n).cast("string").alias("outlet_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ran_at"), status.alias("status"),
+        F.lit(None).cast("string").alias("reason"), F.lit(0).alias("items_found"), F.col("o_orderkey").cast("bigint").alias("entry")
+    )
 
 
 def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +72,12 @@ def official_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload(spark: SparkSession, sf_dir: str, series_id: str = "SERIES") -> DataFrame:
     """The monthly means as the official payload, with an annual mean and a missing value to drop."""
-    month = official_series(spark, sf_dir).select(F.struct(F.substring("period", 1, 4).alias("year"), F.concat(F.lit("M"), F.substring("period", 6, 2)).alias("period"), F.col("cpi").cast("string").alias("value")).alias("d"))
+    month = official_series(spark, sf_dir).select(
+        F.struct(
+            F.substring("period", 1, 4).alias("year"), F.concat(F.lit("M"), F.substring("period", 6, 2)).alias("period"),
+            F.col("cpi").cast("string").alias("value")
+        ).alias("d")
+    )
     extra = F.array(*(F.struct(F.lit(y).alias("year"), F.lit(p).alias("period"), F.lit(v).alias("value")) for y, p, v in (("1999", "M13", "1.0"), ("2024", "M01", "-"))))
     whole = month.agg(F.concat(F.collect_list("d"), extra).alias("data"))  # one entry a month
     return whole.select(F.lit("REQUEST_SUCCEEDED").alias("status"), F.struct(F.array(F.struct(F.lit(series_id).alias("seriesID"), "data")).alias("series")).alias("Results"))
@@ -75,8 +86,13 @@ def payload(spark: SparkSession, sf_dir: str, series_id: str = "SERIES") -> Data
 def menu_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages of 50 items each, made from the items, and their outlets' selectors; items stand twice, some lack a price."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", F.format_string("$%.2f", 1 + F.pmod("p_partkey", F.lit(200)).cast("double") / 4).alias("p"))
-    block = F.concat(F.lit('<div class="menu-item"><h3 class="n"><a>'), "p_name", F.lit(" No "), "k", F.lit("</a></h3>"), F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit('<span class="p">'), "p", F.lit("</span>"))), F.lit("</div>"))
-    page = rows.withColumn("outlet_id", F.floor(F.col("k") / 50).cast("string")).groupBy("outlet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))), lambda x: F.concat(x.b, x.b)), "\n").alias("html"))
+    block = F.concat(
+        F.lit('<div class="menu-item"><h3 class="n"><a>'), "p_name", F.lit(" No "), "k", F.lit("</a></h3>"),
+        F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit('<span class="p">'), "p", F.lit("</span>"))), F.lit("</div>")
+    )
+    page = rows.withColumn("outlet_id", F.floor(F.col("k") / 50).cast("string")).groupBy("outlet_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))), lambda x: F.concat(x.b, x.b)), "\n").alias("html")
+    )
     pages = page.select("outlet_id", F.lit("2024-01").alias("period"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
     selectors = F.struct(F.lit(".menu-item").alias("item"), F.lit(".n a").alias("name"), F.lit("span.p").alias("price"))
     return pages, pages.select(F.col("outlet_id").alias("id"), selectors.alias("selectors"))
@@ -86,7 +102,10 @@ def plain_pages(spark: SparkSession, sf_dir: str, selector: str) -> tuple[DataFr
     """Pages of 50 items, each a paragraph of a bold name and a price after it; the selector picks the paragraphs or not. Items stand twice, some lack a price."""
     k = F.col("p_partkey")
     price = F.when(k % 7 == 0, "").otherwise(F.format_string(" <i>$%.2f</i>", 1 + F.pmod(k, F.lit(200)).cast("double") / 4))
-    rows = table(spark, sf_dir, "part").select(k.alias("k"), F.floor(k / 50).cast("string").alias("outlet_id"), F.concat(F.lit("<p><b>"), "p_name", F.lit(" No. "), k, F.lit("x</b>"), price, F.lit("</p>")).alias("b"))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("k"), F.floor(k / 50).cast("string").alias("outlet_id"),
+        F.concat(F.lit("<p><b>"), "p_name", F.lit(" No. "), k, F.lit("x</b>"), price, F.lit("</p>")).alias("b")
+    )
     page = rows.groupBy("outlet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda x: F.concat(x.b, x.b)), "\n").alias("html"))
     pages = page.select("outlet_id", F.lit("2024-01").alias("period"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
     selectors = F.struct(F.lit(selector).alias("item"), F.lit("b").alias("name"), F.lit("::text_after_name").alias("price"))

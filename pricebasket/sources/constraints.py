@@ -39,7 +39,10 @@ OBSERVATION_RULES = (
     Rule("a dataset is real or simulated", holds="dataset in ('real', 'simulated')"),
     Rule("a month is written as year and month", holds="period rlike '^[0-9]{4}-[0-9]{2}$'"),
 )
-LOG_RULES = (Rule("outlet, time and status are there", present=("outlet_id", "ran_at", "status")), Rule("a status is fetched, skipped or error", holds="status in ('fetched', 'skipped', 'error')"))
+LOG_RULES = (
+    Rule("outlet, time and status are there", present=("outlet_id", "ran_at", "status")),
+    Rule("a status is fetched, skipped or error", holds="status in ('fetched', 'skipped', 'error')")
+)
 
 
 def referring(name: str, columns: str | tuple[str, ...], among: DataFrame) -> Rule:

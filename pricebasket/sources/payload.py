@@ -18,7 +18,10 @@ def flatten_series(payload: DataFrame, series_id: str) -> DataFrame:
     each = payload.filter("status = 'REQUEST_SUCCEEDED'").select(F.explode("Results.series").alias("s")).filter(F.col("s.seriesID") == series_id)
     entry = each.select(F.explode("s.data").alias("d"))
     period = cpi_period(F.col("d.year"), F.col("d.period"))
-    rows = entry.select(period.alias("period"), F.col("d.value").try_cast("double").alias("cpi"), F.col("d.year").try_cast("int").alias("year"), F.substring("d.period", 2, 2).try_cast("int").alias("month"))
+    rows = entry.select(
+        period.alias("period"), F.col("d.value").try_cast("double").alias("cpi"), F.col("d.year").try_cast("int").alias("year"),
+        F.substring("d.period", 2, 2).try_cast("int").alias("month")
+    )
     return rows.filter("period is not null and cpi is not null")
 
 

@@ -27,7 +27,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def write_observations(merged: DataFrame, path: str) -> None:
     """Replaces the (dataset, period) partitions that the rows are in, and no other (S5). The rows must not come from the same files unless stored before."""
-    merged.repartition("dataset", "period", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "period").mode("overwrite").parquet(path)
+    merged.repartition(
+        "dataset", "period", F.pmod(F.xxhash64("item_id"), F.lit(16))
+    ).write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "period").mode("overwrite").parquet(path)
 
 
 def append_log(log: DataFrame, path: str, mode: str = "append") -> None:
