@@ -212,7 +212,8 @@ def training_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, spans: int =
     cut = rows.select("lang", F.xxhash64("doc_id", "text").alias("_hash"), F.array_distinct(F.array(*(F.substring("text", p, SPAN) for p in places))).alias("spans"))
     # those with the smallest hashes are sought among a few times as many, by each language's count, so that what meets in a task is bounded
     share = rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(SOUGHT * sample_docs)) / F.count("*")).alias("_share"))
-    few = cut.join(share, F.col("lang") == F.col("_lang")).filter(F.col("_hash") / F.lit(float(1 << 64)) + 0.5 <= F.col("_share")).select("lang", "_hash", "spans")
+    # one row a language, of which the network on the driver has a unit each: few
+    few = cut.join(F.broadcast(share), F.col("lang") == F.col("_lang")).filter(F.col("_hash") / F.lit(float(1 << 64)) + 0.5 <= F.col("_share")).select("lang", "_hash", "spans")
     by_hash = Window.partitionBy("lang").orderBy("_hash", "spans")
     return few.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= sample_docs).select("lang", "spans")
 
