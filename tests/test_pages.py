@@ -129,3 +129,15 @@ def test_fragments_are_in_a_body():
 
 def test_a_price_in_two_pieces():
     assert html.by_sweep(html.parse("<div><b>Soup $</b><i>5</i><i>$4</i></div>")) == [("Soup", "$4")]
+
+
+def test_the_sweep_over_raw_pages():
+    """What the sweep finds on given pages is what a tree gives."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column("html").to_pylist()
+    assert len(pages) > 20
+    for page in pages:
+        read = html.parse(page or "")
+        assert html.by_sweep(read) == Tree(read).swept()
+        assert html.select(read, "div p") == Tree(read).select("div p")
