@@ -360,13 +360,26 @@ def _dealt(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("node", "text", "_to"), run, "to long, side int, node long, members binary")
 
 
+def _frequent(counted: DataFrame, most: int = FREQUENT) -> pa.Table:
+    """About `most` rows of (doc_id: a shingle, c: its count), those with the highest counts: from counts of counts, so that no task sorts them all."""
+    counted = stored(counted.sparkSession, counted.withColumn("level", F.floor(8 * F.log2("c")).cast("int")), "frequent")
+    left, chosen = most, F.lit(False)
+    for row in sorted(counted.groupBy("level").agg(F.count("*").alias("k")).collect(), reverse=True):  # eight levels each time that counts double
+        share = min(1.0, left / row["k"])
+        chosen = chosen | ((F.col("level") == row["level"]) & (F.xxhash64("doc_id") / F.lit(float(1 << 64)) + 0.5 <= share))
+        left -= row["k"]
+        if left <= 0:
+            break
+    return counted.filter(chosen).select("doc_id", "c").toArrow()
+
+
 def near_duplicates(df: DataFrame, percent: int = PERCENT, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of (doc_id, text)."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("_row"), whole_text().alias("text"))
     found = stored(spark, sets(docs), "sets")
     known = found.filter("n is not null")
-    often = found.filter("n is null").groupBy("doc_id").agg(F.sum("node").alias("c")).orderBy(F.desc("c"), "doc_id").limit(FREQUENT).toArrow()
+    often = _frequent(found.filter("n is null").groupBy("doc_id").agg(F.sum("node").alias("c")))
     order = Order(often.column("doc_id").to_numpy().view(np.uint64), often.column("c").to_numpy())
     some = stored(spark, candidates(prefixes(docs, order, percent), percent, paired), "candidates")
     pairs = some.filter("block is null").groupBy("a", "b", "need").agg(F.count("*").alias("k")).filter("k >= need")
