@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from pricebasket.llm import language, records, sharding
+from pricebasket.llm import jaccard, language, records, sharding
 from pricebasket.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,3 +41,13 @@ def test_rows_of_one_id_are_dealt_out(spark):
     again = sharding.interleave(docs.repartition(7).select("doc_id", "text", "source")).collect()
     assert {x["text_crc32"]: (x["shard"], x["slot"]) for x in again} == first
     assert docs.agg(F.count("*")).first()[0] == len(first)
+
+
+def test_frequent_shingles_by_counts_of_counts(spark):
+    rows = [(k, 1 + k % 50) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "doc_id long, c long")
+    assert sorted(jaccard._frequent(frame, 10_000).column("doc_id").to_pylist()) == list(range(5000))
+    some = jaccard._frequent(frame, 1000).to_pylist()
+    assert 800 <= len(some) <= 1200 and min(x["c"] for x in some) >= 38
+    assert sum(x["c"] >= 45 for x in some) == sum(c >= 45 for _, c in rows)
+    assert jaccard._frequent(frame.limit(0)).num_rows == 0
