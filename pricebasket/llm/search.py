@@ -230,14 +230,15 @@ class ShardIndex:
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = TERMS) -> DataFrame:
-    """query_id, rank, doc_id, score: the k documents of docs with the best BM25 score for each row of queries (both: doc_id, text)."""
+    """query_id, rank, doc_id, score: the k documents of docs with the best BM25 score for each id of queries (both: doc_id, text).
+    Where one query id has several texts, the smallest is asked for; documents of one id are documents each."""
     spark = docs.sparkSession
     docs, queries = (x.select(F.col("doc_id").cast("long"), whole_text().alias("text")).filter("doc_id is not null") for x in (docs, queries))
     known = stored(spark, statistics(docs), "statistics")
     whole = known.filter("term is null").first()
     n, mean = (whole["n"], whole["total"] / whole["n"]) if whole else (0, 0.0)
     idf = F.log(1 + (F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    asked = query_terms(queries.dropDuplicates(["doc_id"]))
+    asked = query_terms(queries.groupBy("doc_id").agg(F.min("text").alias("text")))
     weighed = stored(spark, asked.join(known.filter("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight")), "query-terms")
     index = stored(spark, build_index(docs), "index")
     first = index.agg(F.min("shard")).first()[0]
