@@ -44,8 +44,7 @@ def index_maintained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _published_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.priced(spark, d)
-    points = basket.build_index(basket.overall_slice(rows).unionByName(basket.category_slices(rows))).points
+    points = basket.build_index(basket.all_slices(adapters.priced(spark, d))).points
     return basket.index_summary(basket.published_points(points))
 
 

@@ -1,7 +1,8 @@
 """The chained matched-model index (I1 to I11), for all slices at once.
 
 Input: one row an observation with slice, item_id, period and price. Every frame that comes out carries the slice, so
-the overall index and those of all categories are one job. Rows of an item are shuffled once, after a partial mean.
+the overall index and those of all categories are one job. All that is done row by row asks for rows of an item to be together, so input that is
+dealt by item_id is not shuffled again; what leaves the items are sums by slice and two months, from which all else follows.
 """
 
 from __future__ import annotations
@@ -30,13 +31,24 @@ def overall_slice(observations: DataFrame) -> DataFrame:
     return observations.withColumn("slice", F.lit(OVERALL))
 
 
-def category_slices(observations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Rows of the categories with enough outlets and items, counted on raw rows; the slice is the category."""
-    enough = (
-        observations.filter("category is not null").groupBy("category").agg(F.count_distinct("outlet_id").alias("_outlets"), F.count_distinct("item_id").alias("_items"))
+def _enough(observations: DataFrame, settings: Settings) -> DataFrame:
+    """The categories with enough outlets and items, counted on raw rows, each item's once. Broadcast: a row a category."""
+    seen = observations.filter("category is not null").select("category", "outlet_id", "item_id").distinct()
+    return F.broadcast(
+        seen.groupBy("category").agg(F.count_distinct("outlet_id").alias("_outlets"), F.count_distinct("item_id").alias("_items"))
         .filter((F.col("_outlets") >= settings.min_outlets_per_category) & (F.col("_items") >= settings.min_items_per_category)).select("category")
     )
-    return observations.join(enough, "category", "left_semi").withColumn("slice", F.col("category"))
+
+
+def category_slices(observations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Rows of the categories with enough outlets and items; the slice is the category."""
+    return observations.join(_enough(observations, settings), "category", "left_semi").withColumn("slice", F.col("category"))
+
+
+def all_slices(observations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Each row once overall, and once for its category if that has enough outlets and items; rows stay where they are."""
+    enough = _enough(observations, settings).withColumn("_shown", F.col("category"))
+    return observations.join(enough, "category", "left").withColumn("slice", F.explode(F.array_compact(F.array(F.lit(OVERALL), "_shown")))).drop("_shown")
 
 
 def judge(pairs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -59,8 +71,8 @@ def excluded_moves(judged: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     return judged.filter("_jump").select("slice", "period", "item_id", F.col("previous").alias("from"), F.col("price").alias("to"), "change_pct", reason.alias("reason"))
 
 
-def chain(linked: DataFrame, single: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Points (I7, I8) of each slice's months (slice, period, ord) with their links, if they have one, and of slices of a single month."""
+def chain(linked: DataFrame, single: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """Points (I7, I8) of each slice's months (slice, period, ord) with their links, if they have one, and of slices of a single month, if these stand apart."""
     chained = Window.partitionBy("slice").orderBy("ord")
     full = linked.withColumn("_link", F.coalesce("link", F.lit(1.0)))
     note = F.when(F.col("ord") == 1, BASE).when(F.coalesce("candidates", F.lit(0)) == 0, NO_PAIRS).when(F.col("matched_items") == 0, ALL_EXCLUDED).otherwise("")
@@ -69,6 +81,8 @@ def chain(linked: DataFrame, single: DataFrame, settings: Settings = DEFAULTS) -
         "slice", "period", "ord", value.alias("value"), F.coalesce("matched_items", F.lit(0)).cast("bigint").alias("matched_items"),
         F.col("_link").alias("link"), note.alias("note")
     )
+    if single is None:
+        return points
     alone = single.select(
         "slice", "period", F.lit(1).alias("ord"), F.lit(settings.base_value).alias("value"), F.lit(0).cast("bigint").alias("matched_items"),
         F.lit(1.0).alias("link"), F.lit(BASE).alias("note")
@@ -81,21 +95,44 @@ def numbered(periods: DataFrame) -> DataFrame:
     return periods.withColumn("ord", F.row_number().over(Window.partitionBy("slice").orderBy(period_order(F.col("period")), "period")))
 
 
-def build_index(sliced: DataFrame, settings: Settings = DEFAULTS) -> Index:
+def _in_time(sliced: DataFrame, settings: Settings) -> DataFrame:
+    """A row a slice, item and month: its price, the item's month before and its price, judged; and whether the item has enough months."""
     named = sliced.filter("item_id is not null and period is not null")
     priced = named.groupBy("slice", "item_id", "period").agg(F.avg("price").alias("price"))
     of_item = Window.partitionBy("slice", "item_id")
-    kept = priced.withColumn("_n", F.count("*").over(of_item)).filter(F.col("_n") >= settings.min_periods_per_item).drop("_n")
+    ordered = of_item.orderBy(period_order(F.col("period")), "period")
+    lagged = priced.withColumns({"previous": F.lag("price").over(ordered), "before": F.lag("period").over(ordered)})
+    kept = lagged.withColumn("_kept", F.count("*").over(of_item) >= settings.min_periods_per_item)  # after the lag: one sort serves both
+    paired = F.col("_kept") & F.col("before").isNotNull() & F.col("price").isNotNull() & F.col("previous").isNotNull()
+    return judge(kept.withColumn("_paired", paired), settings)
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """Months (slice, period) with their order, the month before, and the sums of the pairs between the two, null for no pairs."""
+    used = F.col("_paired") & ~F.col("_jump")
+    sums = rows.groupBy("slice", "before", "period").agg(
+        F.count_if("_kept").alias("_rows"), F.count_if("_paired").alias("candidates"), F.count_if(used).alias("matched_items"),
+        F.sum(F.when(used, F.col("price"))).alias("price"), F.sum(F.when(used, F.col("previous"))).alias("previous"),
+    )
+    # at most as many entries as there are months before
+    pairs = F.collect_list(F.when(F.col("candidates") > 0, F.struct("before", "candidates", "matched_items", "price", "previous")))
+    months = sums.groupBy("slice", "period").agg(F.sum("_rows").alias("_rows"), pairs.alias("_pairs"))
     # a slice of one period is one base point, before any item is dropped
-    single = named.groupBy("slice").agg(F.min("period").alias("period"), F.max("period").alias("_last")).filter("period = _last").select("slice", "period")
-    periods = numbered(kept.select("slice", "period").distinct().join(single.select("slice"), "slice", "left_anti"))
-    in_time = of_item.orderBy("ord")
-    lagged = kept.join(periods, ["slice", "period"]).withColumn("previous", F.lag("price").over(in_time)).withColumn("_before", F.lag("ord").over(in_time))
-    pairs = lagged.filter((F.col("_before") == F.col("ord") - 1) & F.col("price").isNotNull() & F.col("previous").isNotNull())
-    judged = judge(pairs, settings)
-    links = link_sums(judged, "slice", "ord")
-    points = chain(periods.join(links, ["slice", "ord"], "left"), single, settings)
-    return Index(points, excluded_moves(judged, settings), links.join(periods, ["slice", "ord"]))
+    alone = months.withColumn("_alone", F.count("*").over(Window.partitionBy("slice")) == 1)
+    ordered = numbered(alone.filter("_alone or _rows > 0")).withColumn("before", F.lag("period").over(Window.partitionBy("slice").orderBy("ord")))
+    pair = F.get(F.filter("_pairs", lambda x: x.before == F.col("before")), F.lit(0))
+    return ordered.withColumn("_pair", pair).select(
+        "slice", "before", "period", "ord", "_pair.candidates", "_pair.matched_items",
+        F.try_divide("_pair.price", F.nullif("_pair.previous", F.lit(0.0))).alias("link"),
+    )
+
+
+def build_index(sliced: DataFrame, settings: Settings = DEFAULTS) -> Index:
+    rows = _in_time(sliced, settings)
+    linked = _linked(rows)
+    neighbours = F.broadcast(linked.select("slice", "before", "period"))  # a row a slice and month
+    jumps = rows.filter("_paired and _jump").join(neighbours, ["slice", "before", "period"])
+    return Index(chain(linked, settings=settings), excluded_moves(jumps, settings), linked.filter("candidates is not null").drop("before"))
 
 
 def published_points(points: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pricebasket.functions.text import match_key, period_of
 
 CALM = "p_retailprice * (1 - l_discount) * (1 + l_tax)"
 WILD = "l_extendedprice / l_quantity"
+# What a task that has an item's rows together takes, so that its memory stays as it is when the tables grow.
+ROWS_A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFrame:
+def item_parts(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts observations are dealt into by item: by their number, which the files' footers tell."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // ROWS_A_TASK))
+
+
+def observations(spark: SparkSession, sf_dir: str, price: str = CALM, parts: int | None = None) -> DataFrame:
+    """parts: dealt by item into so many."""
     lines = table(spark, sf_dir, "lineitem")
+    if parts:
+        lines = lines.repartition(parts, "l_partkey")
     if "p_retailprice" in price:
         lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(
@@ -45,10 +55,12 @@ def observations(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFra
 
 
 def priced(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFrame:
-    """Observations with outlets and categories, the index's input."""
+    """Observations with outlets and categories, the index's input; dealt by item, in parts whose number grows with the rows."""
+    parts = item_parts(spark, sf_dir)
     own = items(spark, sf_dir).select("item_id", F.col("canonical_name").alias("item"), "outlet_id")
     outlet = outlets(spark, sf_dir).select(F.col("id").alias("outlet_id"), F.col("name").alias("outlet"), "category")
-    return observations(spark, sf_dir, price).select("item_id", "period", F.col("price_cents").alias("price")).join(own.join(outlet, "outlet_id"), "item_id")
+    rows = observations(spark, sf_dir, price, parts).select("item_id", "period", F.col("price_cents").alias("price"))
+    return rows.join(own.join(outlet, "outlet_id").repartition(parts, "item_id"), "item_id")
 
 
 def collection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
