@@ -1,5 +1,7 @@
 """What a task holds does not grow with the tables: rows are dealt by item into parts whose number follows theirs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +35,13 @@ def test_all_slices_are_the_union_of_slices(spark):
     one, two = basket.all_slices(rows), basket.overall_slice(rows).unionByName(basket.category_slices(rows))
     count = lambda df: sorted(map(tuple, df.groupBy("slice", "item_id", "period").agg(F.count("*"), F.sum("price")).collect()))
     assert count(one) == count(two)
+
+
+def test_movers_keep_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100)
+    assert QUERIES["item_price_changes"](spark, SMALL).rdd.getNumPartitions() == adapters.item_parts(spark, SMALL) > 40
+
+
+def test_a_basket_is_counted_where_its_items_are(spark):
+    text = plan(QUERIES["basket_summary"](spark, SMALL))
+    assert "REPARTITION_BY_NUM" in text and not re.search(r"Exchange hashpartitioning\(item_id#\d+L?, period", text)
