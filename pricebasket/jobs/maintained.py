@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricebasket.functions.text import period_order
 from pricebasket.operators import basket
 from pricebasket.session import run_folder, stored
 from pricebasket.settings import DEFAULTS, Settings
@@ -25,6 +26,8 @@ from pricebasket.sources.schemas import EXCLUDED
 from pricebasket.sources.snapshots import Change, Snapshot, Store
 
 PARTS = 64
+# Prices that a task sorts by item and month, about.
+ROWS_A_TASK = 250_000
 PRICES = "item_id bigint, period string, price double, outlet_id string, category string"
 ITEM_MONTHS = "item_id bigint, outlet_id string, category string, months array<string>"
 MONTHS = "slice string, period string, items bigint, eligible bigint"
@@ -68,11 +71,16 @@ def _neighbours(months: DataFrame) -> DataFrame:
 
 
 def _redone(prices: DataFrame, pairs: DataFrame, items: DataFrame | None, settings: Settings) -> DataFrame:
-    """The judged pairs of prices of the given neighbours; items: those in the basket, if not all with two prices are."""
-    own = _slices(prices if items is None else prices.join(items, "item_id", "left_semi")).filter("price is not null").select("slice", "item_id", "period", "price")
-    now = own.join(F.broadcast(pairs.select("slice", "before", "period")), ["slice", "period"])
-    then = own.select("slice", "item_id", F.col("period").alias("before"), F.col("price").alias("previous"))
-    return basket.judge(now.join(then, ["slice", "item_id", "before"]), settings)
+    """The judged pairs of prices of the given neighbours; items: those in the basket, if not all with two prices are.
+
+    Between two neighbours an item of the basket has no month, so its price before is that of its last month read; rows of an item meet once, for all slices.
+    """
+    parts = max(prices.sparkSession.sparkContext.defaultParallelism, -(-prices.count() // ROWS_A_TASK))
+    dealt = prices.select("item_id", "period", "price", "category").filter("price is not null").repartition(parts, "item_id")
+    own = _slices(dealt if items is None else dealt.join(items, "item_id", "left_semi"))
+    in_time = Window.partitionBy("slice", "item_id").orderBy(period_order(F.col("period")), "period")
+    lagged = own.select("slice", "item_id", "period", "price").withColumns({"before": F.lag("period").over(in_time), "previous": F.lag("price").over(in_time)})
+    return basket.judge(lagged.join(F.broadcast(pairs.select("slice", "before", "period")), ["slice", "before", "period"]), settings)
 
 
 def replace_months(store: Store, rows: DataFrame, months: list[str], batch: str, settings: Settings = DEFAULTS) -> Snapshot:

@@ -5,8 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pricebasket.jobs import maintained
 from pricebasket.jobs.queries import QUERIES
 from pricebasket.operators import basket
+from pricebasket.settings import DEFAULTS
 from pricebasket.sources import adapters
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,3 +47,14 @@ def test_movers_keep_the_parts(spark, monkeypatch):
 def test_a_basket_is_counted_where_its_items_are(spark):
     text = plan(QUERIES["basket_summary"](spark, SMALL))
     assert "REPARTITION_BY_NUM" in text and not re.search(r"Exchange hashpartitioning\(item_id#\d+L?, period", text)
+
+
+def test_redone_links_need_no_join_of_prices_with_prices(spark):
+    prices = spark.createDataFrame(
+        [(1, "2026-01", 10.0, "1", "a"), (1, "2026-02", 11.0, "1", "a"), (1, "2026-03", None, "1", "a"), (2, "2026-01", 5.0, "2", None), (2, "2026-03", 6.0, "2", None)],
+        maintained.PRICES,
+    )
+    pairs = spark.createDataFrame([(s, b, p) for s in ("overall", "a") for b, p in (("2026-01", "2026-02"), ("2026-02", "2026-03"))], "slice string, before string, period string")
+    judged = maintained._redone(prices, pairs, None, DEFAULTS)
+    assert sorted(map(tuple, judged.select("slice", "before", "period", "item_id", "price", "previous").collect())) == [(s, "2026-01", "2026-02", 1, 11.0, 10.0) for s in ("a", "overall")]
+    assert len(re.findall(r"^.*Join .*$", plan(judged), re.M)) == 1
