@@ -12,7 +12,7 @@ from pricebasket.functions import text
 from pricebasket.functions.similarity import similarity
 from pricebasket.jobs import maintained
 from pricebasket.operators import basket, extract, linking, movers, permissions, reports, series, store
-from pricebasket.session import new_path
+from pricebasket.session import new_path, stored
 from pricebasket.sources import adapters, bucketed, constraints, outlets, payload, schemas, snapshots, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,12 +344,18 @@ def sweep_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.parse_report(pages, extract.page_items(texts), texts)
 
 
-def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All items in the month they are first seen in, and as the earlier store those of the first month of all."""
+def _first(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The first month of each item that is observed, and as the earlier store the items of the first month of all."""
     items = adapters.items(spark, d)
-    first = adapters.observations(spark, d).groupBy("item_id").agg(F.min("period").alias("period"))
+    first = stored(spark, adapters.first_months(spark, d).join(items.select("item_id"), "item_id", "left_semi"), "first-months")
     known = first.join(F.broadcast(first.agg(F.min("period").alias("period"))), "period", "left_semi")
-    return first.join(items, "item_id").withColumn("position", F.col("item_id")), items.join(known, "item_id", "left_semi")
+    return first, items.join(known, "item_id", "left_semi")
+
+
+def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All items in the month they are first seen in, and the earlier store."""
+    first, known = _first(spark, d)
+    return first.join(adapters.items(spark, d), "item_id").withColumn("position", F.col("item_id")), known
 
 
 def link_items(spark: SparkSession, d: str) -> DataFrame:
@@ -359,10 +365,9 @@ def link_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every item in every month that it is observed in, and as the earlier store those of the first month of all."""
-    rows, items = adapters.observations(spark, d).select("item_id", "period").distinct(), adapters.items(spark, d)
-    first = rows.join(rows.agg(F.min("period").alias("period")), "period", "left_semi").select("item_id")
-    return rows.join(items, "item_id").withColumn("position", F.col("item_id")), items.join(first, "item_id", "left_semi")
+    """Every item in every month that it is observed in, and the earlier store."""
+    items = adapters.items(spark, d).repartition(adapters.item_parts(spark, d), "item_id")
+    return adapters.item_months(spark, d).join(items, "item_id").withColumn("position", F.col("item_id")), _first(spark, d)[1]
 
 
 def link_history(spark: SparkSession, d: str) -> DataFrame:

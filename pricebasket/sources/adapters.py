@@ -54,6 +54,18 @@ def observations(spark: SparkSession, sf_dir: str, price: str = CALM, parts: int
     )
 
 
+def item_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id and period of observations, once each; dealt by item."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate").repartition(item_parts(spark, sf_dir), "l_partkey")
+    return lines.select(F.col("l_partkey").cast("bigint").alias("item_id"), period_of(F.col("l_shipdate")).alias("period")).distinct()
+
+
+def first_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id and the first period of its observations; dealt by item. The least of moments, which have a fixed width, is kept without a sort."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate").repartition(item_parts(spark, sf_dir), "l_partkey")
+    return lines.groupBy(F.col("l_partkey").cast("bigint").alias("item_id")).agg(period_of(F.min("l_shipdate")).alias("period"))
+
+
 def priced(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFrame:
     """Observations with outlets and categories, the index's input; dealt by item, in parts whose number grows with the rows."""
     parts = item_parts(spark, sf_dir)

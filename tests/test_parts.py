@@ -58,3 +58,11 @@ def test_redone_links_need_no_join_of_prices_with_prices(spark):
     judged = maintained._redone(prices, pairs, None, DEFAULTS)
     assert sorted(map(tuple, judged.select("slice", "before", "period", "item_id", "price", "previous").collect())) == [(s, "2026-01", "2026-02", 1, 11.0, 10.0) for s in ("a", "overall")]
     assert len(re.findall(r"^.*Join .*$", plan(judged), re.M)) == 1
+
+
+def test_first_months_are_found_without_a_sort(spark):
+    first = adapters.first_months(spark, SMALL)
+    assert "SortAggregate" not in plan(first)
+    rows = adapters.observations(spark, SMALL).select("item_id", "period")
+    assert sorted(first.collect()) == sorted(rows.groupBy("item_id").agg(F.min("period").alias("period")).collect())
+    assert sorted(adapters.item_months(spark, SMALL).collect()) == sorted(rows.distinct().collect())
