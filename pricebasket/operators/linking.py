@@ -31,6 +31,8 @@ BUCKET = ["outlet_id", "size_value", "size_unit"]
 LONGEST_GRAM = 3
 #: Rounds before what is left is looked at by components; pairs of a component that one task folds, at most.
 ROUNDS, TOGETHER = 2, 100_000
+#: Rows that a task has together, about, so that its memory stays as it is when the rows grow.
+ROWS_A_TASK = 250_000
 #: Added where a bound is rounded, so that floating point loses no pair.
 SLACK = 1e-6
 
@@ -127,6 +129,19 @@ def _at(period: Column | str, position: Column | str, key: Column | str, stored_
     )
 
 
+def _name(bucket: str, key: str) -> Column:
+    """What a node is known by where rows are dealt: text alone, since keys with floating numbers are rewritten by joins and groups and so dealt again."""
+    return F.struct(
+        F.col(f"{bucket}outlet_id").cast("string").alias("outlet_id"), (F.col(f"{bucket}size_value").cast("double") + 0.0).cast("string").alias("size"),
+        F.col(f"{bucket}size_unit").cast("string").alias("size_unit"), F.col(key).alias("key")
+    )
+
+
+def _named(df: DataFrame, node: str) -> DataFrame:
+    """df with a node's name and the name's hash, which stands before it in joins and groups: these sort by a number then."""
+    return df.withColumn("_name", _name(f"{node}.bucket.", f"{node}.key")).withColumn("_hash", F.xxhash64("_name"))
+
+
 def _folded(groups: DataFrame) -> DataFrame:
     """_gone: what _later_partners gives, each component in one task, by the fold itself."""
 
@@ -189,22 +204,19 @@ def link_items(parsed: DataFrame, known: DataFrame, settings: Settings = DEFAULT
     """
     spark, threshold = parsed.sparkSession, settings.match_threshold
     ship_package(spark)
-    rows = parsed.select(*BUCKET, "period", F.col("position").cast("long").alias("position"), F.col("match_key").alias("new_key")).filter("new_key != ''")
-    items = known.filter("match_key != ''").groupBy(*BUCKET, "match_key").agg(F.min(F.coalesce("first_seen", F.lit(""))).alias("first_seen"))
-    own = items.withColumnsRenamed({c: f"_{c}" for c in BUCKET})
-    same = [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BUCKET), F.col("new_key") == F.col("match_key")]
-    exact = rows.join(own, same, "left_semi").withColumn("match_key", F.col("new_key")).withColumn("score", F.lit(1.0)).withColumn("is_new", F.lit(False))
-    bucket = F.struct(*BUCKET)
-    rest = rows.join(own, same, "left_anti").withColumn(
-        "node", F.struct(bucket.alias("bucket"), F.col("new_key").alias("key"))
-    ).withColumn("at", _at("period", "position", "new_key"))
-    rest = stored(spark, rest, "linking")
-
-    new = rest.groupBy("node").agg(F.min("at").alias("at")).withColumn("unlinked", F.lit(True))
-    old = items.select(
-        F.struct(bucket.alias("bucket"), F.col("match_key").alias("key")).alias("node"),
-        _at("first_seen", F.lit(None).cast("long"), "match_key", stored_first=True).alias("at"), F.lit(False).alias("unlinked")
-    )
+    rows = parsed.filter("match_key != ''").select(_name("", "match_key").alias("name"), "period", F.col("position").cast("long").alias("position"))
+    rows = stored(spark, rows.withColumn("hash", F.xxhash64("name")), "linking")
+    # all that follows needs a node's rows together: they are dealt once a pass, in parts whose number follows the rows
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK)), "hash", "name").withColumn("at", _at("period", "position", "name.key"))
+    items = known.filter("match_key != ''").groupBy(_name("", "match_key").alias("name")).agg(F.min(F.coalesce("first_seen", F.lit(""))).alias("first_seen"))
+    items = items.withColumn("hash", F.xxhash64("name"))
+    same = (F.col("hash") == F.col("_hash")) & (F.col("name") == F.col("_name"))
+    bucket = F.struct("name.outlet_id", F.col("name.size").cast("double").alias("size_value"), "name.size_unit")
+    node = F.struct(bucket.alias("bucket"), "name.key").alias("node")
+
+    rest = dealt.join(items.select(F.col("hash").alias("_hash"), F.col("name").alias("_name")), same, "left_anti")
+    new = rest.groupBy("hash", "name").agg(F.min("at").alias("at")).select(node, "at", F.lit(True).alias("unlinked"))
+    old = items.select(node, _at("first_seen", F.lit(None).cast("long"), "name.key", stored_first=True).alias("at"), F.lit(False).alias("unlinked"))
     nodes = stored(spark, new.unionByName(old), "linking")
     keys = nodes.filter("unlinked").select("node.bucket", "node.key")
     pairs = near_pairs(keys, index or computed_index(nodes.filter("not unlinked").select("node.bucket", "node.key"), longest_gram(threshold)), threshold)
@@ -214,24 +226,22 @@ def link_items(parsed: DataFrame, known: DataFrame, settings: Settings = DEFAULT
     covered = pairs.filter("not b_at.row").select(F.col("a").alias("_gone")).distinct()
     earlier = pairs.filter("b_at.row and b_at < a_at").select("a", "a_at", "b", "b_at")
     open_pairs = earlier.join(covered, F.col("a") == F.col("_gone"), "left_anti").join(covered, F.col("b") == F.col("_gone"), "left_anti")
-    renamed = stored(spark, covered.unionByName(_later_partners(open_pairs)), "linking")
+    renamed = stored(spark, covered.unionByName(_later_partners(open_pairs)).distinct(), "linking")
 
     # of the keys that a renamed key can belong to, those better than all that stood before them, with the time until the next
     before = Window.partitionBy("a").orderBy("b_at")
     standing = pairs.join(renamed, F.col("a") == F.col("_gone"), "left_semi").join(renamed, F.col("b") == F.col("_gone"), "left_anti")
     better = standing.withColumn("_best", F.max("score").over(before.rowsBetween(Window.unboundedPreceding, -1))).filter("_best is null or score > _best")
-    best = better.select("a", F.col("b.key").alias("match_key"), "score", "b_at", F.lead("b_at").over(before).alias("_until"))
-    linked = rest.join(
-        best, (F.col("node") == F.col("a")) & (F.col("b_at") < F.col("at")) & (F.col("_until").isNull() | (F.col("at") < F.col("_until")))
+    best = _named(better, "a").select("_name", "_hash", F.col("b.key").alias("match_key"), "score", "b_at", F.lead("b_at").over(before).alias("_until"))
+    state = _named(nodes.join(renamed, F.col("node") == F.col("_gone"), "left"), "node").select("_name", "_hash", "unlinked", F.col("_gone").isNotNull().alias("_later"))
+    ended = dealt.join(state, same).drop("_name", "_hash")
+    linked = ended.filter("_later").join(
+        best, same & (F.col("b_at") < F.col("at")) & (F.col("_until").isNull() | (F.col("at") < F.col("_until")))
     ).withColumn("is_new", F.lit(False))
-    founding = rest.join(renamed, F.col("node") == F.col("_gone"), "left_anti").join(
-        new.select(F.col("node").alias("_node"), F.col("at").alias("_first")), F.col("node") == F.col("_node")
-    )
-    founding = founding.withColumn("match_key", F.col("new_key")).withColumn("score", F.lit(1.0))
     # rows alike in month, place and key: one is the first
-    first = founding.filter("at = _first").withColumn("is_new", F.row_number().over(Window.partitionBy("node").orderBy("at")) == 1)
-    again = founding.filter("at != _first").withColumn("is_new", F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("hash", "name").orderBy("at"))
+    own = ended.filter("not _later").withColumn("match_key", F.col("name.key")).withColumn("score", F.lit(1.0)).withColumn("is_new", F.col("unlinked") & (turn == 1))
 
-    columns = [*BUCKET, "period", "position", "new_key", "match_key", "score", "is_new"]
-    both = exact.select(columns).unionByName(linked.select(columns)).unionByName(first.select(columns)).unionByName(again.select(columns))
+    columns = [*(bucket[c].alias(c) for c in BUCKET), "period", "position", F.col("name.key").alias("new_key"), "match_key", "score", "is_new"]
+    both = linked.select(columns).unionByName(own.select(columns))
     return both.withColumn("renamed", F.col("match_key") != F.col("new_key")).withColumn("item_id", item_id())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricebasket.jobs import maintained
 from pricebasket.jobs.queries import QUERIES
-from pricebasket.operators import basket
+from pricebasket.operators import basket, linking
 from pricebasket.settings import DEFAULTS
 from pricebasket.sources import adapters
 
@@ -66,3 +66,29 @@ def test_first_months_are_found_without_a_sort(spark):
     rows = adapters.observations(spark, SMALL).select("item_id", "period")
     assert sorted(first.collect()) == sorted(rows.groupBy("item_id").agg(F.min("period").alias("period")).collect())
     assert sorted(adapters.item_months(spark, SMALL).collect()) == sorted(rows.distinct().collect())
+
+
+def test_linked_rows_are_dealt_in_parts_that_follow_them(spark, monkeypatch):
+    monkeypatch.setattr(linking, "ROWS_A_TASK", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = QUERIES["link_history"](spark, SMALL)
+        text = plan(linked)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(re.findall(r"Exchange hashpartitioning\(hash#\d+L?, name#\d+, (\d+)\), REPARTITION_BY_NUM", text)) == {str(-(-linked.count() // 500))}
+    own = text[text.index("Window [row_number()") :]  # the rows that are not renamed: dealt once
+    assert own[: own.index("FileScan")].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_one_key_link_alike_whatever_the_parts(spark, monkeypatch):
+    rows = [("o", None if n % 2 else 8.0, "oz", m, p, k) for n, k in enumerate(("cheeseburger", "cheeseburgers", "soup", "soup")) for m in ("2026-02", None, "2026-01") for p in (3, None, 3)]
+    parsed = spark.createDataFrame(rows, "outlet_id string, size_value double, size_unit string, period string, position int, match_key string")
+    known = spark.createDataFrame([("o", None, "oz", "soup", "2025-01")], "outlet_id string, size_value double, size_unit string, match_key string, first_seen string")
+    found = []
+    for n in (1, 1000):
+        monkeypatch.setattr(linking, "ROWS_A_TASK", n)
+        found.append(sorted(map(repr, linking.link_items(parsed, known).collect())))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert sum("is_new=True" in x for x in found[0]) == 3 and not any("new_key='soup'" in x and "size_value=None" in x and "is_new=True" in x for x in found[0])
