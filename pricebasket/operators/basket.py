@@ -32,10 +32,14 @@ def overall_slice(observations: DataFrame) -> DataFrame:
 
 
 def _enough(observations: DataFrame, settings: Settings) -> DataFrame:
-    """The categories with enough outlets and items, counted on raw rows, each item's once. Broadcast: a row a category."""
+    """The categories with enough outlets and items, counted on raw rows, each item's once. Items are counted where they are: what leaves them
+    is a row an outlet. Broadcast: a row a category."""
     seen = observations.filter("category is not null").select("category", "outlet_id", "item_id").distinct()
+    of_item = Window.partitionBy("item_id", "category").orderBy("outlet_id")
+    new = seen.withColumn("_new", F.col("item_id").isNotNull() & (F.row_number().over(of_item) == 1))
+    of_outlet = new.groupBy("category", "outlet_id").agg(F.count_if("_new").alias("_items"))
     return F.broadcast(
-        seen.groupBy("category").agg(F.count_distinct("outlet_id").alias("_outlets"), F.count_distinct("item_id").alias("_items"))
+        of_outlet.groupBy("category").agg(F.count("outlet_id").alias("_outlets"), F.sum("_items").alias("_items"))
         .filter((F.col("_outlets") >= settings.min_outlets_per_category) & (F.col("_items") >= settings.min_items_per_category)).select("category")
     )
 

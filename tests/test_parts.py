@@ -32,6 +32,22 @@ def test_rows_are_read_once_and_stay_with_their_item(spark, name, scans):
     assert len([x for x in text.split("\n") if "Scan parquet" in x and "l_partkey" in x]) == scans  # one more for the gates of categories
 
 
+@pytest.mark.parametrize("name", ["category_summary", "comparison", "excluded_moves", "headline_gap", "index_links", "index_overall", "index_by_category", "price_movers_down", "price_movers_up", "item_price_changes", "basket_summary"])
+def test_all_exchanges_of_lines_and_items_follow_the_rows(spark, monkeypatch, name):
+    """What is dealt by item is dealt in parts whose number follows the rows, on both sides of the join with the items and for whatever comes after it."""
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100)
+    found = re.findall(r"Exchange hashpartitioning\((?:\w+#\d+L?, )*(?:l_partkey|item_id)#\d+L?(?:, \w+#\d+L?)*, (\d+)\)", plan(QUERIES[name](spark, SMALL)))
+    assert len(found) >= 2 and set(found) == {str(adapters.item_parts(spark, SMALL))} and int(found[0]) > 40
+
+
+def test_enough_outlets_and_items_of_a_category(spark):
+    """An item of several outlets is one item; rows without an outlet or an item count as none."""
+    rows = [("a", "1", 1), ("a", "2", 1), ("a", "2", 2), ("a", "2", 3)] + [("b", "1", 1), ("b", "2", 1), ("b", "3", 2), ("b", "3", None), ("b", "3", None)]
+    rows += [("c", "1", n) for n in range(5)] + [("c", None, n) for n in range(5)] + [("d", None, 1), ("d", "1", 2), ("d", "2", 3), (None, "1", 9)]
+    found = basket._enough(spark.createDataFrame(rows * 2, "category string, outlet_id string, item_id long"), DEFAULTS)
+    assert sorted(x[0] for x in found.collect()) == ["a", "d"]
+
+
 def test_all_slices_are_the_union_of_slices(spark):
     rows = adapters.priced(spark, SMALL).unionByName(adapters.priced(spark, SMALL).limit(3).withColumn("category", F.lit(None).cast("string")))
     one, two = basket.all_slices(rows), basket.overall_slice(rows).unionByName(basket.category_slices(rows))
