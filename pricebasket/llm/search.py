@@ -3,18 +3,20 @@
 Index: SHARD documents make a shard, one row of a stored table: postings by term, documents numbered by likeness (those
 with the same most frequent terms stand together, so that blocks differ in what they hold). It is built once for all queries.
 
-Search, in each shard: each term's postings fall into blocks of BLOCK documents, with their greatest impact. For a query
-the bounds of each block are summed from these; blocks are taken in falling order of their sums, and skipped as soon as
-one can't reach the k-th best score. In the blocks taken together, terms are ordered by their greatest bound there; the pivot is
-the term at which the bounds, summed from the least, reach the k-th best score. Documents without a term from the pivot on are
-never looked at; of the others, those whose score so far and whose block's bounds of the terms before the pivot
-don't reach it are skipped; the rest are scored in full. Scores are added in one order of terms, so equal documents tie.
-
-One shard is searched first: its k-th best scores are where the others start. Shards return k rows a query at most, which
+Search, in each shard: each term's postings fall into blocks of BLOCK documents, with their greatest impact. Terms in more than a share
+of COMMON of the shard's documents are common: what they add to each document is bounded by a product of two small matrices, for TOGETHER
+queries at once. For a query the bounds of each block are summed from both; blocks that can't reach the k-th best score are skipped. In
+the others, common terms come first and the rest by their greatest bound; the pivot is the term at which the bounds, summed in this order, reach
+the k-th best score. Only postings of terms from the pivot on are added up; documents are skipped whose sum, with what common terms add
+and with their block's bounds of the other terms before the pivot, doesn't reach it; the rest are scored in full from their own terms.
+Scores are added in one order of terms, so equal documents tie.
+
+Shards are searched in rounds, each of GROWTH - 1 times as many as before at most: the k-th best scores so far are where a round starts, so rows that
+leave a round are some k (GROWTH - 1) a query, whatever the number of shards. Shards return k rows a query at most, which
 are merged by score (then the smaller id). Document frequencies, lengths and counts are those of all documents.
 
 Queries run in groups of TERMS terms, about; a group's terms are broadcast, its results stored, and the broadcast dropped
-before the next, so what the driver holds is bounded whatever the number of queries. Each group reads the index twice at most.
+before the next, so what the driver holds is bounded whatever the number of queries. Each group reads the index once, over all rounds.
 
 Terms are runs of ASCII letters, digits and other than ASCII characters, in lower case as far as ASCII goes, by 64-bit hash. Null
 and empty texts have none: they are never found, and as queries find nothing. Rows without an id can't be named in a
@@ -30,6 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +40,12 @@ from pricebasket.llm.common import Batches, documents, map_batches, stored, whol
 from pricebasket.llm.hashing import mix, signed, span_hashes, together
 
 K1, B, K = 1.2, 0.75, 10
-#: Documents of a block and of a shard; blocks that are looked at together, at first and at most; terms of queries that run together, about.
-BLOCK, SHARD, FIRST, MOST, TERMS = 128, 16_000, 1, 32, 2_000_000
+#: Documents of a block and of a shard; terms of queries that run together, about; how many times as many shards have been searched after a round.
+BLOCK, SHARD, TERMS, GROWTH = 128, 16_000, 2_000_000, 4
+#: The share of documents above which a term is common, the most such terms of a shard (others are as rare ones), and queries multiplied together.
+COMMON, COMMON_TERMS, TOGETHER = 0.06, 1024, 64
+#: What their products of 4-byte floats may be off by, as a share (COMMON_TERMS roundings of 2 ** -24 each at most).
+ROUGH = 1e-4
 #: What sums of bounds may lack by rounding.
 SLACK = 1e-9
 _U = np.uint64
@@ -146,21 +153,33 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class ShardIndex:
-    """A shard as it is searched: impacts of postings, and each term's blocks with their greatest impact."""
+    """A shard as it is searched: impacts of postings, each term's blocks with their greatest impact, common terms' impacts by document, and each document's terms."""
 
     def __init__(self, row: dict[str, bytes], mean: float) -> None:
         held = {k: np.frombuffer(row[k], kind) for k, kind in INDEX.items()}
-        self.ids, self.terms, self.doc = held["ids"], held["terms"], held["doc"].astype(np.int64)
+        self.ids, self.terms, self.doc = held["ids"], held["terms"], held["doc"].astype(np.int32)
         share = held["lengths"] / mean if mean else np.ones(len(self.ids))
         self.impact = held["count"] * (K1 + 1) / (held["count"] + K1 * (1 - B + B * share[self.doc]))
-        self.blocks, self.slot = -(-len(self.ids) // BLOCK), self.doc % BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(held["first"]))
-        key = term * self.blocks + self.doc // BLOCK
-        self.start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.size, self.block = np.diff(np.append(self.start, len(key))), key[self.start] % max(1, self.blocks)
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(key) else np.zeros(0)
+        self.blocks, self.number = -(-len(self.ids) // BLOCK), np.diff(held["first"])
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.number)
+        block = self.doc // BLOCK
+        self.start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.size, self.block = np.diff(np.append(self.start, len(term))), block[self.start]
+        self.most = np.maximum.reduceat(self.impact, self.start) if len(term) else np.zeros(0)
         self.first = np.searchsorted(self.start, held["first"])
-        self.looked = self.held = 0  # postings looked at, and those that the queries' terms have
+        common = np.argsort(-self.number, kind="stable")[:COMMON_TERMS]
+        common = common[self.number[common] > COMMON * len(self.ids)]
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        for k, t in enumerate(common):
+            own = slice(held["first"][t], held["first"][t + 1])
+            self.common[k, self.doc[own]] = self.impact[own]
+        by = np.argsort(held["doc"], kind="stable")  # by document, its terms in order
+        self.doc_term, self.doc_impact = term[by], self.impact[by]
+        self.doc_first = np.append(0, np.cumsum(np.bincount(self.doc, minlength=len(self.ids))))
+        self.weight = np.zeros(len(self.terms))  # of one query's terms, while it is searched
+        self.looked = self.held = 0  # postings looked at (what the product of common terms takes is not counted), and those that the queries' terms have
 
     def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of those of the terms that the shard has, and which they are."""
@@ -168,65 +187,67 @@ class ShardIndex:
         known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
         return at[known], known
 
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best of at least `least`; term: places of the query's terms, in their order."""
-        n = self.first[term + 1] - self.first[term]
-        pair, q = _ranges(self.first[term], n), np.repeat(np.arange(len(term)), n)
-        bound, block = self.most[pair] * weight[q], self.block[pair]
-        self.held += int(self.size[pair].sum())
-        upper = np.bincount(block, bound, self.blocks)
-        order = np.argsort(-upper, kind="stable")[: np.count_nonzero(upper)]
-        rank = np.zeros(self.blocks, np.int64)
-        rank[order] = np.arange(len(order))
-        turn = rank[block]
-        by = np.argsort(turn.astype(np.int16), kind="stable")  # a shard has few blocks: sorted by digits
-        bounds = np.append(0, np.cumsum(np.bincount(turn, minlength=len(order))))
-        ids, scores, at, step = self.ids[:0], np.zeros(0), 0, FIRST
-        while at < len(order) and upper[order[at]] * (1 + SLACK) >= least:
-            end = min(len(order), at + step)
-            found = self._score(by[bounds[at] : bounds[end]], pair, q, bound, turn - at, weight, least)
-            ids, scores = np.concatenate([ids, found[0]]), np.concatenate([scores, found[1]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            least = max(least, float(scores[-1])) if len(scores) == k else least
-            at, step = end, min(MOST, 2 * step)
-        return ids, scores
-
-    def _score(self, own: np.ndarray, pair: np.ndarray, q: np.ndarray, bound: np.ndarray, turn: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the documents of some blocks that may reach `least`; own: the blocks' pairs of term and block; turn: each pair's block among them."""
-        top = np.zeros(len(weight))
-        np.maximum.at(top, q[own], bound[own])
+    def common_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to each document's score, a row a query of (places, weights): but for a share of ROUGH."""
+        weights = np.zeros((len(queries), len(self.common)), np.float32)
+        for k, (term, weight) in enumerate(queries):
+            row = self.row[term]
+            weights[k, row[row >= 0]] = weight[row >= 0]
+        return weights @ self.common
+
+    def search(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of at least `least`; term: places of the query's terms, in their order; sums: what common terms add."""
+        self.held += int(self.number[term].sum())
+        sums = self.common_sums([(term, weight)])[0] if sums is None else sums
+        if least <= 0:
+            least = self._reached(sums * (1 - ROUGH), k)
+        rare = self.row[term] < 0
+        place, heavy = term[rare], weight[rare]
+        n = self.first[place + 1] - self.first[place]
+        pair = _ranges(self.first[place], n)
+        bound, block = self.most[pair] * np.repeat(heavy, n), self.block[pair]
+        # blocks that can't reach it are skipped
+        rest, whole = np.bincount(block, bound, self.blocks), sums.reshape(self.blocks, BLOCK).max(axis=1) * (1 + ROUGH)
+        open_block = (rest + whole) * (1 + SLACK) >= least
+        if not open_block.any():
+            return self.ids[:0], np.zeros(0)
+        # the pivot: common terms come first, then the others by their greatest bound; documents without a term from there on don't reach it
+        usable = open_block[block]
+        top = np.maximum.reduceat(np.where(usable, bound, 0.0), np.cumsum(n) - n) if len(place) else np.zeros(0)
         rising = np.argsort(top, kind="stable")
-        pivotal = np.zeros(len(weight), bool)
-        pivotal[rising[np.cumsum(top[rising]) * (1 + SLACK) >= least]] = True  # from the pivot on
-        late = pivotal[q[own]]
-        blocks = int(turn[own].max()) + 1
-        ahead, before = own[late], own[~late]
-        post, slot = self._postings(ahead, pair, turn)
-        partial = np.bincount(slot, self.impact[post] * np.repeat(weight[q[ahead]], self.size[pair[ahead]]), blocks * BLOCK)
-        rest = np.bincount(turn[before], bound[before], blocks)
-        alive = (partial > 0) & ((partial + np.repeat(rest, BLOCK)) * (1 + SLACK) >= least)
+        pivotal = np.zeros(len(place), bool)
+        pivotal[rising[(np.cumsum(top[rising]) + whole[open_block].max()) * (1 + SLACK) >= least]] = True
+        late = np.repeat(pivotal, n)
+        ahead, early = late & usable, usable & ~late
+        size = self.size[pair[ahead]]
+        post = _ranges(self.start[pair[ahead]], size)
+        partial = np.bincount(self.doc[post], self.impact[post] * np.repeat(np.repeat(heavy, n)[ahead], size), self.blocks * BLOCK)
         self.looked += len(post)
-        if not alive.any():
-            return self.ids[:0], np.zeros(0)
-        lively = alive.reshape(blocks, BLOCK).any(axis=1)
-        every = np.append(ahead, before)
-        every = every[lively[turn[every]]]
-        every = every[np.argsort(q[every], kind="stable")]  # sums are made in the order of the query's terms
-        post, slot = self._postings(every, pair, turn)
-        of = np.repeat(q[every], self.size[pair[every]])
-        kept = np.flatnonzero(alive[slot])
-        post, slot, of = post[kept], slot[kept], of[kept]
-        self.looked += int(np.count_nonzero(~pivotal[of]))
-        scores, at = np.bincount(slot, self.impact[post] * weight[of], blocks * BLOCK), np.zeros(blocks * BLOCK, np.int64)
-        at[slot] = post
-        good = np.flatnonzero(alive & (scores >= least))
-        return self.ids[self.doc[at[good]]], scores[good]
-
-    def _postings(self, own: np.ndarray, pair: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Postings of these pairs, and their documents' places among the blocks looked at."""
-        post = _ranges(self.start[pair[own]], self.size[pair[own]])
-        return post, np.repeat(turn[own] * BLOCK, self.size[pair[own]]) + self.slot[post]
+        before = np.repeat(np.where(open_block, np.bincount(block[early], bound[early], self.blocks), -np.inf), BLOCK)
+        reach = (partial + before + sums * (1 + ROUGH)) * (1 + SLACK)
+        alive = np.flatnonzero(((reach >= least) & (reach > 0))[: len(self.ids)])  # the last block may have fewer documents
+        if len(alive) > 2 * k:
+            least = max(least, self._reached(partial + sums * (1 - ROUGH), k))
+            alive = alive[reach[alive] >= least]
+        scores = self._score(term, weight, alive)
+        good = np.flatnonzero((scores >= least) & (scores > 0))
+        ids, scores = self.ids[alive[good]], scores[good]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
+
+    def _reached(self, low: np.ndarray, k: int) -> float:
+        """What k documents reach, given what each reaches at least."""
+        return max(0.0, float(np.partition(low, len(low) - k)[-k]) * (1 - SLACK)) if len(self.ids) >= k else 0.0
+
+    def _score(self, term: np.ndarray, weight: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Scores of these documents in full, added in the order of the terms."""
+        self.weight[term] = weight
+        n = self.doc_first[alive + 1] - self.doc_first[alive]
+        post = _ranges(self.doc_first[alive], n)
+        added = self.doc_impact[post] * self.weight[self.doc_term[post]]
+        self.weight[term] = 0
+        self.looked += int(np.count_nonzero(added))
+        return np.bincount(np.repeat(np.arange(len(alive)), n), added, len(alive))
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = TERMS) -> DataFrame:
@@ -241,45 +262,56 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = TERMS)
     asked = query_terms(queries.groupBy("doc_id").agg(F.min("text").alias("text")))
     weighed = stored(spark, asked.join(known.filter("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight")), "query-terms")
     index = stored(spark, build_index(docs), "index")
-    first = index.agg(F.min("shard")).first()[0]
+    shards = sorted(r[0] for r in index.select("shard").distinct().collect())  # a number for SHARD documents, about
+    ends = [0]
+    while ends[-1] < len(shards):
+        ends.append(min(len(shards), max(1, GROWTH * ends[-1])))
+    rounds = [index.filter(F.col("shard").between(shards[a], shards[b - 1])) for a, b in zip(ends, ends[1:], strict=False)]
     groups = max(1, -(-weighed.count() // at_once))
-    found = [_group(index, first, weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g), mean, k) for g in range(groups)]
+    found = [_group(rounds, weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g), mean, k) for g in range(groups if rounds else 0)]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    none = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    return reduce(DataFrame.unionByName, found, none).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _group(index: DataFrame, first: int | None, weighed: DataFrame, mean: float, k: int) -> DataFrame:
+def _group(rounds: list[DataFrame], weighed: DataFrame, mean: float, k: int) -> DataFrame:
     """query_id, doc_id, score: each shard's best for a group of queries, stored."""
-    spark, table = index.sparkSession, weighed.toArrow()
+    spark, table = weighed.sparkSession, weighed.toArrow()
     query, term, weight = (table.column(c).to_numpy() for c in ("query_id", "term", "weight"))
     order = np.lexsort((term, query))
     query, term, weight = query[order], term[order], weight[order]
     ids, begins = np.unique(query, return_index=True)
-    begins = np.append(begins, len(query))
-    near = stored(spark, _searched(index.filter(F.col("shard") == first), ids, begins, term, weight, np.zeros(len(ids)), mean, k), "found")
-    reached = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).filter(F.size("s") >= k).select("query_id", F.get("s", F.lit(k - 1)).alias("s")).toArrow()
+    shared = spark.sparkContext.broadcast((ids, np.append(begins, len(query)), term, weight))
+    found: list[DataFrame] = []
     least = np.zeros(len(ids))
-    least[np.searchsorted(ids, reached.column("query_id").to_numpy())] = reached.column("s").to_numpy()
-    rest = stored(spark, _searched(index.filter(F.col("shard") != first), ids, begins, term, weight, least, mean, k), "found")
-    return near.unionByName(rest)
+    for shards in rounds:
+        if found:
+            so_far = reduce(DataFrame.unionByName, found)
+            reached = so_far.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).filter(F.size("s") >= k).select("query_id", F.get("s", F.lit(k - 1)).alias("s")).toArrow()
+            least[np.searchsorted(ids, reached.column("query_id").to_numpy())] = reached.column("s").to_numpy()
+        found.append(stored(spark, _searched(shards, shared, least.copy(), mean, k), "found"))
+    shared.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
-def _searched(index: DataFrame, ids: np.ndarray, begins: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, mean: float, k: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast((ids, begins, term, weight, least))
+def _searched(index: DataFrame, shared: Broadcast, least: np.ndarray, mean: float, k: int) -> DataFrame:
+    reached = index.sparkSession.sparkContext.broadcast(least)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        ids, begins, term, weight, least = shared.value
+        (ids, begins, term, weight), least = shared.value, reached.value
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = ShardIndex({c: batch.column(c)[row].as_py() for c in INDEX}, mean)
                 out: list[list] = [[], [], []]
-                for q in range(len(ids)):
-                    own = slice(begins[q], begins[q + 1])
-                    place, known = shard.find(term[own])
-                    if len(place):
-                        found, scores = shard.search(place, weight[own][known], k, float(least[q]))
-                        for column, values in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
-                            column.append(values)
+                for a in range(0, len(ids), TOGETHER):
+                    asked = [slice(begins[q], begins[q + 1]) for q in range(a, min(len(ids), a + TOGETHER))]
+                    places = [shard.find(term[own]) for own in asked]
+                    own = [(place, weight[x][known]) for x, (place, known) in zip(asked, places, strict=True)]
+                    for q, (place, heavy), sums in zip(range(a, a + TOGETHER), own, shard.common_sums(own), strict=False):
+                        if len(place):
+                            found, scores = shard.search(place, heavy, k, float(least[q]), sums)
+                            for column, values in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
+                                column.append(values)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "doc_id", "score"])
 
