@@ -381,6 +381,22 @@ def test_search_with_many_blocks_and_shards(spark, monkeypatch):
     assert shard.blocks > 10 and 0 < shard.looked < 0.75 * shard.held
 
 
+def test_rows_that_leave_shards_do_not_follow_their_number(spark, monkeypatch):
+    """Rounds start from the scores so far, so 32 shards do not give k rows a query each."""
+    r, found, kept = random.Random(5), [], search.stored
+    frame = spark.createDataFrame([(i, " ".join(r.choice("abcdefghijklmnopqrst") * r.choice([1, 2, 3]) for _ in range(30))) for i in range(960)], "doc_id long, text string").repartition(32)
+
+    def counted(session, df, what):
+        out = kept(session, df, what)
+        if what == "found":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "stored", counted)
+    assert search.top_k(frame, frame.filter("doc_id % 80 = 0"), k=5).count() == 60
+    assert sum(found) < 0.4 * 12 * 5 * 32
+
+
 def test_mixing_meets_targets(spark, empty):
     docs = spark.createDataFrame([(i, "good words here" if i % 3 else "bad !!! words", None, None, 1) for i in range(300)] + [(999, None, None, None, 1)], SCHEMA)
     labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(150)], "doc_id long, quality int, toxic int")
