@@ -36,17 +36,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_parts(spark: SparkSession, sf_dir: str) -> int:
-    """How many parts observations are dealt into by item: by their number, which the files' footers tell."""
-    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // ROWS_A_TASK))
+    """How many parts observations and items are dealt into by item: by their number, which the files' footers tell."""
+    rows = max(table(spark, sf_dir, name).count() for name in ("lineitem", "part"))
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
 
 
 def observations(spark: SparkSession, sf_dir: str, price: str = CALM, parts: int | None = None) -> DataFrame:
-    """parts: dealt by item into so many."""
-    lines = table(spark, sf_dir, "lineitem")
+    """parts: dealt by item into so many, the items' prices too: a part's are hashed, so that neither a broadcast nor a sort grows with the tables."""
+    lines, listed = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     if parts:
-        lines = lines.repartition(parts, "l_partkey")
+        lines, listed = lines.repartition(parts, "l_partkey"), listed.repartition(parts, "p_partkey").hint("shuffle_hash")
     if "p_retailprice" in price:
-        lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(listed, F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(
         F.col("l_partkey").cast("bigint").alias("item_id"), period_of(F.col("l_shipdate")).alias("period"), F.round(F.expr(f"({price}) * 100")).cast("bigint").alias("price_cents"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("scraped_at"), F.when(F.col("l_linestatus") == "F", "real").otherwise("simulated").alias("dataset"),
@@ -72,7 +73,7 @@ def priced(spark: SparkSession, sf_dir: str, price: str = CALM) -> DataFrame:
     own = items(spark, sf_dir).select("item_id", F.col("canonical_name").alias("item"), "outlet_id")
     outlet = outlets(spark, sf_dir).select(F.col("id").alias("outlet_id"), F.col("name").alias("outlet"), "category")
     rows = observations(spark, sf_dir, price, parts).select("item_id", "period", F.col("price_cents").alias("price"))
-    return rows.join(own.join(outlet, "outlet_id").repartition(parts, "item_id"), "item_id")
+    return rows.join(own.join(outlet, "outlet_id").repartition(parts, "item_id").hint("shuffle_hash"), "item_id")
 
 
 def collection_log(spark: SparkSession, sf_dir: str) -> DataFrame:

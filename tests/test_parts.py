@@ -40,6 +40,20 @@ def test_all_exchanges_of_lines_and_items_follow_the_rows(spark, monkeypatch, na
     assert len(found) >= 2 and set(found) == {str(adapters.item_parts(spark, SMALL))} and int(found[0]) > 40
 
 
+@pytest.mark.parametrize("name", ["comparison", "excluded_moves", "headline_gap", "index_links", "index_overall", "price_movers_down", "price_movers_up"])
+def test_items_are_hashed_a_part_at_a_time(spark, name):
+    """Lines meet their items part by part: no broadcast of all items (whose size the files understate), no sort of lines, on small tables as on large ones."""
+    joins = re.findall(r"(\w+Join) \[(?:l_partkey|item_id)#\d+L?\], \[(?:p_partkey|item_id)#\d+L?\]", plan(QUERIES[name](spark, SMALL)))
+    assert joins and set(joins) == {"ShuffledHashJoin"}
+
+
+def test_parts_follow_the_items_too(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100)
+    spark.range(10).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5000).write.parquet(f"{tmp_path}/part.parquet")
+    assert adapters.item_parts(spark, str(tmp_path)) == 50
+
+
 def test_enough_outlets_and_items_of_a_category(spark):
     """An item of several outlets is one item; rows without an outlet or an item count as none."""
     rows = [("a", "1", 1), ("a", "2", 1), ("a", "2", 2), ("a", "2", 3)] + [("b", "1", 1), ("b", "2", 1), ("b", "3", 2), ("b", "3", None), ("b", "3", None)]
