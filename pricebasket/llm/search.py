@@ -8,7 +8,8 @@ of COMMON of the shard's documents are common: what they add to each document is
 queries at once. For a query the bounds of each block are summed from both; blocks that can't reach the k-th best score are skipped. In
 the others, common terms come first and the rest by their greatest bound; the pivot is the term at which the bounds, summed in this order, reach
 the k-th best score. Only postings of terms from the pivot on are added up; documents are skipped whose sum, with what common terms add
-and with their block's bounds of the other terms before the pivot, doesn't reach it; the rest are scored in full from their own terms.
+and with their block's bounds of the other terms before the pivot, doesn't reach it. If some are left, these terms' postings in their blocks
+take the place of the bounds, and what still reaches it, hardly more than what is found, is scored in full from its own terms.
 Scores are added in one order of terms, so equal documents tie.
 
 Shards are searched in rounds, each of GROWTH - 1 times as many as before at most: the k-th best scores so far are where a round starts, so rows that
@@ -217,24 +218,35 @@ class ShardIndex:
         rising = np.argsort(top, kind="stable")
         pivotal = np.zeros(len(place), bool)
         pivotal[rising[(np.cumsum(top[rising]) + whole[open_block].max()) * (1 + SLACK) >= least]] = True
-        late = np.repeat(pivotal, n)
+        by_pair, late = np.repeat(heavy, n), np.repeat(pivotal, n)
         ahead, early = late & usable, usable & ~late
-        size = self.size[pair[ahead]]
-        post = _ranges(self.start[pair[ahead]], size)
-        partial = np.bincount(self.doc[post], self.impact[post] * np.repeat(np.repeat(heavy, n)[ahead], size), self.blocks * BLOCK)
-        self.looked += len(post)
+        partial = self._added(pair[ahead], by_pair[ahead])
         before = np.repeat(np.where(open_block, np.bincount(block[early], bound[early], self.blocks), -np.inf), BLOCK)
-        reach = (partial + before + sums * (1 + ROUGH)) * (1 + SLACK)
+        most = sums * (1 + ROUGH)
+        reach = (partial + before + most) * (1 + SLACK)
         alive = np.flatnonzero(((reach >= least) & (reach > 0))[: len(self.ids)])  # the last block may have fewer documents
-        if len(alive) > 2 * k:
-            least = max(least, self._reached(partial + sums * (1 - ROUGH), k))
-            alive = alive[reach[alive] >= least]
+        if len(alive) > k // 2:
+            # postings before the pivot take the place of bounds: they are fewer than the terms of these documents
+            left = np.zeros(self.blocks, bool)
+            left[alive // BLOCK] = True
+            more = early & left[block]
+            partial += self._added(pair[more], by_pair[more])
+            if len(alive) > 2 * k:
+                least = max(least, self._reached(partial + sums * (1 - ROUGH), k))
+            alive = alive[(partial + most)[alive] * (1 + SLACK) >= least]
         scores = self._score(term, weight, alive)
         good = np.flatnonzero((scores >= least) & (scores > 0))
         ids, scores = self.ids[alive[good]], scores[good]
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
+    def _added(self, pair: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings of these pairs of a term and a block, with these weights, add to each document's score."""
+        size = self.size[pair]
+        post = _ranges(self.start[pair], size)
+        self.looked += len(post)
+        return np.bincount(self.doc[post], self.impact[post] * np.repeat(weight, size), self.blocks * BLOCK)
+
     def _reached(self, low: np.ndarray, k: int) -> float:
         """What k documents reach, given what each reaches at least."""
         return max(0.0, float(np.partition(low, len(low) - k)[-k]) * (1 - SLACK)) if len(self.ids) >= k else 0.0

@@ -381,6 +381,27 @@ def test_search_with_many_blocks_and_shards(spark, monkeypatch):
     assert shard.blocks > 10 and 0 < shard.looked < 0.75 * shard.held
 
 
+def test_few_documents_are_scored_in_full(monkeypatch):
+    """A search that starts from a score scores little more than what it finds: rare terms before the pivot are added up for the candidates first."""
+    r, scored, score = np.random.default_rng(3), [], search.ShardIndex._score
+    data = [" ".join([f"w{x}" for x in r.integers(0, 300, n)] + [f"t{k % 20}x{x} " for x in r.integers(0, 150, n)]).encode() for k in range(2000) for n in [int(r.integers(100, 200))]]
+    doc, term, count, lengths = search.terms(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    row = search.shard_row(np.arange(2000), lengths, doc, term, count)
+    shard = search.ShardIndex({c: row.column(c)[0].as_py() for c in search.INDEX}, lengths.mean())
+    monkeypatch.setattr(search.ShardIndex, "_score", lambda self, t, w, alive: scored.append(len(alive)) or score(self, t, w, alive))
+    found = 0
+    for q in range(0, 2000, 50):
+        place = shard.find(np.sort(term[doc == q]))[0]
+        weight = np.log(1 + (2000 - shard.number[place] + 0.5) / (shard.number[place] + 0.5))
+        every = score(shard, place, weight, np.arange(2000))
+        best = np.lexsort((shard.ids, -every))[:10]
+        scored.clear()
+        ids, scores = shard.search(place, weight, 10, every[best[-1]])
+        assert ids.tolist() == shard.ids[best].tolist() and scores.tolist() == every[best].tolist()
+        found += scored[0]
+    assert found <= 40 * 10 * 1.2
+
+
 def test_rows_that_leave_shards_do_not_follow_their_number(spark, monkeypatch):
     """Rounds start from the scores so far, so 32 shards do not give k rows a query each."""
     r, found, kept = random.Random(5), [], search.stored
