@@ -1,16 +1,15 @@
 """Exact top-k search by BM25: a stored inverted index in shards, block-max WAND in each, an exact merge by global statistics.
 
 Index: SHARD documents make a shard, one row of a stored table: postings by term, documents numbered by likeness (those
-with the same most frequent terms stand together, so that blocks differ in what they hold). It is built once for all queries.
+with the same most frequent term stand together, by length, so that blocks differ in what they hold). It is built once for all queries.
 
-Search, in each shard: each term's postings fall into blocks of BLOCK documents, with their greatest impact. Terms in more than a share
-of COMMON of the shard's documents are common: what they add to each document is bounded by a product of two small matrices, for TOGETHER
-queries at once. For a query the bounds of each block are summed from both; blocks that can't reach the k-th best score are skipped. In
-the others, common terms come first and the rest by their greatest bound; the pivot is the term at which the bounds, summed in this order, reach
-the k-th best score. Only postings of terms from the pivot on are added up; documents are skipped whose sum, with what common terms add
-and with their block's bounds of the other terms before the pivot, doesn't reach it. If some are left, these terms' postings in their blocks
-take the place of the bounds, and what still reaches it, hardly more than what is found, is scored in full from its own terms.
-Scores are added in one order of terms, so equal documents tie.
+Search, in each shard, TOGETHER queries at once: documents stand in groups of GROUP and blocks of BLOCK. A term in more than a share of
+COMMON of a group's documents is common there (long documents stand together and have many such terms, short ones few). Common terms
+come before the pivot: at first only their greatest impacts in each block count. The terms from the pivot on are the rare ones, whose postings are
+added up by document. Blocks are skipped in which the greatest such sum and the bounds of the common terms, for all queries from a product of
+two small matrices, don't reach a query's k-th best score. For queries with blocks left in a group, what common terms add to its
+documents takes the place of the bounds, by a product of matrices too; what still reaches the k-th best score, hardly more than what is
+found, is scored in full from its own terms. Scores are added in one order of terms, so equal documents tie.
 
 Shards are searched in rounds, each of GROWTH - 1 times as many as before at most: the k-th best scores so far are where a round starts, so rows that
 leave a round are some k (GROWTH - 1) a query, whatever the number of shards. Shards return k rows a query at most, which
@@ -41,14 +40,18 @@ from pricebasket.llm.common import Batches, documents, map_batches, stored, whol
 from pricebasket.llm.hashing import mix, signed, span_hashes, together
 
 K1, B, K = 1.2, 0.75, 10
-#: Documents of a block and of a shard; terms of queries that run together, about; how many times as many shards have been searched after a round.
-BLOCK, SHARD, TERMS, GROWTH = 128, 16_000, 2_000_000, 4
-#: The share of documents above which a term is common, the most such terms of a shard (others are as rare ones), and queries multiplied together.
-COMMON, COMMON_TERMS, TOGETHER = 0.06, 1024, 64
-#: What their products of 4-byte floats may be off by, as a share (COMMON_TERMS roundings of 2 ** -24 each at most).
+#: Documents of a block, of a group and of a shard; terms of queries that run together, about; how many times as many shards have been searched after a round.
+BLOCK, GROUP, SHARD, TERMS, GROWTH = 128, 1024, 16_000, 2_000_000, 4
+#: Terms by which documents are alike.
+HEADS = 64
+#: The share of a group's documents above which a term is common there, the most such terms of a group (others are as rare ones), and queries searched together.
+COMMON, COMMON_TERMS, TOGETHER = 0.05, 1280, 256
+#: What sums of 4-byte floats may be off by, as a share (COMMON_TERMS roundings of 2 ** -24 each at most, and some more).
 ROUGH = 1e-4
-#: What sums of bounds may lack by rounding.
-SLACK = 1e-9
+#: What a score to reach may be off by once it is a 4-byte float, and the least that counts as one.
+SLACK, TINY = 1e-6, 1e-30
+#: A posting of a term that is not common where it is.
+POSTING = np.dtype([("doc", "<u4"), ("impact", "<f4")])
 _U = np.uint64
 
 
@@ -106,16 +109,20 @@ INDEX = {"ids": "<i8", "lengths": "<i8", "terms": "<i8", "first": "<i8", "doc":
 
 def shard_row(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """One shard's postings: documents numbered by likeness, postings by term and then by document."""
-    # each document's two most frequent terms; then its length
-    order = np.lexsort((term, -count, doc))
-    begins = np.searchsorted(doc[order], np.arange(len(ids) + 1))
-    likeness = [np.where(begins[:-1] + k < begins[1:], term[order][np.minimum(begins[:-1] + k, max(0, len(term) - 1))] if len(term) else 0, 0) for k in (0, 1)]
-    by = np.lexsort((ids, lengths, likeness[1], likeness[0]))
+    # the most frequent in a document of the HEADS terms that most documents have; then its length
+    order = np.argsort(term, kind="stable")
+    terms, first = np.unique(term[order], return_index=True)
+    heads = np.argsort(-np.diff(np.append(first, len(term))), kind="stable")[:HEADS]
+    likeness, most = np.full(len(ids), len(heads)), np.zeros(len(ids), np.int64)
+    for k, t in enumerate(heads):
+        own = order[first[t] : np.append(first, len(term))[t + 1]]
+        own = own[count[own] > most[doc[own]]]
+        likeness[doc[own]], most[doc[own]] = k, count[own]
+    by = np.lexsort((ids, lengths, likeness))
     place = np.empty(len(ids), np.int64)
     place[by] = np.arange(len(ids))
     doc = place[doc]
     order = np.lexsort((doc, term))
-    terms, first = np.unique(term[order], return_index=True)
     held = {"ids": ids[by], "lengths": lengths[by], "terms": terms, "first": np.append(first, len(term)), "doc": doc[order], "count": count[order]}
     columns = [pa.array([held[k].astype(kind).tobytes()], pa.binary()) for k, kind in INDEX.items()]
     return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(columns[0][0].as_py()) >> 1], pa.int64()), *columns], ["shard", *INDEX])
@@ -154,33 +161,49 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class ShardIndex:
-    """A shard as it is searched: impacts of postings, each term's blocks with their greatest impact, common terms' impacts by document, and each document's terms."""
+    """A shard as it is searched: for each group of documents its common terms' impacts by document with the greatest of each block; the other postings by term; each document's terms."""
 
     def __init__(self, row: dict[str, bytes], mean: float) -> None:
         held = {k: np.frombuffer(row[k], kind) for k, kind in INDEX.items()}
-        self.ids, self.terms, self.doc = held["ids"], held["terms"], held["doc"].astype(np.int32)
+        self.ids, self.terms = held["ids"], held["terms"]
+        doc, self.number = held["doc"].astype(np.int32), np.diff(held["first"])
         share = held["lengths"] / mean if mean else np.ones(len(self.ids))
-        self.impact = held["count"] * (K1 + 1) / (held["count"] + K1 * (1 - B + B * share[self.doc]))
-        self.blocks, self.number = -(-len(self.ids) // BLOCK), np.diff(held["first"])
+        impact = held["count"] * (K1 + 1) / (held["count"] + K1 * (1 - B + B * share[doc]))
+        self.blocks = -(-len(self.ids) // BLOCK)
         term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.number)
-        block = self.doc // BLOCK
-        self.start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
-        self.size, self.block = np.diff(np.append(self.start, len(term))), block[self.start]
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(term) else np.zeros(0)
-        self.first = np.searchsorted(self.start, held["first"])
-        common = np.argsort(-self.number, kind="stable")[:COMMON_TERMS]
-        common = common[self.number[common] > COMMON * len(self.ids)]
-        self.row = np.full(len(self.terms), -1)
-        self.row[common] = np.arange(len(common))
-        self.common = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        for k, t in enumerate(common):
-            own = slice(held["first"][t], held["first"][t + 1])
-            self.common[k, self.doc[own]] = self.impact[own]
+        # postings of a term in a group of documents are a run; those of many documents are common there
+        group = doc // GROUP
+        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1]))) if len(term) else np.zeros(0, np.int64)
+        size, of = np.diff(np.append(start, len(term))), group[start]
+        common = size > COMMON * np.minimum(GROUP, len(self.ids) - GROUP * of)
+        self.groups: list[tuple[slice, np.ndarray, np.ndarray]] = []  # documents, common terms' columns, impacts by document
+        runs_of = np.split(runs := np.flatnonzero(common)[np.argsort(of[common], kind="stable")], np.searchsorted(of[runs], np.arange(1, -(-len(self.ids) // GROUP))))
+        for g, runs in enumerate(runs_of):
+            common[runs[np.argsort(-size[runs], kind="stable")[COMMON_TERMS:]]] = False
+            runs_of[g] = runs[common[runs]]
+        self.column = np.full(len(self.terms), -1)
+        used = np.unique(term[start[common]])
+        self.column[used] = np.arange(len(used))
+        self.greatest = np.zeros((len(used), self.blocks), np.float32)  # of each block, by column
+        for g, runs in enumerate(runs_of):
+            first, last = g * GROUP, min((g + 1) * GROUP, self.blocks * BLOCK)
+            by_doc = np.zeros((len(runs), last - first), np.float32)
+            post = _ranges(start[runs], size[runs])
+            by_doc[np.repeat(np.arange(len(runs)), size[runs]), doc[post] - first] = impact[post] * (1 + ROUGH)
+            columns = self.column[term[start[runs]]]
+            self.groups.append((slice(first, last), columns, by_doc))
+            self.greatest[columns, first // BLOCK : last // BLOCK] = by_doc.reshape(len(runs), (last - first) // BLOCK, BLOCK).max(axis=2)
+        rare = np.repeat(~common, size)
+        self.rare = np.empty(int(rare.sum()), POSTING)
+        self.rare["doc"], self.rare["impact"] = doc[rare], impact[rare] * (1 + ROUGH)
+        self.rare_number = np.bincount(term[rare], minlength=len(self.terms))
+        self.rare_first = np.cumsum(self.rare_number) - self.rare_number
         by = np.argsort(held["doc"], kind="stable")  # by document, its terms in order
-        self.doc_term, self.doc_impact = term[by], self.impact[by]
-        self.doc_first = np.append(0, np.cumsum(np.bincount(self.doc, minlength=len(self.ids))))
-        self.weight = np.zeros(len(self.terms))  # of one query's terms, while it is searched
-        self.looked = self.held = 0  # postings looked at (what the product of common terms takes is not counted), and those that the queries' terms have
+        self.doc_term, self.doc_impact = term[by], impact[by]
+        self.doc_first = np.append(0, np.cumsum(np.bincount(doc, minlength=len(self.ids))))
+        self.weight = np.zeros(len(self.terms))  # of one query's terms, while its documents are scored
+        # postings looked at (what the products of common terms take is not counted), those that the queries' terms have, and documents in products, over all queries
+        self.looked = self.held = self.multiplied = 0
 
     def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of those of the terms that the shard has, and which they are."""
@@ -188,68 +211,69 @@ class ShardIndex:
         known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
         return at[known], known
 
-    def common_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What common terms add to each document's score, a row a query of (places, weights): but for a share of ROUGH."""
-        weights = np.zeros((len(queries), len(self.common)), np.float32)
-        for k, (term, weight) in enumerate(queries):
-            row = self.row[term]
-            weights[k, row[row >= 0]] = weight[row >= 0]
-        return weights @ self.common
+    def search(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of at least `least`; term: places of the query's terms, in their order."""
+        return self.search_all([(term, weight)], k, np.array([least]))[0]
 
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best of at least `least`; term: places of the query's terms, in their order; sums: what common terms add."""
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What search finds for each of the queries (places, weights)."""
+        sums, least = np.empty((len(queries), self.blocks * BLOCK), np.float32), least.copy()
+        for q, query in enumerate(queries):
+            sums[q] = self._added(*query)
+        of, term, weight = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries]), *(np.concatenate(x) for x in zip(*queries, strict=True))
         self.held += int(self.number[term].sum())
-        sums = self.common_sums([(term, weight)])[0] if sums is None else sums
-        if least <= 0:
-            least = self._reached(sums * (1 - ROUGH), k)
-        rare = self.row[term] < 0
-        place, heavy = term[rare], weight[rare]
-        n = self.first[place + 1] - self.first[place]
-        pair = _ranges(self.first[place], n)
-        bound, block = self.most[pair] * np.repeat(heavy, n), self.block[pair]
-        # blocks that can't reach it are skipped
-        rest, whole = np.bincount(block, bound, self.blocks), sums.reshape(self.blocks, BLOCK).max(axis=1) * (1 + ROUGH)
-        open_block = (rest + whole) * (1 + SLACK) >= least
-        if not open_block.any():
+        column = self.column[term]
+        weights = np.zeros((len(self.greatest), len(queries)), np.float32)
+        weights[column[column >= 0], of[column >= 0]] = weight[column >= 0]
+        new = np.flatnonzero(least <= 0)
+        if len(new):
+            whole = sums[new]
+            for docs, columns, by_doc in self.groups:
+                whole[:, docs] += weights[np.ix_(columns, new)].T @ by_doc
+            least[new] = [self._reached(x * (1 - 2 * ROUGH), k) for x in whole]
+        bar = np.maximum(least * (1 - SLACK), TINY).astype(np.float32)[:, None]
+        # blocks that can't reach it are skipped: sums of the rare terms' postings, and bounds of the common ones
+        reach = weights.T @ self.greatest
+        reach += np.maximum.reduceat(sums, np.arange(0, self.blocks * BLOCK, BLOCK), axis=1)
+        left = reach >= bar
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for docs, columns, by_doc in self.groups:
+            own = np.flatnonzero(left[:, docs.start // BLOCK : docs.stop // BLOCK].any(axis=1))
+            if len(own):
+                heavy = weights[columns]
+                most = (heavy if len(own) == len(queries) else heavy.take(own, axis=1)).T @ by_doc
+                most += sums[own, docs]
+                self.multiplied += most.size
+                q, at = np.divmod(np.flatnonzero(most >= bar[own]), docs.stop - docs.start)
+                found.append((own[q], at + docs.start, most[q, at]))
+        of, alive, most = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(queries) + 1))
+        return [self._best(*query, k, float(x), alive[order[a:b]], most[order[a:b]]) for query, x, a, b in zip(queries, least, ends, ends[1:], strict=False)]
+
+    def _best(self, term: np.ndarray, weight: np.ndarray, k: int, least: float, alive: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of these documents, whose scores are `most` but for a share of 2 ROUGH."""
+        if not len(alive):
             return self.ids[:0], np.zeros(0)
-        # the pivot: common terms come first, then the others by their greatest bound; documents without a term from there on don't reach it
-        usable = open_block[block]
-        top = np.maximum.reduceat(np.where(usable, bound, 0.0), np.cumsum(n) - n) if len(place) else np.zeros(0)
-        rising = np.argsort(top, kind="stable")
-        pivotal = np.zeros(len(place), bool)
-        pivotal[rising[(np.cumsum(top[rising]) + whole[open_block].max()) * (1 + SLACK) >= least]] = True
-        by_pair, late = np.repeat(heavy, n), np.repeat(pivotal, n)
-        ahead, early = late & usable, usable & ~late
-        partial = self._added(pair[ahead], by_pair[ahead])
-        before = np.repeat(np.where(open_block, np.bincount(block[early], bound[early], self.blocks), -np.inf), BLOCK)
-        most = sums * (1 + ROUGH)
-        reach = (partial + before + most) * (1 + SLACK)
-        alive = np.flatnonzero(((reach >= least) & (reach > 0))[: len(self.ids)])  # the last block may have fewer documents
-        if len(alive) > k // 2:
-            # postings before the pivot take the place of bounds: they are fewer than the terms of these documents
-            left = np.zeros(self.blocks, bool)
-            left[alive // BLOCK] = True
-            more = early & left[block]
-            partial += self._added(pair[more], by_pair[more])
-            if len(alive) > 2 * k:
-                least = max(least, self._reached(partial + sums * (1 - ROUGH), k))
-            alive = alive[(partial + most)[alive] * (1 + SLACK) >= least]
+        if len(alive) > 2 * k:
+            least = max(least, self._reached(most * (1 - 2 * ROUGH), k))
+            alive = alive[most >= least * (1 - SLACK)]
         scores = self._score(term, weight, alive)
         good = np.flatnonzero((scores >= least) & (scores > 0))
         ids, scores = self.ids[alive[good]], scores[good]
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
-    def _added(self, pair: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What the postings of these pairs of a term and a block, with these weights, add to each document's score."""
-        size = self.size[pair]
-        post = _ranges(self.start[pair], size)
+    def _added(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings of these terms that are not common where they are add to each document's score."""
+        size = self.rare_number[term]
+        post = self.rare.view(np.int64).take(_ranges(self.rare_first[term], size)).view(POSTING)
         self.looked += len(post)
-        return np.bincount(self.doc[post], self.impact[post] * np.repeat(weight, size), self.blocks * BLOCK)
+        return np.bincount(post["doc"], post["impact"] * np.repeat(weight.astype(np.float32), size), self.blocks * BLOCK)
 
     def _reached(self, low: np.ndarray, k: int) -> float:
         """What k documents reach, given what each reaches at least."""
-        return max(0.0, float(np.partition(low, len(low) - k)[-k]) * (1 - SLACK)) if len(self.ids) >= k else 0.0
+        return max(0.0, float(np.partition(low, len(low) - k)[-k]) * (1 - SLACK)) if len(low) >= k else 0.0
 
     def _score(self, term: np.ndarray, weight: np.ndarray, alive: np.ndarray) -> np.ndarray:
         """Scores of these documents in full, added in the order of the terms."""
@@ -293,7 +317,8 @@ def _group(rounds: list[DataFrame], weighed: DataFrame, mean: float, k: int) ->
     order = np.lexsort((term, query))
     query, term, weight = query[order], term[order], weight[order]
     ids, begins = np.unique(query, return_index=True)
-    shared = spark.sparkContext.broadcast((ids, np.append(begins, len(query)), term, weight))
+    known, term = np.unique(term, return_inverse=True)
+    shared = spark.sparkContext.broadcast((ids, np.append(begins, len(query)), known, term.astype(np.int32), weight))
     found: list[DataFrame] = []
     least = np.zeros(len(ids))
     for shards in rounds:
@@ -310,20 +335,22 @@ def _searched(index: DataFrame, shared: Broadcast, least: np.ndarray, mean: floa
     reached = index.sparkSession.sparkContext.broadcast(least)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        (ids, begins, term, weight), least = shared.value, reached.value
+        (ids, begins, known, term, weight), least = shared.value, reached.value
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = ShardIndex({c: batch.column(c)[row].as_py() for c in INDEX}, mean)
+                place = np.full(len(known), -1)
+                at, held = shard.find(known)
+                place[held] = at
                 out: list[list] = [[], [], []]
                 for a in range(0, len(ids), TOGETHER):
-                    asked = [slice(begins[q], begins[q + 1]) for q in range(a, min(len(ids), a + TOGETHER))]
-                    places = [shard.find(term[own]) for own in asked]
-                    own = [(place, weight[x][known]) for x, (place, known) in zip(asked, places, strict=True)]
-                    for q, (place, heavy), sums in zip(range(a, a + TOGETHER), own, shard.common_sums(own), strict=False):
-                        if len(place):
-                            found, scores = shard.search(place, heavy, k, float(least[q]), sums)
-                            for column, values in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
-                                column.append(values)
+                    asked = []
+                    for q in range(a, min(len(ids), a + TOGETHER)):
+                        at = place[term[begins[q] : begins[q + 1]]]
+                        asked.append((at[at >= 0], weight[begins[q] : begins[q + 1]][at >= 0]))
+                    for q, (found, scores) in enumerate(shard.search_all(asked, k, least[a : a + TOGETHER]), a):
+                        for column, values in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
+                            column.append(values)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "doc_id", "score"])
 

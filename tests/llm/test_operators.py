@@ -402,6 +402,31 @@ def test_few_documents_are_scored_in_full(monkeypatch):
     assert found <= 40 * 10 * 1.2
 
 
+def test_queries_are_searched_together_and_only_where_documents_may_reach(monkeypatch):
+    """Four vocabularies: products are of the groups that hold a query's own, and the results are those of each query scored against all documents."""
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(search, "GROUP", 256)
+    monkeypatch.setattr(search, "BLOCK", 32)
+    data = [" ".join([f"c{k % 4}x{x} " for x in r.zipf(1.3, n) % 4000]).encode() for k in range(2000) for n in [int(r.integers(20, 300))]]
+    data[40], data[80] = data[0], b""
+    doc, term, count, lengths = search.terms(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    row = search.shard_row(np.arange(2000), lengths, doc, term, count)
+    shard = search.ShardIndex({c: row.column(c)[0].as_py() for c in search.INDEX}, lengths.mean())
+    places = [shard.find(np.sort(term[doc == q]))[0] for q in [*range(0, 2000, 19), 40, 80]]
+    queries = [(p, np.log(1 + (2000 - shard.number[p] + 0.5) / (shard.number[p] + 0.5))) for p in places]
+    every = [shard._score(*query, np.arange(2000)) for query in queries]
+    best = [np.lexsort((shard.ids, -e))[:10] for e in every]
+    best = [b[e[b] > 0] for b, e in zip(best, every, strict=True)]
+    for least in (np.zeros(len(queries)), np.array([e[b[-1]] if len(b) else 0.0 for e, b in zip(every, best, strict=True)])):
+        shard.multiplied = 0
+        for (ids, scores), e, b in zip(shard.search_all(queries, 10, least), every, best, strict=True):
+            assert ids.tolist() == shard.ids[b].tolist() and scores.tolist() == e[b].tolist()
+        assert 0 < shard.multiplied < 0.4 * len(queries) * 2000
+    none = search.shard_row(np.arange(3), np.zeros(3, np.int64), *(np.zeros(0, np.int64) for _ in range(3)))
+    empty = search.ShardIndex({c: none.column(c)[0].as_py() for c in search.INDEX}, 0.0)
+    assert not len(best[-1]) and len(best[0]) == 10 and not len(empty.search(empty.find(term[:5])[0], np.zeros(0), 10)[0])
+
+
 def test_rows_that_leave_shards_do_not_follow_their_number(spark, monkeypatch):
     """Rounds start from the scores so far, so 32 shards do not give k rows a query each."""
     r, found, kept = random.Random(5), [], search.stored
