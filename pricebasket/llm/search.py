@@ -1,7 +1,8 @@
 """Exact top-k search by BM25: a stored inverted index in shards, block-max WAND in each, an exact merge by global statistics.
 
 Index: SHARD documents make a shard, one row of a stored table: postings by term, documents numbered by likeness (those
-with the same most frequent term stand together, by length, so that blocks differ in what they hold). It is built once for all queries.
+with the same most frequent term stand together, by length, so that blocks differ in what they hold). It is built once for all queries;
+the texts are read once, as document frequencies, lengths and counts of all documents come from it.
 
 Search, in each shard, TOGETHER queries at once: documents stand in groups of GROUP and blocks of BLOCK. A term in more than a share of
 COMMON of a group's documents is common there (long documents stand together and have many such terms, short ones few). Common terms
@@ -11,8 +12,8 @@ two small matrices, don't reach a query's k-th best score. For queries with bloc
 documents takes the place of the bounds, by a product of matrices too; what still reaches the k-th best score, hardly more than what is
 found, is scored in full from its own terms. Scores are added in one order of terms, so equal documents tie.
 
-Shards are searched in rounds, each of GROWTH - 1 times as many as before at most: the k-th best scores so far are where a round starts, so rows that
-leave a round are some k (GROWTH - 1) a query, whatever the number of shards. Shards return k rows a query at most, which
+Shards are searched in rounds, first as many as can be side by side, then GROWTH - 1 times as many as before at most: the k-th best scores so far are where a
+round starts, so rows that leave a later round are some k (GROWTH - 1) a query, whatever the number of shards. Shards return k rows a query at most, which
 are merged by score (then the smaller id). Document frequencies, lengths and counts are those of all documents.
 
 Queries run in groups of TERMS terms, about; a group's terms are broadcast, its results stored, and the broadcast dropped
@@ -42,6 +43,8 @@ from pricebasket.llm.hashing import mix, signed, span_hashes, together
 K1, B, K = 1.2, 0.75, 10
 #: Documents of a block, of a group and of a shard; terms of queries that run together, about; how many times as many shards have been searched after a round.
 BLOCK, GROUP, SHARD, TERMS, GROWTH = 128, 1024, 16_000, 2_000_000, 4
+#: Shards of the first round at most; there are as many as can be searched side by side.
+FIRST = 16
 #: Terms by which documents are alike.
 HEADS = 64
 #: The share of a group's documents above which a term is common there, the most such terms of a group (others are as rare ones), and queries searched together.
@@ -76,21 +79,6 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text_of[at], signed(hashes[at]), np.diff(np.append(at, len(order))), np.bincount(text, minlength=len(offsets) - 1)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """term, n: in how many documents it is; as term null the number of documents, and in `total` their length."""
-
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py().encode() for t in batch.column("text")]
-            for first, last, data, offsets in together(texts, 1 << 23):
-                _, term, _, length = terms(data, offsets)
-                values, counts = np.unique(term, return_counts=True)
-                n = len(values)
-                yield pa.RecordBatch.from_arrays([pa.array([None, *values.tolist()], pa.int64()), pa.array(np.append(last - first, counts)), pa.array([int(length.sum()), *[0] * n], pa.int64())], ["term", "n", "total"])
-
-    return map_batches(docs, run, "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term and occurrences of each query."""
 
@@ -119,7 +107,7 @@ def shard_row(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.nd
         own = own[count[own] > most[doc[own]]]
         likeness[doc[own]], most[doc[own]] = k, count[own]
     by = np.lexsort((ids, lengths, likeness))
-    place = np.empty(len(ids), np.int64)
+    place = np.empty(len(ids), np.int32)
     place[by] = np.arange(len(ids))
     doc = place[doc]
     order = np.lexsort((doc, term))
@@ -137,24 +125,38 @@ def build_index(docs: DataFrame) -> DataFrame:
 
         def made() -> pa.RecordBatch:
             base = np.cumsum([0, *(len(p[0]) for p in parts)])
-            columns = [np.concatenate([p[k] + b if k == 2 else p[k] for p, b in zip(parts, base, strict=False)]) for k in range(5)]
+            columns = [np.concatenate([p[k] + np.int32(b) if k == 2 else p[k] for p, b in zip(parts, base, strict=False)]) for k in range(5)]
+            parts.clear()
             return shard_row(*columns)
 
         for batch in batches:
             texts, ids = [t.as_py().encode() for t in batch.column("text")], batch.column("doc_id").to_numpy()
             for first, last, data, offsets in together(texts):
                 doc, term, count, length = terms(data, offsets)
-                parts.append((ids[first:last], length, doc, term, count))
+                parts.append((ids[first:last], length, doc.astype(np.int32), term, count.astype(np.int32)))
                 held += last - first
             if held >= SHARD:
                 yield made()
-                parts, held = [], 0
+                held = 0
         if parts:
             yield made()
 
     return map_batches(docs, run, "shard long, " + ", ".join(f"{k} binary" for k in INDEX))
 
 
+def statistics(index: DataFrame) -> DataFrame:
+    """term, n: in how many documents of the index it is; as term null the number of documents, and in `total` their length."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lengths, terms, first = (np.frombuffer(batch.column(c)[row].as_py(), INDEX[c]) for c in ("lengths", "terms", "first"))
+                whole = np.arange(len(terms) + 1) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(0, terms), mask=whole), pa.array(np.append(len(lengths), np.diff(first))), pa.array(whole * lengths.sum())], ["term", "n", "total"])
+
+    return map_batches(index.select("lengths", "terms", "first"), run, "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers first[i], first[i] + 1, ... of each range, one after another."""
     return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -291,17 +293,17 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, at_once: int = TERMS)
     Where one query id has several texts, the smallest is asked for; documents of one id are documents each."""
     spark = docs.sparkSession
     docs, queries = (x.select(F.col("doc_id").cast("long"), whole_text().alias("text")).filter("doc_id is not null") for x in (docs, queries))
-    known = stored(spark, statistics(docs), "statistics")
+    index = stored(spark, build_index(docs), "index")
+    known = stored(spark, statistics(index), "statistics")
     whole = known.filter("term is null").first()
     n, mean = (whole["n"], whole["total"] / whole["n"]) if whole else (0, 0.0)
     idf = F.log(1 + (F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     asked = query_terms(queries.groupBy("doc_id").agg(F.min("text").alias("text")))
     weighed = stored(spark, asked.join(known.filter("term is not null").select("term", "n"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight")), "query-terms")
-    index = stored(spark, build_index(docs), "index")
     shards = sorted(r[0] for r in index.select("shard").distinct().collect())  # a number for SHARD documents, about
-    ends = [0]
+    ends, at_first = [0], min(FIRST, spark.sparkContext.defaultParallelism)
     while ends[-1] < len(shards):
-        ends.append(min(len(shards), max(1, GROWTH * ends[-1])))
+        ends.append(min(len(shards), max(at_first, GROWTH * ends[-1])))
     rounds = [index.filter(F.col("shard").between(shards[a], shards[b - 1])) for a, b in zip(ends, ends[1:], strict=False)]
     groups = max(1, -(-weighed.count() // at_once))
     found = [_group(rounds, weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g), mean, k) for g in range(groups if rounds else 0)]

@@ -443,6 +443,27 @@ def test_rows_that_leave_shards_do_not_follow_their_number(spark, monkeypatch):
     assert sum(found) < 0.4 * 12 * 5 * 32
 
 
+def test_statistics_come_from_the_index(spark, docs, texts):
+    """Texts are not read again for document frequencies, lengths and counts."""
+    words = [re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) for t in texts]
+    index = search.build_index(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(3))
+    got = {r["term"]: (r["n"], r["total"]) for r in search.statistics(index).collect()}
+    assert got.pop(None) == (len(words), sum(map(len, words)))
+    assert sorted(got.values()) == sorted((n, 0) for n in Counter(w for x in words for w in set(x)).values())
+
+
+def test_first_round_searches_shards_side_by_side(spark, monkeypatch):
+    """Four shards and four cores are one round, in which no core waits for the first shard's scores; eight shards are two."""
+    found, kept = [], search.stored
+    frame = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(80)], "doc_id long, text string")
+    monkeypatch.setattr(search, "stored", lambda session, df, what: found.append(what) or kept(session, df, what))
+    monkeypatch.setattr(search, "FIRST", 4)
+    for shards, rounds in ((4, 1), (8, 2)):
+        found.clear()
+        assert search.top_k(frame.repartition(shards), frame.filter("doc_id % 20 = 0"), k=5).count() == 20
+        assert found.count("found") == rounds
+
+
 def test_mixing_meets_targets(spark, empty):
     docs = spark.createDataFrame([(i, "good words here" if i % 3 else "bad !!! words", None, None, 1) for i in range(300)] + [(999, None, None, None, 1)], SCHEMA)
     labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(150)], "doc_id long, quality int, toxic int")
