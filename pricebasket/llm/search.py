@@ -99,7 +99,11 @@ def shard_row(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.nd
     """One shard's postings: documents numbered by likeness, postings by term and then by document."""
     # the most frequent in a document of the HEADS terms that most documents have; then its length
     order = np.argsort(term, kind="stable")
-    terms, first = np.unique(term[order], return_index=True)
+    by_term = term[order]
+    new = np.append(True, by_term[1:] != by_term[:-1]) if len(term) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    terms = by_term[first]
+    del by_term
     heads = np.argsort(-np.diff(np.append(first, len(term))), kind="stable")[:HEADS]
     likeness, most = np.full(len(ids), len(heads)), np.zeros(len(ids), np.int64)
     for k, t in enumerate(heads):
@@ -109,10 +113,16 @@ def shard_row(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.nd
     by = np.lexsort((ids, lengths, likeness))
     place = np.empty(len(ids), np.int32)
     place[by] = np.arange(len(ids))
-    doc = place[doc]
-    order = np.lexsort((doc, term))
-    held = {"ids": ids[by], "lengths": lengths[by], "terms": terms, "first": np.append(first, len(term)), "doc": doc[order], "count": count[order]}
-    columns = [pa.array([held[k].astype(kind).tobytes()], pa.binary()) for k, kind in INDEX.items()]
+    key = (np.cumsum(new) - 1) * len(ids) + place[doc[order]]  # by term, then by document
+    within = np.argsort(key)
+    count = count[order[within]]
+    del order
+    held = {"ids": ids[by], "lengths": lengths[by], "terms": terms, "first": np.append(first, len(term)), "doc": key[within] % max(1, len(ids)), "count": count}
+    del key, within
+    columns = []
+    for k, kind in INDEX.items():
+        data = pa.py_buffer(held.pop(k).astype(kind))
+        columns.append(pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data]))
     return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(columns[0][0].as_py()) >> 1], pa.int64()), *columns], ["shard", *INDEX])
 
 
@@ -150,7 +160,7 @@ def statistics(index: DataFrame) -> DataFrame:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                lengths, terms, first = (np.frombuffer(batch.column(c)[row].as_py(), INDEX[c]) for c in ("lengths", "terms", "first"))
+                lengths, terms, first = (np.frombuffer(batch.column(c)[row].as_buffer(), INDEX[c]) for c in ("lengths", "terms", "first"))
                 whole = np.arange(len(terms) + 1) == 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(0, terms), mask=whole), pa.array(np.append(len(lengths), np.diff(first))), pa.array(whole * lengths.sum())], ["term", "n", "total"])
 
@@ -165,18 +175,22 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class ShardIndex:
     """A shard as it is searched: for each group of documents its common terms' impacts by document with the greatest of each block; the other postings by term; each document's terms."""
 
-    def __init__(self, row: dict[str, bytes], mean: float) -> None:
+    def __init__(self, row: dict[str, bytes | pa.Buffer], mean: float) -> None:
         held = {k: np.frombuffer(row[k], kind) for k, kind in INDEX.items()}
         self.ids, self.terms = held["ids"], held["terms"]
         doc, self.number = held["doc"].astype(np.int32), np.diff(held["first"])
         share = held["lengths"] / mean if mean else np.ones(len(self.ids))
-        impact = held["count"] * (K1 + 1) / (held["count"] + K1 * (1 - B + B * share[doc]))
+        impact = (1 - B + B * share)[doc]
+        impact *= K1
+        impact += held["count"]
+        np.divide(held["count"] * (K1 + 1), impact, out=impact)
         self.blocks = -(-len(self.ids) // BLOCK)
         term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.number)
         # postings of a term in a group of documents are a run; those of many documents are common there
         group = doc // GROUP
         start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1]))) if len(term) else np.zeros(0, np.int64)
         size, of = np.diff(np.append(start, len(term))), group[start]
+        del group
         common = size > COMMON * np.minimum(GROUP, len(self.ids) - GROUP * of)
         self.groups: list[tuple[slice, np.ndarray, np.ndarray]] = []  # documents, common terms' columns, impacts by document
         runs_of = np.split(runs := np.flatnonzero(common)[np.argsort(of[common], kind="stable")], np.searchsorted(of[runs], np.arange(1, -(-len(self.ids) // GROUP))))
@@ -196,6 +210,7 @@ class ShardIndex:
             self.groups.append((slice(first, last), columns, by_doc))
             self.greatest[columns, first // BLOCK : last // BLOCK] = by_doc.reshape(len(runs), (last - first) // BLOCK, BLOCK).max(axis=2)
         rare = np.repeat(~common, size)
+        del start, size, of, common
         self.rare = np.empty(int(rare.sum()), POSTING)
         self.rare["doc"], self.rare["impact"] = doc[rare], impact[rare] * (1 + ROUGH)
         self.rare_number = np.bincount(term[rare], minlength=len(self.terms))
@@ -340,7 +355,7 @@ def _searched(index: DataFrame, shared: Broadcast, least: np.ndarray, mean: floa
         (ids, begins, known, term, weight), least = shared.value, reached.value
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = ShardIndex({c: batch.column(c)[row].as_py() for c in INDEX}, mean)
+                shard = ShardIndex({c: batch.column(c)[row].as_buffer() for c in INDEX}, mean)
                 place = np.full(len(known), -1)
                 at, held = shard.find(known)
                 place[held] = at
@@ -353,6 +368,7 @@ def _searched(index: DataFrame, shared: Broadcast, least: np.ndarray, mean: floa
                     for q, (found, scores) in enumerate(shard.search_all(asked, k, least[a : a + TOGETHER]), a):
                         for column, values in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
                             column.append(values)
+                del shard  # before the next one is built
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "doc_id", "score"])
 
